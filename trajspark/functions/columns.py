@@ -14,14 +14,23 @@ TRUE_WORDS_LOCAL = (*TRUE_WORDS, "成功")
 MAD_TO_SIGMA = 1.4826
 
 
-def numeric(column: str | Column) -> Column:
-    """Number or null; text that is not a number, NaN and infinity are null."""
+def numeric(column: str) -> Column:
+    """The channel as a number; text that is not a number is null."""
+    return F.expr(numeric_sql(column))
+
+
+def numeric_sql(column: str) -> str:
+    return f"try_cast(`{column}` AS DOUBLE)"
+
+
+def finite(column: str | Column) -> Column:
+    """The number, or null for text, NaN and infinity."""
     value = (F.col(column) if isinstance(column, str) else column).try_cast("double")
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
 
 def safe_float(column: str | Column, default: float = 0.0) -> Column:
-    return F.coalesce(numeric(column), F.lit(default))
+    return F.coalesce(finite(column), F.lit(default))
 
 
 def truthy(column: str | Column, words: Sequence[str] = TRUE_WORDS) -> Column:

@@ -119,45 +119,74 @@ class Layout:
 
     # ---- nearest known values on both sides -----------------------------------------------------
 
-    def with_anchors(self, df: DataFrame, values: Mapping[str, Column], time: str = "timestamp") -> DataFrame:
-        """For each value add ``<name>__prev`` and ``<name>__next``: the nearest non-null point
-        (seq, t, v) at or before, and at or after, each row."""
-        if not values:
-            return df
-        points = {
-            n: F.when(v.isNotNull(), F.struct(F.col(self.order).alias("seq"), F.col(time).alias("t"), v.alias("v")))
-            for n, v in values.items()
-        }
+    def carry(
+        self,
+        df: DataFrame,
+        back: Mapping[str, Column],
+        ahead: Mapping[str, Column] | None = None,
+        also: Callable[[WindowSpec], Mapping[str, Column]] | None = None,
+        before: int = 0,
+        after: int = 0,
+    ) -> DataFrame:
+        """Add the last non-null value at or before each row (``back``) and the first one at or after it
+        (``ahead``). ``also`` adds short-reach window columns, as ``local`` does, in the same pass."""
+        ahead = ahead or {}
         if self.whole:
-            back, ahead = self._ordered(), self._ordered(descending=True)
-            out = df.withColumns({f"_p_{n}": p for n, p in points.items()})
-            out = out.withColumns(
-                {f"{n}__next": F.last(f"_p_{n}", True).over(ahead.rowsBetween(_UNB, 0)) for n in points}
-            )
-            out = out.withColumns(
-                {f"{n}__prev": F.last(f"_p_{n}", True).over(back.rowsBetween(_UNB, 0)) for n in points}
-            )
-            return out.drop(*[f"_p_{n}" for n in points])
-        df = materialise(self._with_chunk(df).withColumns({f"_p_{n}": p for n, p in points.items()}))
+            if ahead:
+                w = self._ordered(descending=True).rowsBetween(_UNB, 0)
+                df = df.withColumns({n: F.last(v, True).over(w) for n, v in ahead.items()})
+            w = self._ordered()
+            columns = {n: F.last(v, True).over(w.rowsBetween(_UNB, 0)) for n, v in back.items()}
+            return df.withColumns(columns | dict(also(w) if also else {}))
+        if also:
+            df = self.local(df, also, before, after)
+        df = self._with_chunk(df).withColumns({f"_v_{n}": v for n, v in (*back.items(), *ahead.items())})
+        df = materialise(df)
+        known = {n: F.when(F.col(f"_v_{n}").isNotNull(), F.col(self.order)) for n in (*back, *ahead)}
         edges = df.groupBy(*self.keys, _CHUNK).agg(
-            *[F.max(f"_p_{n}").alias(f"_hi_{n}") for n in points],
-            *[F.min(f"_p_{n}").alias(f"_lo_{n}") for n in points],
+            *[F.max_by(f"_v_{n}", known[n]).alias(f"_e_{n}") for n in back],
+            *[F.min_by(f"_v_{n}", known[n]).alias(f"_e_{n}") for n in ahead],
         )
-        carry = edges.select(
+        carried = edges.select(
             *self.keys,
             _CHUNK,
-            *[F.last(f"_hi_{n}", True).over(self._chunks_ordered()).alias(f"_cp_{n}") for n in points],
-            *[F.last(f"_lo_{n}", True).over(self._chunks_ordered(True)).alias(f"_cn_{n}") for n in points],
+            *[F.last(f"_e_{n}", True).over(self._chunks_ordered()).alias(f"_c_{n}") for n in back],
+            *[F.last(f"_e_{n}", True).over(self._chunks_ordered(True)).alias(f"_c_{n}") for n in ahead],
+        )
+        inside = df
+        for names, descending in ((ahead, True), (back, False)):
+            if names:
+                w = self._ordered(descending).rowsBetween(_UNB, 0)
+                inside = inside.withColumns({n: F.last(f"_v_{n}", True).over(w) for n in names})
+        joined = inside.join(carried, [*self.keys, _CHUNK])
+        names = [*back, *ahead]
+        return joined.withColumns({n: F.coalesce(n, f"_c_{n}") for n in names}).drop(
+            _CHUNK, *[f"{p}_{n}" for n in names for p in ("_v", "_c")]
+        )
+
+    def with_anchors(
+        self,
+        df: DataFrame,
+        values: Mapping[str, str],
+        time: str = "timestamp",
+        also: Callable[[WindowSpec], Mapping[str, Column]] | None = None,
+        before: int = 0,
+        after: int = 0,
+    ) -> DataFrame:
+        """For each value (a SQL expression) add ``<name>__prev`` and ``<name>__next``: the nearest non-null
+        point (seq, t, v) at or before, and at or after, each row."""
+        points = {
+            n: F.expr(f"if(({v}) IS NULL, NULL, named_struct('seq', `{self.order}`, 't', `{time}`, 'v', {v}))")
+            for n, v in values.items()
+        }
+        return self.carry(
+            df,
+            {f"{n}__prev": p for n, p in points.items()},
+            {f"{n}__next": p for n, p in points.items()},
+            also,
+            before,
+            after,
         )
-        back = self._ordered().rowsBetween(_UNB, 0)
-        ahead = self._ordered(descending=True).rowsBetween(_UNB, 0)
-        inside = df.withColumns({f"{n}__next": F.last(f"_p_{n}", True).over(ahead) for n in points})
-        inside = inside.withColumns({f"{n}__prev": F.last(f"_p_{n}", True).over(back) for n in points})
-        joined = inside.join(carry, [*self.keys, _CHUNK])
-        filled = {f"{n}__prev": F.coalesce(f"{n}__prev", f"_cp_{n}") for n in points}
-        filled |= {f"{n}__next": F.coalesce(f"{n}__next", f"_cn_{n}") for n in points}
-        helpers = [f"{p}_{n}" for n in points for p in ("_p", "_cp", "_cn")]
-        return joined.withColumns(filled).drop(_CHUNK, *helpers)
 
     # ---- per-episode figures on every row -------------------------------------------------------
 

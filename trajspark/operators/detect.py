@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajspark.functions.columns import any_of, array_of, count_if, is_true, norm, numeric, total, truthy
+from trajspark.functions.columns import TRUE_WORDS, array_of, count_if, numeric, numeric_sql
 from trajspark.functions.layout import Layout
 from trajspark.operators import timeseries as ts
-from trajspark.operators.steps import Roles, active_phase, outside, resolve_roles
+from trajspark.operators.steps import IDLE_PHASES, Roles, resolve_roles
 from trajspark.profiles import Profile, resolve_profile
 
 # Command and opening at which a closing command counts as ignored, and for how long.
@@ -47,130 +47,123 @@ class Diagnosis:
     layout: Layout
 
 
+RUN_KINDS = ("drop", "stuck", "mismatch")
+
+
 def flagged_rows(steps: DataFrame, layout: Layout, profile: Profile, roles: Roles | None = None) -> DataFrame:
-    """The steps with speed, thresholds and one flag per row rule."""
+    """The steps with speed, thresholds, one flag per row rule, and the runs of dropped frames, of no motion
+    and of an ignored close command."""
     roles = roles or resolve_roles(steps)
+    p = profile
     channels = list(dict.fromkeys([*roles.motion, *roles.joints]))
-    rows = steps
-    before = [c for c in ("object_distance", "is_grasped") if roles.has(c, "gripper", "object_distance")]
-    if before:
-        rows = ts.with_previous(rows, layout, before)
-    rows = ts.with_rates(rows, layout, channels).withColumn("speed", ts.motion_speed(roles))
-    robust = {c: (F.abs(ts._rate(c)), profile.joint_velocity_mad_scale, profile.joint_velocity_floor) for c in roles.joints}
+    grasp = roles.has("gripper", "object_distance")
+    previous = [c for c in ("object_distance", "is_grasped") if grasp and roles.has(c)]
+    rows = ts.with_rates(steps, layout, channels, previous)
+    rows = rows.selectExpr(
+        "*", f"{ts.speed_sql(roles)} AS speed", *[f"abs({ts.rate_sql(c)}) AS `{c}__rate`" for c in roles.joints]
+    ).drop(*[f"{c}{s}" for c in channels for s in ("__fill", "__fill__lag")])
+    robust = {c: (F.col(f"{c}__rate"), p.joint_velocity_mad_scale, p.joint_velocity_floor) for c in roles.joints}
     if roles.has("force_z"):
-        robust["force_z"] = (F.abs(numeric("force_z")), profile.force_mad_scale, profile.force_floor)
+        robust["force_z"] = (F.expr(f"abs({numeric_sql('force_z')})"), p.force_mad_scale, p.force_floor)
     rows = ts.with_robust_thresholds(rows, layout, robust)
-    false = F.lit(False)
-    flags: dict[str, Column] = {
-        "backwards": F.col("dt") <= 0,
-        "gap": F.col("dt") > ts.gap_limit(profile),
-        "drop": F.coalesce(numeric("frame_valid"), F.lit(0.0)) < 0.5 if roles.has("frame_valid") else false,
-        "jump": any_of([is_true(F.abs(ts._rate(c)) > F.col(f"{c}__limit")) for c in roles.joints]),
-        "spike": F.abs(numeric("force_z")) > F.col("force_z__limit") if roles.has("force_z") else false,
-        "stuck": (F.col("speed") < profile.stuck_speed_threshold) & active_phase(roles) if roles.motion else false,
-        "mismatch": (numeric("gripper_command") < CLOSE_COMMAND) & (numeric("gripper") > STILL_OPEN)
-        if roles.has("gripper", "gripper_command")
-        else false,
-        "slip": false,
-        "loss": false,
-        "outside": F.lit(0),
+    n = numeric_sql
+    closed = f"{n('gripper')} < {p.slip_gripper_closed}"
+    limit = f"greatest(median_dt * {p.gap_period_multiplier}, median_dt + {p.gap_extra_seconds})"
+    idle = f"lower(phase) IN ({', '.join(repr(x) for x in IDLE_PHASES)})" if roles.has("phase") else "false"
+    flags = {
+        "backwards": "dt <= 0",
+        "gap": f"dt > {limit}",
+        "jump": " OR ".join(f"coalesce(`{c}__rate` > `{c}__limit`, false)" for c in roles.joints) or "false",
+        "spike": f"abs({n('force_z')}) > force_z__limit" if roles.has("force_z") else "false",
+        "slip": f"{closed} AND {n('object_distance')} > {p.slip_distance_threshold} AND "
+        f"{n('object_distance')} - {n('object_distance__lag')} > {p.slip_step_threshold}" if grasp else "false",
+        "loss": f"{closed} AND is_grasped__lag AND NOT coalesce(is_grasped, false)"
+        if grasp and roles.has("is_grasped") else "false",
     }
-    if roles.has("gripper", "object_distance"):
-        closed = numeric("gripper") < profile.slip_gripper_closed
-        growth = numeric("object_distance") - numeric("object_distance__lag")
-        flags["slip"] = closed & (numeric("object_distance") > profile.slip_distance_threshold) & (
-            growth > profile.slip_step_threshold
-        )
-        if roles.has("is_grasped"):
-            flags["loss"] = closed & is_true(F.col("is_grasped__lag")) & ~is_true(F.col("is_grasped"))
-    checked = [c for c in profile.workspace if roles.has(c)]
-    if checked:
-        flags["outside"] = total([outside(c, profile).cast("int") for c in checked])
-    flags = {n: f if n == "outside" else is_true(f) for n, f in flags.items()}
-    rates = {f"{c}__rate": F.abs(ts._rate(c)) for c in roles.joints}
-    helpers = [f"{c}__fill" for c in channels] + [f"{c}__fill__lag" for c in channels] + [f"{c}__lag" for c in before]
-    return rows.withColumns({**flags, **rates}).drop(*helpers)
+    outside = [
+        f"if({n(c)} < {lo} OR {n(c)} > {hi}, 1, 0)" for c, (lo, hi) in p.workspace.items() if roles.has(c)
+    ]
+    rows = rows.selectExpr(
+        "*", *[f"coalesce({f}, false) AS {name}" for name, f in flags.items()], f"{' + '.join(outside) or '0'} AS outside"
+    ).drop(*[f"{c}__lag" for c in previous])
+    masks = {
+        "drop": f"coalesce({n('frame_valid')}, 0) < 0.5" if roles.has("frame_valid") else "false",
+        "stuck": f"speed < {p.stuck_speed_threshold} AND NOT coalesce({idle}, false)" if roles.motion else "false",
+        "mismatch": f"{n('gripper_command')} < {CLOSE_COMMAND} AND {n('gripper')} > {STILL_OPEN}"
+        if roles.has("gripper", "gripper_command") else "false",
+    }
+    return ts.with_runs(rows, layout, masks)
 
 
-def run_kinds(roles: Roles) -> list[str]:
-    return ["drop", "stuck", "mismatch"]
+def row_runs(rows: DataFrame, layout: Layout) -> DataFrame:
+    """The runs of ``flagged_rows``, of any length."""
+    return ts.runs_of(rows, layout, RUN_KINDS, carry=["median_dt"])
 
 
-def row_runs(rows: DataFrame, layout: Layout) -> DataFrame:
-    """Runs of dropped frames, of no motion and of an ignored close command."""
-    masks = {k: F.col(k) for k in ("drop", "stuck", "mismatch")}
-    return ts.true_runs(rows, layout, masks, carry=["median_dt"])
+def segment_seconds(profile: Profile) -> dict[str, str]:
+    """Least duration of a run that counts, per kind (SQL)."""
+    return {
+        "drop": f"greatest(median_dt, {profile.frame_drop_min_duration})",
+        "stuck": f"{profile.stuck_min_duration}D",
+        "mismatch": f"{MISMATCH_SECONDS}D",
+    }
 
 
 def kept_segments(runs: DataFrame, profile: Profile) -> DataFrame:
-    limit = (
-        F.when(F.col("kind") == "drop", F.greatest("median_dt", F.lit(profile.frame_drop_min_duration)))
-        .when(F.col("kind") == "stuck", F.lit(profile.stuck_min_duration))
-        .otherwise(F.lit(MISMATCH_SECONDS))
-    )
-    return ts.contiguous_segments(runs, limit)
+    cases = " ".join(f"WHEN '{k}' THEN {s}" for k, s in segment_seconds(profile).items())
+    return ts.contiguous_segments(runs, F.expr(f"CASE kind {cases} END"))
 
 
-def row_figures(rows: DataFrame, roles: Roles, keys) -> DataFrame:
-    """One row per episode: counts, extremes and times of the row rules."""
-    t = F.col("timestamp")
+def row_figures(rows: DataFrame, roles: Roles, keys, profile: Profile) -> DataFrame:
+    """One row per episode: counts, extremes and times of the row rules and of the runs that count."""
 
-    def first_last(flag: str) -> list[Column]:
-        hit = F.when(F.col(flag), F.struct("seq", "timestamp"))
+    def first_last(flag: str) -> list[str]:
         return [
-            count_if(F.col(flag)).alias(f"{flag}_rows"),
-            F.min(hit)["timestamp"].alias(f"{flag}_start"),
-            F.max(hit)["timestamp"].alias(f"{flag}_end"),
+            f"count_if({flag}) AS {flag}_rows",
+            f"min_by(timestamp, seq) FILTER (WHERE {flag}) AS {flag}_start",
+            f"max_by(timestamp, seq) FILTER (WHERE {flag}) AS {flag}_end",
         ]
 
-    missing = total([F.col(c).isNull().cast("long") for c in roles.numeric]) if roles.numeric else F.lit(0)
-    last = F.struct(
-        F.col("seq"),
-        (truthy("success_known") if roles.has("success_known") else F.lit(roles.has("success"))).alias("known"),
-        (truthy("success") if roles.has("success") else F.lit(False)).alias("success"),
-    )
-    jump_speed = F.greatest(F.lit(0.0), *[F.col(f"{c}__rate") for c in roles.joints])
-    gap_hit = F.when(F.col("gap"), F.struct("seq", "timestamp", "dt"))
-    sums = [
-        F.count(F.lit(1)).alias("rows"),
-        F.min(F.struct("seq", "timestamp"))["timestamp"].alias("first_time"),
-        F.max(F.struct("seq", "timestamp"))["timestamp"].alias("last_time"),
-        F.max("median_dt").alias("median_dt"),
-        ts.time_jitter().alias("jitter"),
-        F.sum(missing).alias("missing_cells"),
-        (F.count(F.lit(1)) * max(1, len(roles.numeric))).alias("total_cells"),
-        *[count_if(F.col(c).isNull()).alias(f"missing__{c}") for c in roles.numeric],
-        count_if(F.col("backwards")).alias("backwards_rows"),
-        count_if(F.col("gap")).alias("gap_rows"),
-        (F.min(gap_hit)["timestamp"] - F.min(gap_hit)["dt"]).alias("gap_start"),
-        F.max(gap_hit)["timestamp"].alias("gap_end"),
-        F.max(F.when(F.col("gap"), F.col("dt"))).alias("largest_gap"),
-        *first_last("drop"), *first_last("jump"), *first_last("spike"), *first_last("slip"), *first_last("loss"),
-        F.max(F.when(F.col("jump"), jump_speed)).alias("peak_joint_speed"),
-        F.sum("outside").alias("outside_samples"),
-        F.max(last).alias("_last"),
-    ]
-    if roles.has("force_z"):
-        sums += [
-            F.max(F.when(F.col("spike"), F.abs(numeric("force_z")))).alias("peak_force"),
-            F.max("force_z__limit").alias("force_limit"),
-        ]
-    out = rows.groupBy(*keys).agg(*sums)
-    return out.withColumns({"success_known": F.col("_last.known"), "success": F.col("_last.known") & F.col("_last.success")}).drop("_last")
-
-
-def segment_figures(segments: DataFrame, keys) -> DataFrame:
-    def of(kind: str) -> list[Column]:
-        mine = F.col("kind") == kind
+    def segments(kind: str, least: str) -> list[str]:
+        start = f"{kind}__from"
+        kept = f"{kind}__end AND seq > {start}.seq AND timestamp - {start}.t >= {least}"
         return [
-            count_if(mine).alias(f"{kind}_segments"),
-            F.coalesce(F.sum(F.when(mine, F.col("rows"))), F.lit(0)).alias(f"{kind}_segment_rows"),
-            F.coalesce(F.sum(F.when(mine, F.col("end_time") - F.col("start_time"))), F.lit(0.0)).alias(f"{kind}_seconds"),
-            F.min(F.when(mine, F.struct("start_seq", "start_time")))["start_time"].alias(f"{kind}_segment_start"),
-            F.max(F.when(mine, F.struct("end_seq", "end_time")))["end_time"].alias(f"{kind}_segment_end"),
+            f"count_if({kept}) AS {kind}_segments",
+            f"coalesce(sum(seq - {start}.seq + 1) FILTER (WHERE {kept}), 0) AS {kind}_segment_rows",
+            f"coalesce(sum(timestamp - {start}.t) FILTER (WHERE {kept}), 0D) AS {kind}_seconds",
+            f"min_by({start}.t, seq) FILTER (WHERE {kept}) AS {kind}_segment_start",
+            f"max_by(timestamp, seq) FILTER (WHERE {kept}) AS {kind}_segment_end",
         ]
 
-    return segments.groupBy(*keys).agg(*of("drop"), *of("stuck"), *of("mismatch"))
+    words = ", ".join(repr(w) for w in TRUE_WORDS)
+    last = {c: f"coalesce(lower(trim(cast(max_by({c}, seq) AS STRING))) IN ({words}), false)" for c in ("success", "success_known") if roles.has(c)}
+    known = last.get("success_known", "true" if roles.has("success") else "false")
+    peak = "greatest(0D, 0D" + "".join(f", `{c}__rate`" for c in roles.joints) + ")"
+    sums = [
+        "count(1) AS rows",
+        "min_by(timestamp, seq) AS first_time",
+        "max_by(timestamp, seq) AS last_time",
+        "max(median_dt) AS median_dt",
+        "coalesce(stddev_pop(dt) FILTER (WHERE dt > 0) / (avg(dt) FILTER (WHERE dt > 0) + 1e-9), 0D) AS jitter",
+        f"count(1) * {max(1, len(roles.numeric))} AS total_cells",
+        *[f"count_if(`{c}` IS NULL) AS `missing__{c}`" for c in roles.numeric],
+        "count_if(backwards) AS backwards_rows",
+        "count_if(gap) AS gap_rows",
+        "min_by(timestamp - dt, seq) FILTER (WHERE gap) AS gap_start",
+        "max_by(timestamp, seq) FILTER (WHERE gap) AS gap_end",
+        "max(dt) FILTER (WHERE gap) AS largest_gap",
+        *[e for flag in ("drop", "jump", "spike", "slip", "loss") for e in first_last(flag)],
+        *[e for kind, least in segment_seconds(profile).items() for e in segments(kind, least)],
+        f"max({peak}) FILTER (WHERE jump) AS peak_joint_speed",
+        "sum(outside) AS outside_samples",
+        f"{known} AS success_known",
+        f"{known} AND {last.get('success', 'false')} AS success",
+    ]
+    if roles.has("force_z"):
+        sums += [f"max(abs({numeric_sql('force_z')})) FILTER (WHERE spike) AS peak_force", "max(force_z__limit) AS force_limit"]
+    out = rows.groupBy(*keys).agg(*[F.expr(e) for e in sums])
+    missing = " + ".join(f"`missing__{c}`" for c in roles.numeric) or "0"
+    return out.selectExpr("*", f"{missing} AS missing_cells")
 
 
 def sync_figures(rows: DataFrame, layout: Layout, profile: Profile, longest: int) -> DataFrame:
@@ -185,114 +178,81 @@ def inspect_steps(
     layout = layout or Layout.probe(steps)
     roles = resolve_roles(steps)
     rows = flagged_rows(steps, layout, profile, roles)
-    runs = row_runs(rows, layout)
-    figures = row_figures(rows, roles, layout.keys)
-    figures = figures.join(segment_figures(kept_segments(runs, profile), layout.keys), list(layout.keys), "left")
-    zero = {f"{k}_{n}": F.coalesce(f"{k}_{n}", F.lit(0)) for k in ("drop", "stuck", "mismatch") for n in ("segments", "segment_rows", "seconds")}
-    figures = figures.withColumns(zero)
+    figures = row_figures(rows, roles, layout.keys, profile)
     if roles.has("camera_motion"):
         longest = ts.longest_lag(steps, layout, profile.sync_max_lag_seconds) if max_lag_rows is None else max_lag_rows
         figures = figures.join(sync_figures(rows, layout, profile, longest), list(layout.keys), "left")
-        offset = F.coalesce(F.col("lag") * F.col("median_dt"), F.lit(0.0))
-        figures = figures.withColumns({"offset": offset, "confidence": F.coalesce("confidence", F.lit(0.0))}).drop("lag")
     else:
-        figures = figures.withColumns({"offset": F.lit(0.0), "confidence": F.lit(0.0)})
-    slip = F.col("slip_rows") >= 3
-    figures = figures.withColumns(
-        {
-            "slipped": slip | (F.col("loss_rows") > 0),
-            "desynced": (F.abs("offset") >= profile.sync_warning_seconds) & (F.col("confidence") >= profile.sync_min_confidence),
-            "missing_rate": F.col("missing_cells") / F.greatest(F.lit(1), F.col("total_cells")),
-        }
-    ).withColumns(
-        {
-            "slip_evidence_rows": F.when(slip, F.col("slip_rows")).otherwise(F.col("loss_rows")),
-            "slip_evidence_start": F.when(slip, F.col("slip_start")).otherwise(F.col("loss_start")),
-            "slip_evidence_end": F.when(slip, F.col("slip_end")).otherwise(F.col("loss_end")),
-        }
+        figures = figures.selectExpr("*", "0 AS lag", "0D AS confidence")
+    kept = [c for c in figures.columns if c not in ("lag", "confidence")]
+    slip = "slip_rows >= 3"
+    figures = figures.selectExpr(
+        *[f"`{c}`" for c in kept],
+        "coalesce(lag * median_dt, 0D) AS offset",
+        "coalesce(confidence, 0D) AS confidence",
+        "missing_cells / greatest(1, total_cells) AS missing_rate",
+        f"({slip} OR loss_rows > 0) AS slipped",
+        *[f"if({slip}, slip_{x}, loss_{x}) AS slip_evidence_{x}" for x in ("rows", "start", "end")],
+    ).selectExpr(
+        "*",
+        f"(abs(offset) >= {profile.sync_warning_seconds} AND confidence >= {profile.sync_min_confidence}) AS desynced",
     )
-    return Diagnosis(rows, runs, figures, roles, profile, layout)
+    return Diagnosis(rows, row_runs(rows, layout), figures, roles, profile, layout)
 
 
 # ---- issues ---------------------------------------------------------------------------------------
 
 
 def issue_array(roles: Roles, profile: Profile) -> Column:
-    """The issues of an episode in rule order, from its figures (at most one per rule)."""
-    none_time = F.lit(None).cast("double")
-    severity = {code: s for code, _, s, _, _ in ISSUE_TYPES}
-
-    def issue(code: str, found: Column, count: Column, evidence: Column, start: Column = none_time, end: Column = none_time, level: Column | None = None) -> Column:
-        return F.when(
-            found,
-            F.struct(
-                F.lit(ISSUE_RULE[code]).alias("rule"),
-                F.lit(code).alias("code"),
-                (level if level is not None else F.lit(severity[code])).alias("severity"),
-                count.cast("long").alias("count"),
-                start.alias("start_time"),
-                end.alias("end_time"),
-                evidence.alias("evidence"),
-            ),
+    """The issues of an episode from its figures, critical ones first, else in rule order (at most one per rule)."""
+    fixed = {code: severity for code, _, severity, _, _ in ISSUE_TYPES}
+    force = "format_string('limit %.1f N, peak %.1f N', force_limit, peak_force)" if roles.has("force_z") else "''"
+    # code: condition, count, start, end, evidence, severity when it depends on the figures
+    rules = {
+        "MISSING_VALUES": ("missing_cells > 0", "missing_cells", None, None, top_missing(roles), "if(missing_rate < 0.02, 'warning', 'critical')"),
+        "FRAME_DROP": ("drop_rows > 0", "drop_rows", "drop_start", "drop_end", "format_string('frame_valid=0 in %.1f%% of rows', drop_rows / rows * 100)", None),
+        "NON_MONOTONIC_TIME": ("backwards_rows > 0", "backwards_rows", None, None, "''", None),
+        "TIMESTAMP_GAP": ("gap_rows > 0", "gap_rows", "gap_start", "gap_end", "format_string('usual period %.1f ms, largest gap %.0f ms', median_dt * 1000, largest_gap * 1000)", None),
+        "JOINT_JUMP": ("jump_rows > 0", "jump_rows", "jump_start", "jump_end", "format_string('peak %.1f rad/s', peak_joint_speed)", None),
+        "ROBOT_STUCK": ("stuck_segments > 0", "stuck_segments", "stuck_segment_start", "stuck_segment_end", "format_string('%.1f s in all', stuck_seconds)", None),
+        "SENSOR_DESYNC": ("desynced", "1", None, None, "format_string('offset %.0f ms, confidence %.2f', offset * 1000, confidence)", f"if(abs(offset) >= {profile.sync_critical_seconds}, 'critical', 'warning')"),
+        "FORCE_SPIKE": ("spike_rows > 0", "spike_rows", "spike_start", "spike_end", force, None),
+        "GRIPPER_RESPONSE_FAILURE": ("mismatch_segments > 0", "mismatch_segment_rows", "mismatch_segment_start", "mismatch_segment_end", "'gripper_command < -0.5 and gripper > 0.65'", None),
+        "GRASP_SLIP": ("slipped", "slip_evidence_rows", "slip_evidence_start", "slip_evidence_end", "if(slip_rows >= 3, 'distance grows with a closed gripper', 'grasp lost with a closed gripper')", None),
+        "WORKSPACE_OUTLIER": ("outside_samples > 0", "outside_samples", None, None, "''", None),
+    }
+
+    def entry(code: str) -> str:
+        found, count, start, end, evidence, severity = rules[code]
+        severity = severity or repr(fixed[code])
+        none = "cast(NULL AS DOUBLE)"
+        return (
+            f"if({found}, named_struct('rank', if({severity} = 'critical', 0, 1), 'rule', {ISSUE_RULE[code]}, 'code', '{code}', "
+            f"'severity', {severity}, 'count', cast({count} AS BIGINT), 'start_time', {start or none}, 'end_time', {end or none}, "
+            f"'evidence', {evidence}), NULL)"
         )
 
-    c = F.col
-    top = top_missing(roles)
-    items = [
-        issue("MISSING_VALUES", c("missing_cells") > 0, c("missing_cells"), top,
-              level=F.when(c("missing_rate") < 0.02, "warning").otherwise("critical")),
-        issue("FRAME_DROP", c("drop_rows") > 0, c("drop_rows"),
-              F.format_string("frame_valid=0 in %.1f%% of rows", c("drop_rows") / c("rows") * 100), c("drop_start"), c("drop_end")),
-        issue("NON_MONOTONIC_TIME", c("backwards_rows") > 0, c("backwards_rows"), F.lit("")),
-        issue("TIMESTAMP_GAP", c("gap_rows") > 0, c("gap_rows"),
-              F.format_string("usual period %.1f ms, largest gap %.0f ms", c("median_dt") * 1000, c("largest_gap") * 1000), c("gap_start"), c("gap_end")),
-        issue("JOINT_JUMP", c("jump_rows") > 0, c("jump_rows"),
-              F.format_string("peak %.1f rad/s", c("peak_joint_speed")), c("jump_start"), c("jump_end")),
-        issue("ROBOT_STUCK", c("stuck_segments") > 0, c("stuck_segments"),
-              F.format_string("%.1f s in all", c("stuck_seconds")), c("stuck_segment_start"), c("stuck_segment_end")),
-        issue("SENSOR_DESYNC", c("desynced"), F.lit(1),
-              F.format_string("offset %.0f ms, confidence %.2f", c("offset") * 1000, c("confidence")),
-              level=F.when(F.abs("offset") >= profile.sync_critical_seconds, "critical").otherwise("warning")),
-        issue("FORCE_SPIKE", c("spike_rows") > 0, c("spike_rows"),
-              F.format_string("limit %.1f N, peak %.1f N", c("force_limit"), c("peak_force")) if roles.has("force_z") else F.lit(""),
-              c("spike_start"), c("spike_end")),
-        issue("GRIPPER_RESPONSE_FAILURE", c("mismatch_segments") > 0, c("mismatch_segment_rows"),
-              F.lit("gripper_command < -0.5 and gripper > 0.65"), c("mismatch_segment_start"), c("mismatch_segment_end")),
-        issue("GRASP_SLIP", c("slipped"), c("slip_evidence_rows"),
-              F.when(c("slip_rows") >= 3, "distance grows with a closed gripper").otherwise("grasp lost with a closed gripper"),
-              c("slip_evidence_start"), c("slip_evidence_end")),
-        issue("WORKSPACE_OUTLIER", c("outside_samples") > 0, c("outside_samples"), F.lit("")),
-    ]
-    return array_of(items)
+    return F.expr(f"array_sort(array_compact(array({', '.join(entry(code) for code in ISSUE_RULE)})))")
 
 
-def top_missing(roles: Roles, k: int = 4) -> Column:
-    """The channels with most missing values of an episode, from its ``missing__*`` figures."""
+def top_missing(roles: Roles, k: int = 4) -> str:
+    """The channels with most missing values of an episode as text, from its ``missing__*`` figures (SQL)."""
     if not roles.numeric:
-        return F.lit("")
-    counts = F.filter(
-        F.array(*[F.struct((-F.col(f"missing__{c}")).alias("n"), F.lit(i).alias("i"), F.lit(c).alias("channel")) for i, c in enumerate(roles.numeric)]),
-        lambda e: e["n"] < 0,
-    )
-    return F.array_join(
-        F.transform(F.slice(F.array_sort(counts), 1, k), lambda e: F.concat(e["channel"], F.lit(": "), (-e["n"]).cast("string"))), ", "
+        return "''"
+    counts = ", ".join(
+        f"named_struct('n', -`missing__{c}`, 'i', {i}, 'text', concat('{c}: ', `missing__{c}`))" for i, c in enumerate(roles.numeric)
     )
+    return f"array_join(transform(slice(array_sort(filter(array({counts}), e -> e.n < 0)), 1, {k}), e -> e.text), ', ')"
 
 
 def severity_rank(severity: Column) -> Column:
     return F.when(severity == "critical", 0).when(severity == "warning", 1).when(severity == "info", 2).otherwise(3)
 
 
-def by_severity(issues: Column) -> Column:
-    """Critical first, rule order within a severity."""
-    keyed = F.transform(issues, lambda i: F.struct(severity_rank(i["severity"]).alias("rank"), i["rule"].alias("rule"), i.alias("issue")))
-    return F.transform(F.array_sort(keyed), lambda e: e["issue"])
-
-
 def issue_rows(episodes: DataFrame, keys=("episode_id",)) -> DataFrame:
     """One row per (episode, issue) with its place in the severity order."""
     exploded = episodes.select(*keys, F.posexplode("issues").alias("place", "issue"))
-    return exploded.select(*keys, "place", "issue.*")
+    return exploded.select(*keys, "place", "issue.*").drop("rank")
 
 
 def missing_channels(d: Diagnosis, k: int = 4) -> DataFrame:
@@ -344,11 +304,12 @@ def event_rows(d: Diagnosis, per_type: int = EVENTS_PER_TYPE) -> DataFrame:
 def fixed_threshold_codes(d: Diagnosis) -> DataFrame:
     """A simpler detector with fixed limits, for comparison: ``codes`` per episode, sorted."""
     keys = list(d.layout.keys)
+    idle = "lower(phase) IN ('idle', 'reset')" if d.roles.has("phase") else "false"
     stuck = ts.true_runs(
-        d.rows, d.layout, {"still": (F.col("speed") < 0.003) & active_phase(d.roles)}
+        d.rows, d.layout, {"still": f"speed < 0.003 AND NOT coalesce({idle}, false)"}
     )
     still = ts.longest_segment(stuck, d.layout).select(*keys, F.col("longest").alias("still_seconds"))
-    peak_joint = F.greatest(F.lit(0.0), *[F.coalesce(f"{c}__rate", F.lit(0.0)) for c in d.roles.joints])
+    peak_joint = F.greatest(F.lit(0.0), F.lit(0.0), *[F.col(f"{c}__rate") for c in d.roles.joints])
     rows = d.rows.groupBy(*keys).agg(
         F.max("dt").alias("_dt"), F.max(peak_joint).alias("_joint"), F.max(F.abs(numeric("force_z"))).alias("_force"),
         count_if((numeric("gripper") < 0.3) & F.col("slip")).alias("_slip"),

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.functions.columns import any_of, array_of, count_if
+from trajspark.functions.columns import count_if
 from trajspark.functions.layout import Layout
 from trajspark.operators.detect import (
     ISSUE_TYPES,
     Diagnosis,
-    by_severity,
     inspect_steps,
     issue_array,
     issue_rows,
@@ -25,32 +24,25 @@ GRADES = (("A", 90.0), ("B", 78.0), ("C", 65.0), ("D", None))
 BINS = (("90-100", 90.0), ("78-89", 78.0), ("65-77", 65.0), ("0-64", None))
 
 
-def _capped(penalty: Column) -> Column:
-    return F.bround(F.greatest(F.lit(0.0), 100.0 - F.least(F.lit(100.0), penalty)), 1)
+def _capped(penalty: str) -> str:
+    return f"bround(greatest(0D, 100D - least(100D, cast({penalty} AS DOUBLE))), 1)"
 
 
-def dimension_scores() -> dict[str, Column]:
-    c = F.col
-    safety = (
-        c("outside_samples") * 8.0
-        + F.when(c("spike_rows") > 0, 55.0 + F.least(F.lit(30.0), c("spike_rows") * 5.0)).otherwise(0.0)
-        + F.when(c("slipped"), 62.0).otherwise(0.0)
-    )
-    return {
-        "completeness": _capped(c("missing_rate") * 1200.0),
-        "temporal": _capped(c("backwards_rows") * 20.0 + c("gap_rows") * 12.0 + F.greatest(F.lit(0.0), c("jitter") - 0.08) * 80.0),
-        "motion": _capped(c("jump_rows") * 9.0 + c("stuck_segments") * 42.0 + c("mismatch_segments") * 35.0),
-        "sync": F.when(c("confidence") >= 0.25, _capped(F.abs("offset") * 350.0)).otherwise(80.0),
-        "safety": _capped(safety),
-    }
+# SQL over the figures of an episode.
+DIMENSION_SQL = {
+    "completeness": _capped("missing_rate * 1200"),
+    "temporal": _capped("backwards_rows * 20 + gap_rows * 12 + greatest(0D, jitter - 0.08D) * 80"),
+    "motion": _capped("jump_rows * 9 + stuck_segments * 42 + mismatch_segments * 35"),
+    "sync": f"if(confidence >= 0.25, {_capped('abs(offset) * 350')}, 80D)",
+    "safety": _capped("outside_samples * 8 + if(spike_rows > 0, 55 + least(30, spike_rows * 5), 0) + if(slipped, 62, 0)"),
+}
 
 
-def overall_score() -> Column:
-    """Unrounded score from the rounded dimensions and the number of critical issues."""
-    base = sum((F.col(d) * w for d, w in WEIGHTS.items()), F.lit(0.0)) - F.col("critical_count") * 6.0
-    capped = F.when(F.col("critical_count") > 0, F.least(base, F.lit(79.0))).otherwise(base)
-    lowest = F.least(*DIMENSIONS)
-    return F.greatest(F.lit(0.0), F.when(lowest < 40.0, F.least(capped, F.lit(69.0))).otherwise(capped))
+def overall_score() -> str:
+    """Unrounded score from the rounded dimensions and the number of critical issues (SQL)."""
+    base = " + ".join(f"{d} * {w}D" for d, w in WEIGHTS.items()) + " - critical_count * 6"
+    capped = f"if(critical_count > 0, least({base}, 79D), {base})"
+    return f"greatest(0D, if(least({', '.join(DIMENSIONS)}) < 40, least({capped}, 69D), {capped}))"
 
 
 def banded(value: Column, bands) -> Column:
@@ -62,45 +54,47 @@ def banded(value: Column, bands) -> Column:
     return out
 
 
-def root_causes() -> Column:
-    """Candidate causes in fixed order; a fallback when a labelled failure has none."""
-    c = F.col
+def root_causes() -> str:
+    """Candidate causes in fixed order; a fallback when a labelled failure has none (SQL)."""
     candidates = [
-        ("frames lost in capture", "high", c("drop_rows") > 0),
-        ("collision or contact", "high", c("spike_rows") > 0),
-        ("execution stalled", "high", c("stuck_segments") > 0),
-        ("gripper did not act", "high", c("mismatch_segments") > 0),
-        ("object slipped", "high", c("slipped")),
-        ("sensors out of step", "medium", c("desynced")),
-        ("unstable control", "medium", c("jump_rows") > 0),
+        ("frames lost in capture", "high", "drop_rows > 0"),
+        ("collision or contact", "high", "spike_rows > 0"),
+        ("execution stalled", "high", "stuck_segments > 0"),
+        ("gripper did not act", "high", "mismatch_segments > 0"),
+        ("object slipped", "high", "slipped"),
+        ("sensors out of step", "medium", "desynced"),
+        ("unstable control", "medium", "jump_rows > 0"),
     ]
-    found = array_of([F.when(hit, F.struct(F.lit(label).alias("label"), F.lit(level).alias("confidence"))) for label, level, hit in candidates])
-    fallback = F.array(F.struct(F.lit("task failed").alias("label"), F.lit("low").alias("confidence")))
-    return F.when((F.size(found) == 0) & c("success_known") & ~c("success"), fallback).otherwise(found)
+
+    def cause(label: str, level: str) -> str:
+        return f"named_struct('label', '{label}', 'confidence', '{level}')"
+
+    found = ", ".join(f"if({hit}, {cause(label, level)}, NULL)" for label, level, hit in candidates)
+    unknown = " OR ".join(hit for _, _, hit in candidates)
+    fallback = f"if(success_known AND NOT success AND NOT ({unknown}), {cause('task failed', 'low')}, NULL)"
+    return f"array_compact(array({found}, {fallback}))"
 
 
 def score_episodes(d: Diagnosis) -> DataFrame:
     """One row per episode: metrics, dimension scores, score, grade, causes and issues."""
-    out = d.figures.withColumns(dimension_scores())
-    out = out.withColumn("issues", by_severity(issue_array(d.roles, d.profile)))
-    out = out.withColumn("issue_codes", F.transform("issues", lambda i: i["code"]))
-    out = out.withColumns(
-        {
-            "issue_count": F.size("issues"),
-            "critical_count": F.size(F.filter("issues", lambda i: i["severity"] == "critical")),
-            "root_causes": root_causes(),
-        }
+    out = d.figures.withColumns({"issues": issue_array(d.roles, d.profile)} | {n: F.expr(e) for n, e in DIMENSION_SQL.items()})
+    out = out.selectExpr(
+        "*",
+        "transform(issues, i -> i.code) AS issue_codes",
+        "size(issues) AS issue_count",
+        "size(filter(issues, i -> i.severity = 'critical')) AS critical_count",
+        f"{root_causes()} AS root_causes",
     )
-    out = out.withColumn("raw_score", overall_score())
-    return out.withColumns(
-        {
-            "quality_score": F.bround("raw_score", 1),
-            "grade": banded(F.col("raw_score"), GRADES),
-            "duration": F.bround(F.greatest(F.lit(0.0), F.col("last_time") - F.col("first_time")), 3),
-            "sample_rate": F.bround(F.when(F.col("median_dt") > 0, 1 / F.col("median_dt")).otherwise(0.0), 2),
-            "primary_cause": F.coalesce(F.try_element_at("root_causes", F.lit(1))["label"], F.lit("nothing found")),
-            "primary_issue_code": F.try_element_at("issue_codes", F.lit(1)),
-        }
+    out = out.selectExpr("*", f"{overall_score()} AS raw_score")
+    bands = " ".join(f"WHEN raw_score >= {limit} THEN '{g}'" for g, limit in GRADES if limit is not None)
+    return out.selectExpr(
+        "*",
+        "bround(raw_score, 1) AS quality_score",
+        f"CASE {bands} ELSE '{GRADES[-1][0]}' END AS grade",
+        "bround(greatest(0D, last_time - first_time), 3) AS duration",
+        "bround(if(median_dt > 0, 1 / median_dt, 0D), 2) AS sample_rate",
+        "coalesce(try_element_at(root_causes, 1).label, 'nothing found') AS primary_cause",
+        "try_element_at(issue_codes, 1) AS primary_issue_code",
     )
 
 

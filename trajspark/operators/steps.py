@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajspark.functions.columns import any_of, numeric
+from trajspark.functions.columns import any_of, finite, numeric
 from trajspark.functions.layout import Layout
 from trajspark.profiles import Profile
 
@@ -68,7 +68,7 @@ def validate_steps(df: DataFrame) -> DataFrame:
     missing = sorted({"timestamp", "episode_id"} - set(df.columns))
     if missing:
         raise ValueError(f"missing required columns: {', '.join(missing)}")
-    out = df.withColumns({"timestamp": numeric("timestamp"), "episode_id": F.col("episode_id").cast("string")})
+    out = df.withColumns({"timestamp": finite("timestamp"), "episode_id": F.col("episode_id").cast("string")})
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name != "timestamp"]
     out = out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
     return out.filter(F.col("timestamp").isNotNull())

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.functions.columns import count_if, is_true, mad_threshold, norm, numeric
+from trajspark.functions.columns import count_if, is_true, mad_threshold, norm, numeric, numeric_sql
 from trajspark.functions.layout import Layout
 from trajspark.operators.steps import Roles
 
@@ -50,21 +50,26 @@ def gap_limit(profile) -> Column:
 # ---- interpolation --------------------------------------------------------------------------------
 
 
-def position_fill(name: str) -> Column:
-    """Linear between the nearest known rows by row position, nearest value at the edges."""
-    a, b = F.col(f"{name}__prev"), F.col(f"{name}__next")
-    share = (F.col("seq") - a["seq"]) / (b["seq"] - a["seq"])
+def position_fill(name: str) -> str:
+    """Linear between the nearest known rows by row position, nearest value at the edges (SQL)."""
+    a, b = f"`{name}__prev`", f"`{name}__next`"
     return (
-        F.when(a.isNull(), b["v"])
-        .when(b.isNull() | (a["seq"] == b["seq"]), a["v"])
-        .otherwise(a["v"] + (b["v"] - a["v"]) * share)
+        f"CASE WHEN {a} IS NULL THEN {b}.v WHEN {b} IS NULL OR {a}.seq = {b}.seq THEN {a}.v "
+        f"ELSE {a}.v + ({b}.v - {a}.v) * ((seq - {a}.seq) / ({b}.seq - {a}.seq)) END"
     )
 
 
-def interpolate_positional(df: DataFrame, layout: Layout, channels: Sequence[str], suffix: str = "__fill") -> DataFrame:
-    out = layout.with_anchors(df, {c: numeric(c) for c in channels})
-    out = out.withColumns({f"{c}{suffix}": position_fill(c) for c in channels})
-    return out.drop(*[f"{c}__{side}" for c in channels for side in ("prev", "next")])
+def interpolate_positional(
+    df: DataFrame, layout: Layout, channels: Sequence[str], suffix: str = "__fill", also=None, before: int = 0, after: int = 0
+) -> DataFrame:
+    """Adds ``<channel>__fill``; ``also`` rides along as in :meth:`Layout.carry`."""
+    kept = df.columns
+    out = layout.with_anchors(df, {c: numeric_sql(c) for c in channels}, also=also, before=before, after=after)
+    anchors = {f"{c}__{side}" for c in channels for side in ("prev", "next")}
+    added = [c for c in out.columns if c not in anchors and c not in kept]
+    return out.selectExpr(
+        *[f"`{c}`" for c in [*kept, *added]], *[f"{position_fill(c)} AS `{c}{suffix}`" for c in channels]
+    )
 
 
 def time_fill(a: Column, b: Column, t: Column) -> Column:
@@ -78,7 +83,7 @@ def short_gap_interpolate(df: DataFrame, layout: Layout, channels: Sequence[str]
 
     Adds ``<c>__original`` and the flags ``<c>__filled`` and ``<c>__open`` (missing and not filled).
     """
-    out = layout.with_anchors(df, {c: numeric(c) for c in channels})
+    out = layout.with_anchors(df, {c: numeric_sql(c) for c in channels})
     for c in channels:
         a, b = F.col(f"{c}__prev"), F.col(f"{c}__next")
         missing = numeric(c).isNull()
@@ -102,34 +107,42 @@ def with_previous(df: DataFrame, layout: Layout, columns: Sequence[str]) -> Data
     return layout.local(df, lambda w: {f"{c}__lag": F.lag(c).over(w) for c in columns}, before=1)
 
 
+def rate_sql(name: str) -> str:
+    """Change per second of a filled channel; zero on the first row. Needs ``with_rates`` columns."""
+    return f"if(dt IS NULL, 0D, (`{name}__fill` - `{name}__fill__lag`) / if(dt > 0, dt, median_dt))"
+
+
 def _rate(name: str) -> Column:
-    """Change per second of a filled channel; zero on the first row."""
-    change = F.col(f"{name}__fill") - F.col(f"{name}__fill__lag")
-    return F.when(F.col("dt").isNull(), F.lit(0.0)).otherwise(change / safe_interval())
+    return F.expr(rate_sql(name))
 
 
-def motion_speed(roles: Roles) -> Column:
+def speed_sql(roles: Roles) -> str:
     """Speed of the tool position, else of the joints, else zero. Needs ``with_rates`` columns."""
-    return norm([_rate(c) for c in roles.motion]) if roles.motion else F.lit(0.0)
+    if not roles.motion:
+        return "0D"
+    return "sqrt(" + " + ".join(f"power({rate_sql(c)}, 2)" for c in roles.motion) + ")"
 
 
-def with_rates(df: DataFrame, layout: Layout, channels: Sequence[str]) -> DataFrame:
-    """dt, median_dt, and filled and previous values of the channels."""
-    if channels:
-        df = interpolate_positional(df, layout, channels)
-    df = layout.local(
-        df,
-        lambda w: {
+def with_rates(df: DataFrame, layout: Layout, channels: Sequence[str], previous: Sequence[str] = ()) -> DataFrame:
+    """dt, median_dt, filled and previous values of the channels, and ``<c>__lag`` of other columns."""
+
+    def steps_back(w):
+        return {
             "dt": F.col("timestamp") - F.lag("timestamp").over(w),
-            **{f"{c}__fill__lag": F.lag(f"{c}__fill").over(w) for c in channels},
-        },
-        before=1,
-    )
+            "next_time": F.lead("timestamp").over(w),
+            **{f"{c}__lag": F.lag(c).over(w) for c in previous},
+        }
+
+    if channels:
+        df = interpolate_positional(df, layout, channels, also=steps_back, before=1, after=1)
+        df = layout.local(df, lambda w: {f"{c}__fill__lag": F.lag(f"{c}__fill").over(w) for c in channels}, before=1)
+    else:
+        df = layout.local(df, steps_back, before=1, after=1)
     return with_period(df, layout)
 
 
 def with_speed(df: DataFrame, layout: Layout, roles: Roles) -> DataFrame:
-    return with_rates(df, layout, roles.motion).withColumn("speed", motion_speed(roles))
+    return with_rates(df, layout, roles.motion).withColumn("speed", F.expr(speed_sql(roles)))
 
 
 def channel_velocity(df: DataFrame, layout: Layout, channels: Sequence[str]) -> DataFrame:
@@ -157,42 +170,41 @@ def with_robust_thresholds(
 # ---- runs -----------------------------------------------------------------------------------------
 
 
-def with_run_ids(df: DataFrame, layout: Layout, masks: Mapping[str, Column]) -> DataFrame:
-    """For each mask add the flag and ``<name>__run``, the number of runs begun so far."""
-    out = df.withColumns({n: is_true(m) for n, m in masks.items()})
-    out = layout.local(
-        out,
-        lambda w: {f"{n}__start": F.col(n) & ~F.lag(n, 1, False).over(w) for n in masks},
-        before=1,
+def with_runs(df: DataFrame, layout: Layout, masks: Mapping[str, str], next_time: str = "next_time") -> DataFrame:
+    """For each mask (SQL condition) add ``<name>``, ``<name>__from`` = start (seq, t) of the run that holds
+    the row, and ``<name>__end``: whether the run ends here. ``next_time`` is the time of the next row."""
+    out = df.withColumns({n: F.expr(f"coalesce({m}, false)") for n, m in masks.items()})
+    # A run starts right after the last row outside it, or at the first row of the episode.
+    after = {
+        f"{n}__from": F.expr(f"if({n}, if(seq = 0, named_struct('seq', seq, 't', timestamp), NULL), named_struct('seq', seq + 1, 't', `{next_time}`))")
+        for n in masks
+    }
+    return layout.carry(
+        out, after, also=lambda w: {f"{n}__end": F.col(n) & ~F.lead(n, 1, False).over(w) for n in masks}, after=1
     )
-    out = layout.running(out, {f"{n}__run": F.col(f"{n}__start").cast("int") for n in masks})
-    return out.drop(*[f"{n}__start" for n in masks])
 
 
-def true_runs(df: DataFrame, layout: Layout, masks: Mapping[str, Column], carry: Sequence[str] = ()) -> DataFrame:
-    """Runs of true rows of any length, one row each: kind, run, rows, start/end position and time.
-
-    A run may be as long as the table; it is only aggregated, with map-side combining.
-    """
-    out = with_run_ids(df, layout, masks)
-    entries = F.filter(
-        F.array(*[F.struct(F.lit(n).alias("kind"), F.col(f"{n}__run").alias("run"), F.col(n).alias("hit")) for n in masks]),
-        lambda e: e["hit"],
+def runs_of(df: DataFrame, layout: Layout, names: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """The runs of ``with_runs``, one row each: kind, rows, start/end position and time."""
+    entries = ", ".join(
+        f"if({n}__end, named_struct('kind', '{n}', 'start_seq', {n}__from.seq, 'start_time', {n}__from.t), NULL)" for n in names
+    )
+    ends = df.selectExpr(
+        *layout.keys, "seq AS end_seq", "timestamp AS end_time", *carry, f"inline(array_compact(array({entries})))"
     )
-    hits = out.select(*layout.keys, "seq", "timestamp", *carry, F.inline(entries)).drop("hit")
-    return hits.groupBy(*layout.keys, "kind", "run").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.min(F.struct("seq", "timestamp")).alias("_first"),
-        F.max(F.struct("seq", "timestamp")).alias("_last"),
-        *[F.max(c).alias(c) for c in carry],
-    ).select(
-        *layout.keys, "kind", "run", "rows",
-        F.col("_first.seq").alias("start_seq"), F.col("_last.seq").alias("end_seq"),
-        F.col("_first.timestamp").alias("start_time"), F.col("_last.timestamp").alias("end_time"),
-        *carry,
+    return ends.select(
+        *layout.keys, "kind", (F.col("end_seq") - F.col("start_seq") + 1).alias("rows"),
+        "start_seq", "end_seq", "start_time", "end_time", *carry,
     )
 
 
+def true_runs(df: DataFrame, layout: Layout, masks: Mapping[str, str], carry: Sequence[str] = ()) -> DataFrame:
+    """Runs of true rows of any length."""
+    if "next_time" not in df.columns:
+        df = layout.local(df, lambda w: {"next_time": F.lead("timestamp").over(w)}, after=1)
+    return runs_of(with_runs(df, layout, masks), layout, list(masks), carry)
+
+
 def contiguous_segments(runs: DataFrame, min_duration: Column) -> DataFrame:
     """Runs of at least two rows that last long enough."""
     return runs.filter((F.col("rows") >= 2) & (F.col("end_time") - F.col("start_time") >= min_duration))
@@ -345,7 +357,7 @@ def sample_at(df: DataFrame, layout: Layout, column: str, offset: Column) -> Dat
     if not layout.whole:
         both = both.withColumn("_bucket", F.floor(F.col("time") / (F.col("median_dt") * layout.chunk_rows)))
     by_time = replace(layout, order="_at", bucket="_bucket")
-    found = by_time.with_anchors(both, {"s": F.col("value")}, time="time").filter(F.col("kind") == 1)
+    found = by_time.with_anchors(both, {"s": "value"}, time="time").filter(F.col("kind") == 1)
     a, b = F.col("s__prev"), F.col("s__next")
     value = F.when(a["t"] == F.col("time"), a["v"]).when(a.isNotNull() & b.isNotNull(), time_fill(a, b, F.col("time")))
     return df.join(found.select(*layout.keys, "seq", value.alias(f"{column}__shifted")), [*layout.keys, "seq"])
