@@ -50,12 +50,12 @@ def gap_limit(profile) -> Column:
 # ---- interpolation --------------------------------------------------------------------------------
 
 
-def position_fill(name: str) -> str:
+def position_fill(name: str, order: str = "seq") -> str:
     """Linear between the nearest known rows by row position, nearest value at the edges (SQL)."""
     a, b = f"`{name}__prev`", f"`{name}__next`"
     return (
         f"CASE WHEN {a} IS NULL THEN {b}.v WHEN {b} IS NULL OR {a}.seq = {b}.seq THEN {a}.v "
-        f"ELSE {a}.v + ({b}.v - {a}.v) * ((seq - {a}.seq) / ({b}.seq - {a}.seq)) END"
+        f"ELSE {a}.v + ({b}.v - {a}.v) * ((`{order}` - {a}.seq) / ({b}.seq - {a}.seq)) END"
     )
 
 
@@ -68,7 +68,7 @@ def interpolate_positional(
     anchors = {f"{c}__{side}" for c in channels for side in ("prev", "next")}
     added = [c for c in out.columns if c not in anchors and c not in kept]
     return out.selectExpr(
-        *[f"`{c}`" for c in [*kept, *added]], *[f"{position_fill(c)} AS `{c}{suffix}`" for c in channels]
+        *[f"`{c}`" for c in [*kept, *added]], *[f"{position_fill(c, layout.order)} AS `{c}{suffix}`" for c in channels]
     )
 
 
@@ -347,20 +347,19 @@ def sample_at(df: DataFrame, layout: Layout, column: str, offset: Column) -> Dat
     Samples and targets are ordered together by time. Needs ``median_dt``, which sets the width of the time
     buckets when episodes are long.
     """
-    moved = df.withColumn("_target", F.col("timestamp") + offset)
-    sides = F.array(
-        F.struct(F.col("timestamp").alias("time"), F.lit(0).alias("kind"), numeric(column).alias("value")),
-        F.struct(F.col("_target").alias("time"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("value")),
+    sides = (
+        f"inline(array(named_struct('_time', timestamp, '_kind', 0, '_value', {numeric_sql(column)}), "
+        "named_struct('_time', timestamp + _offset, '_kind', 1, '_value', cast(NULL AS DOUBLE))))"
     )
-    both = moved.select(*layout.keys, "seq", "median_dt", F.inline(sides))
-    both = both.withColumn("_at", F.struct("time", "kind", "seq"))
+    both = df.withColumn("_offset", offset).selectExpr("*", sides).drop("_offset")
+    both = both.withColumn("_at", F.struct("_time", "_kind", layout.order))
     if not layout.whole:
-        both = both.withColumn("_bucket", F.floor(F.col("time") / (F.col("median_dt") * layout.chunk_rows)))
+        both = both.withColumn("_bucket", F.floor(F.col("_time") / (F.col("median_dt") * layout.chunk_rows)))
     by_time = replace(layout, order="_at", bucket="_bucket")
-    found = by_time.with_anchors(both, {"s": "value"}, time="time").filter(F.col("kind") == 1)
-    a, b = F.col("s__prev"), F.col("s__next")
-    value = F.when(a["t"] == F.col("time"), a["v"]).when(a.isNotNull() & b.isNotNull(), time_fill(a, b, F.col("time")))
-    return df.join(found.select(*layout.keys, "seq", value.alias(f"{column}__shifted")), [*layout.keys, "seq"])
+    found = by_time.with_anchors(both, {"_s": "_value"}, time="_time").filter("_kind = 1")
+    a, b = F.col("_s__prev"), F.col("_s__next")
+    value = F.when(a["t"] == F.col("_time"), a["v"]).when(a.isNotNull() & b.isNotNull(), time_fill(a, b, F.col("_time")))
+    return found.select(*df.columns, value.alias(f"{column}__shifted"))
 
 
 def downsample(df: DataFrame, layout: Layout, max_points: int = 800) -> DataFrame:
