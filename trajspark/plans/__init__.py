@@ -1,6 +1,6 @@
 """Composed jobs and the registered queries."""
 
-from trajspark.plans import diagnosis_queries, repair_queries  # noqa: F401
+from trajspark.plans import diagnosis_queries, reasoning_queries, repair_queries  # noqa: F401
 from trajspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
