@@ -1,6 +1,12 @@
 """Composed jobs and the registered queries."""
 
-from trajspark.plans import diagnosis_queries, reasoning_queries, repair_queries  # noqa: F401
+from trajspark.plans import (  # noqa: F401
+    diagnosis_queries,
+    recovery_queries,
+    reasoning_queries,
+    repair_queries,
+    source_queries,
+)
 from trajspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
