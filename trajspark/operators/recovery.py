@@ -63,7 +63,9 @@ def flatten_replays(documents: DataFrame) -> Replays:
     keys = list(KEYS)
     runs = documents.select(*keys, "fps", "rows", "duration", "success", "config.*", "recovery.*")
     arrays = ["timestamps", "tcp", "object", "goal", "force", "gripper", "gripper_command", "is_grasped", "success_trace", "phases"]
-    frames = documents.select(*keys, F.posexplode(F.arrays_zip(*arrays)).alias("seq", "f"))
+    # A document may lack an array; it then gives nulls.
+    known = documents.select(*keys, *[F.coalesce(a, F.array().cast(documents.schema[a].dataType)).alias(a) for a in arrays])
+    frames = known.select(*keys, F.posexplode(F.arrays_zip(*arrays)).alias("seq", "f"))
     point = lambda name: [F.get(F.col(f"f.{name}"), F.lit(i)).alias(f"{name}_{a}") for i, a in enumerate("xyz")]
     frames = frames.select(
         *keys, F.col("seq").cast("long").alias("seq"), F.col("f.timestamps").alias("timestamp"), *point("tcp"), *point("object"), *point("goal"),

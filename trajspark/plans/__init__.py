@@ -1,6 +1,7 @@
 """Composed jobs and the registered queries."""
 
 from trajspark.plans import (  # noqa: F401
+    benchmark_queries,
     diagnosis_queries,
     recovery_queries,
     reasoning_queries,

@@ -17,7 +17,7 @@ RECOVERY_PHASE = (
 )
 FRAME = {
     # column: (failure, recovered)
-    "tcp_x": ("ee_x", "CASE WHEN seq < s THEN ee_x ELSE ee_x * 1.1e0 END"),
+    "tcp_x": ("ee_x * 0.913713e0", "CASE WHEN seq < s THEN ee_x * 0.913713e0 ELSE ee_x END"),
     "tcp_y": ("ee_y", "ee_y"),
     "tcp_z": ("0e0", "0e0"),
     "object_x": ("object_distance", "object_distance"),
