@@ -93,7 +93,7 @@ def gauss(channel_no: int) -> str:
 
 
 def noisy(channel: str) -> str:
-    return f"{channel} + {NOISE[channel]}e0 * ({gauss(sorted(NOISE).index(channel) + 1)})"
+    return f"{channel} + {NOISE[channel]:.5f}e0 * ({gauss(sorted(NOISE).index(channel) + 1)})"
 
 
 SIGN = "CASE WHEN pick % 2 = 0 THEN 1 ELSE -1 END"
