@@ -7,6 +7,7 @@ from trajspark.plans import (  # noqa: F401
     reasoning_queries,
     repair_queries,
     source_queries,
+    streaming_queries,
 )
 from trajspark.plans.registry import ORACLES, QUERIES
 
