@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajspark.functions.columns import TRUE_WORDS, array_of, count_if, numeric, numeric_sql
+from trajspark.functions.columns import TRUE_WORDS, numeric_sql
 from trajspark.functions.layout import Layout
 from trajspark.operators import timeseries as ts
 from trajspark.operators.steps import IDLE_PHASES, Roles, resolve_roles
@@ -301,28 +301,30 @@ def event_rows(d: Diagnosis, per_type: int = EVENTS_PER_TYPE) -> DataFrame:
 # ---- fixed-threshold rules ------------------------------------------------------------------------
 
 
-def fixed_threshold_codes(d: Diagnosis) -> DataFrame:
-    """A simpler detector with fixed limits, for comparison: ``codes`` per episode, sorted."""
+def fixed_threshold_codes(d: Diagnosis, also: list[Column] | None = None) -> DataFrame:
+    """A simpler detector with fixed limits, for comparison: ``codes`` per episode, sorted. ``also`` adds
+    aggregates over the rows of an episode in the same pass."""
     keys = list(d.layout.keys)
     idle = "lower(phase) IN ('idle', 'reset')" if d.roles.has("phase") else "false"
-    stuck = ts.true_runs(
-        d.rows, d.layout, {"still": f"speed < 0.003 AND NOT coalesce({idle}, false)"}
+    rows = ts.with_runs(d.rows, d.layout, {"still": f"speed < 0.003 AND NOT coalesce({idle}, false)"})
+    peak = "greatest(0D, 0D" + "".join(f", `{c}__rate`" for c in d.roles.joints) + ")"
+    sums = rows.groupBy(*keys).agg(
+        F.expr("max(dt) AS _dt"), F.expr(f"max({peak}) AS _joint"),
+        F.expr(f"max(abs({numeric_sql('force_z')})) AS _force" if d.roles.has("force_z") else "0D AS _force"),
+        F.expr(f"count_if(slip AND {numeric_sql('gripper')} < 0.3) AS _slip" if d.roles.has("gripper") else "0L AS _slip"),
+        F.expr("max(greatest(0D, timestamp - still__from.t)) FILTER (WHERE still__end) AS _still"),
+        *(also or []),
     )
-    still = ts.longest_segment(stuck, d.layout).select(*keys, F.col("longest").alias("still_seconds"))
-    peak_joint = F.greatest(F.lit(0.0), F.lit(0.0), *[F.col(f"{c}__rate") for c in d.roles.joints])
-    rows = d.rows.groupBy(*keys).agg(
-        F.max("dt").alias("_dt"), F.max(peak_joint).alias("_joint"), F.max(F.abs(numeric("force_z"))).alias("_force"),
-        count_if((numeric("gripper") < 0.3) & F.col("slip")).alias("_slip"),
-    )
-    all_figures = d.figures.select(*keys, "median_dt", "drop_rows", "offset", "confidence").join(rows, keys).join(still, keys, "left")
-    c = F.col
-    rules = [
-        ("TIMESTAMP_GAP", c("_dt") > F.greatest(F.lit(0.10), c("median_dt") * 4)),
-        ("FRAME_DROP", c("drop_rows") > 0),
-        ("JOINT_JUMP", c("_joint") > 8.0),
-        ("FORCE_SPIKE", c("_force") > 50.0),
-        ("ROBOT_STUCK", c("still_seconds") >= 1.5),
-        ("SENSOR_DESYNC", (F.abs("offset") >= 0.15) & (c("confidence") >= 0.35)),
-        ("GRASP_SLIP", c("_slip") >= 6),
-    ]
-    return all_figures.select(*keys, F.array_sort(array_of([F.when(rule, F.lit(code)) for code, rule in rules])).alias("codes"))
+    rules = {
+        "TIMESTAMP_GAP": "_dt > greatest(0.10, median_dt * 4)",
+        "FRAME_DROP": "drop_rows > 0",
+        "JOINT_JUMP": "_joint > 8",
+        "FORCE_SPIKE": "_force > 50",
+        "ROBOT_STUCK": "_still >= 1.5",
+        "SENSOR_DESYNC": "abs(offset) >= 0.15 AND confidence >= 0.35",
+        "GRASP_SLIP": "_slip >= 6",
+    }
+    codes = ", ".join(f"if({rule}, '{code}', NULL)" for code, rule in rules.items())
+    kept = [c for c in sums.columns if c not in ("_dt", "_joint", "_force", "_slip", "_still")]
+    joined = d.figures.select(*keys, "median_dt", "drop_rows", "offset", "confidence").join(sums, keys)
+    return joined.selectExpr(*[f"`{c}`" for c in kept], f"array_sort(array_compact(array({codes}))) AS codes")

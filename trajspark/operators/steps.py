@@ -50,7 +50,8 @@ class Roles:
 
 
 def resolve_roles(df: DataFrame) -> Roles:
-    kinds = {f.name: f.dataType for f in df.schema.fields}
+    # Columns named meta_* travel with the rows and are never signals.
+    kinds = {f.name: f.dataType for f in df.schema.fields if not f.name.startswith("meta_")}
     names = list(kinds)
     family = lambda prefix: tuple(n for n in names if n.startswith(prefix) and not n.endswith("__original"))
     return Roles(
