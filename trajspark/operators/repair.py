@@ -61,12 +61,12 @@ class Repair:
     @property
     def cleaned(self) -> DataFrame:
         """The cleaned rows as a user reads them."""
-        return self.rows.select(*self.columns, *[f"{c}__original" for c in self.signals], *AUDIT_COLUMNS)
+        return self.rows.select(*[f"`{c}`" for c in self.columns], *[f"{c}__original" for c in self.signals], *AUDIT_COLUMNS)
 
     @cached_property
     def after(self) -> DataFrame:
         """The diagnosis of the cleaned rows, one row per episode."""
-        return materialise(score.diagnose(self.rows.select(*self.columns), self.profile, self.layout, self.max_lag_rows))
+        return materialise(score.diagnose(self.rows.select(*[f"`{c}`" for c in self.columns]), self.profile, self.layout, self.max_lag_rows))
 
 
 def repair_steps(

@@ -71,7 +71,7 @@ def validate_steps(df: DataFrame) -> DataFrame:
         raise ValueError(f"missing required columns: {', '.join(missing)}")
     out = df.withColumns({"timestamp": finite("timestamp"), "episode_id": F.col("episode_id").cast("string")})
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name != "timestamp"]
-    out = out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
+    out = out.withColumns({c: F.expr(f"if(isnan(`{c}`), NULL, `{c}`)") for c in floats})
     return out.filter(F.col("timestamp").isNotNull())
 
 
