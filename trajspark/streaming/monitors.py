@@ -7,16 +7,21 @@ micro-batch at the source (for files, ``maxFilesPerTrigger``).
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trajspark.functions.layout import Layout
 
+# Workers may not have this package: send the processors themselves, not their name.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 KEYS = ["scenario", "seed", "variant"]
 # Force limit, command and opening of an ignored close command, frames until it counts.
 FORCE_LIMIT, CLOSE, OPEN, MISMATCH_FRAMES, HOLD_FRAMES = 36.0, -0.5, 0.75, 4, 3
