@@ -10,6 +10,7 @@ Parquet carries the blocks because only Spark's writers reach every kind of shar
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -80,54 +81,61 @@ class Encoder:
     """The tokenizer's ids of whole texts, as packed bytes.
 
     A byte-level vocabulary splits texts before white space, and never across a single space between two other characters.
-    So a text may be cut before such spaces and the ids of its pieces put together; pieces come back so often that most
-    are found in a table. Texts with any other white space next to white space, or at an end, are encoded whole.
+    So a text may be cut at such spaces and the ids of its pieces put together; pieces come back so often that most are found
+    in a table. A text in which other white space touches a space, or that begins or ends with white space, is encoded whole.
     """
 
     def __init__(self, path: str, width: int):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.kind, self.known = Tokenizer.from_file(path), f"<u{width}", {}
-
-    def fresh(self, pieces: list[str]) -> None:
-        """Puts pieces into the table; a closing full stop or comma after a letter is a token start of its own."""
-        bare: dict[str, list[str]] = {}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.kind = Tokenizer.from_file(path), {2: "H", 4: "I"}[width]
+        # The vocabulary writes each byte as a printable character: those that are printable as they are, then the rest in order.
+        own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = [b for b in range(256) if b not in set(own)]
+        self.letters = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+        if set(self.letters.values()) != set(pre_tokenizers.ByteLevel.alphabet()):
+            raise ValueError("not a byte-level vocabulary")
+        self.known: dict[str, bytes | None] = {}  # ids of a space and the piece; None: not to be cut here
+        self.ends = {e: self.packed(self.tokenizer.encode(e, add_special_tokens=False).ids) for e in ".,"}
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.kind}", *ids)
+
+    def fresh(self, pieces: set[str]) -> None:
+        """Puts pieces into the table. A full stop or comma after a letter is split off before anything is merged."""
+        known, model = self.known, self.tokenizer.model
+        rest = []
         for p in pieces:
-            cut = len(p) > 2 and p[-1] in ".," and p[-2].isalpha()
-            bare.setdefault(p[:-1] if cut else p, []).append(p)
-        known = self.known
-        missing = [p for p in bare if p not in known]
-        ends = {e: np.array(self.tokenizer.encode(e, add_special_tokens=False).ids, self.kind).tobytes() for e in ".,"}
-        for p, got in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            known[p] = np.array(got.ids, self.kind).tobytes()
-        for p, whole in bare.items():
-            for w in whole:
-                if len(w) > len(p):
-                    known[w] = known[p] + ends[w[-1]]
+            if not p or p[0].isspace() or p[-1].isspace():
+                known[p] = None
+                continue
+            word, end = (p[:-1], self.ends[p[-1]]) if p[-1] in ".," else (p, b"")
+            if not word.isalpha():
+                rest.append(p)
+                continue
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = self.packed([t.id for t in model.tokenize(f" {word}".encode().decode("latin-1").translate(self.letters))])
+            if end:
+                known[p] = ids + end
+        for p, got in zip(rest, self.tokenizer.encode_batch_fast([f" {p}" for p in rest], add_special_tokens=False), strict=True):
+            known[p] = self.packed(got.ids)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        import re
+    def whole(self, text: str) -> bytes:
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-        odd = re.compile(r"\s\s|^\s|\s$|\s\Z|\A\s")
+    def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHED:
-            self.known = {}
-        cut: list[list[str] | None] = []
-        unknown: dict[str, None] = {}
-        known = self.known
-        for t in texts:
-            if not t or odd.search(t):
-                cut.append(None)
-                continue
-            pieces = t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t]
-            cut.append(pieces)
-            unknown.update(dict.fromkeys(p for p in pieces if p not in known))
-        if unknown:
-            self.fresh(list(unknown))
-        known = self.known
-        return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind).tobytes() if p is None else b"".join([known[x] for x in p])
-            for t, p in zip(texts, cut, strict=True)
-        ]
+            self.known.clear()
+        cut = [t.split(" ") for t in texts]
+        seen = {p for pieces in cut for p in pieces[1:]}
+        self.fresh(seen - self.known.keys())
+        known, out = self.known, []
+        for t, pieces in zip(texts, cut, strict=True):
+            ids = [known[p] for p in pieces[1:]]
+            plain = pieces[0] and not pieces[0][-1].isspace() and None not in ids
+            out.append(self.whole(pieces[0]) + b"".join(ids) if plain else self.whole(t))
+        return out
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -147,7 +155,9 @@ def write_blocks(docs: DataFrame, tokenizer: str, path: str, width: int = 2, end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = _encoders.setdefault((tokenizer, width), Encoder(tokenizer, width)) if (tokenizer, width) not in _encoders else _encoders[tokenizer, width]
+        if (tokenizer, width) not in _encoders:
+            _encoders[tokenizer, width] = Encoder(tokenizer, width)
+        encoder = _encoders[tokenizer, width]
         shard, block = TaskContext.get().partitionId(), 0
         doc_ids: list = []
         ids: list[bytes] = []
