@@ -1,7 +1,8 @@
 """Quality classifier by supervised subword embeddings.
 
-A document's vector is the mean of the vectors of its features: words and the 3- and 5-byte runs of words (with one white
-space on either side), each hashed to a row of an embedding table. A softmax layer turns the vector into class
+A document's vector is the mean of the vectors of its features: words, pairs of neighbouring words (a word next to itself is one
+feature for all words), and the 3- and 5-byte runs of words (with one white space on either side), each hashed to a row of an
+embedding table. A softmax layer turns the vector into class
 probabilities. Table and layer are learned together by stochastic gradient descent in NumPy, on a bounded sample.
 
 With two classes the layer needs only one number per row, its vector times the difference of the class weights; scoring
@@ -23,15 +24,21 @@ from trajspark.llm.storage import query
 
 BITS = 17
 RUNS = (3, 5)
+REPEAT = np.int32(0)  # the row of a word that is said again at once
 PLAIN = tx.EXACT.copy()
 PLAIN[tx.WHITE] = tx.EXACT[0x20]
 STEP = 0x100000001B3  # odd multiplier of the byte runs
 
 
 def features(w: tx.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(byte position, table row) of the features: first the words, then the runs of each length."""
+    """(byte position, table row) of the features: the words, their pairs, then the runs of each length."""
     shift = np.uint64(64 - BITS)
+    h = w.word_hashes(tx.LOWER)
     yield w.start, (w.word_hashes() >> shift).astype(np.int32)
+    if len(h) > 1:
+        at = np.flatnonzero(w.owner[1:] == w.owner[:-1])
+        pair = tx.mixed(h[at] * np.uint64(3) + h[at + 1])
+        yield w.start[at], np.where(h[at] == h[at + 1], REPEAT, (pair >> shift).astype(np.int32))
     size = len(w.bytes)
     value = PLAIN[w.bytes]
     last = np.repeat(w.offsets[1:], np.diff(w.offsets))

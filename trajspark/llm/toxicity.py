@@ -24,7 +24,7 @@ STOPS = np.zeros(256, bool)
 STOPS[list(b".!?")] = True
 EDGES = np.zeros(256, bool)
 EDGES[list(b".,;:!?\"'()[]*-")] = True
-LEAST = 3  # documents of the sample that a word must be in to get a weight
+LEAST = 0.003  # share of the sample's documents that a feature must be in to get a weight
 START = -6.0  # log-odds of a sentence without known words, before training
 
 
@@ -49,17 +49,20 @@ def sentences(w: tx.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(new) - 1, np.stack(rows, axis=1)
 
 
-def train(texts: pa.Array, y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.3, decay: float = 1e-4, seed: int = 11) -> dict[str, np.ndarray]:
-    """Word weights and bias by maximum likelihood of the document labels (adaptive steps); the same sample gives the same model."""
+def train(texts: pa.Array, y: np.ndarray, passes: int = 96_000, batch: int = 64, rate: float = 0.5, decay: float = 1e-4, seed: int = 11) -> dict[str, np.ndarray]:
+    """Word weights and bias by maximum likelihood of the document labels (adaptive steps); the same sample gives the same model.
+
+    passes: documents seen in all, so that a small sample is gone through more often.
+    """
     w = tx.Words(texts)
     sentence, row = sentences(w)
     pairs = np.unique(np.repeat(w.owner, PARTS) << BITS | row.ravel())
-    usual = np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS) >= LEAST
+    usual = np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS) >= max(3, LEAST * len(y))
     row = np.where(usual[row], row, 1 << BITS)  # one more row, always of weight 0
     weight, bias = np.zeros((1 << BITS) + 1), START
     seen, seen_bias = np.full((1 << BITS) + 1, 1e-3), 1.0
     rng = np.random.default_rng(seed)
-    for _ in range(epochs):
+    for _ in range(max(15, passes // max(1, len(y)))):
         order = rng.permutation(len(y))
         for a in range(0, len(order), batch):
             docs = order[a : a + batch]
