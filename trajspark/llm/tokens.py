@@ -26,6 +26,7 @@ from trajspark.llm.storage import partitions, query, scratch
 BLOCK = 1 << 20  # ids after which a block is closed; a document is never split
 CACHED = 1_000_000  # pieces whose ids a worker keeps
 END_ID = 2
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class EliasFano:
@@ -96,28 +97,48 @@ class Encoder:
         if set(self.letters.values()) != set(pre_tokenizers.ByteLevel.alphabet()):
             raise ValueError("not a byte-level vocabulary")
         self.known: dict[str, bytes | None] = {}  # ids of a space and the piece; None: not to be cut here
-        self.ends = {e: self.packed(self.tokenizer.encode(e, add_special_tokens=False).ids) for e in ".,"}
+        self.words: dict[str, bytes] = {}  # ids of letters alone
+        self.ends = {"\n": self.whole("\n")}  # ids of runs of punctuation
 
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.kind}", *ids)
 
+    def model_ids(self, word: str) -> bytes:
+        """Ids of letters, with or without a space before them: one word of the pre-tokenizer."""
+        return self.packed([t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+
+    def simple(self, piece: str, lead: str) -> bytes | None:
+        """Ids of letters with a run of ASCII punctuation after them; None if the piece is anything else."""
+        word = piece.rstrip(PUNCTUATION)
+        if not word.isalpha():
+            return None
+        key = lead + word
+        ids = self.words.get(key)
+        if ids is None:
+            ids = self.words[key] = self.model_ids(key)
+        if len(word) == len(piece):
+            return ids
+        end = piece[len(word) :]
+        if end not in self.ends:
+            self.ends[end] = self.whole(end)
+        return ids + self.ends[end]
+
     def fresh(self, pieces: set[str]) -> None:
-        """Puts pieces into the table. A full stop or comma after a letter is split off before anything is merged."""
-        known, model = self.known, self.tokenizer.model
-        rest = []
+        """Puts pieces into the table. Letters, punctuation and line breaks are apart before anything is merged."""
+        known, rest = self.known, []
         for p in pieces:
             if not p or p[0].isspace() or p[-1].isspace():
                 known[p] = None
                 continue
-            word, end = (p[:-1], self.ends[p[-1]]) if p[-1] in ".," else (p, b"")
-            if not word.isalpha():
-                rest.append(p)
-                continue
-            ids = known.get(word)
+            head, line, tail = p.partition("\n")
+            ids = self.simple(head, " ")
+            if ids is not None and line:
+                more = self.simple(tail, "")
+                ids = None if more is None else ids + self.ends["\n"] + more
             if ids is None:
-                ids = known[word] = self.packed([t.id for t in model.tokenize(f" {word}".encode().decode("latin-1").translate(self.letters))])
-            if end:
-                known[p] = ids + end
+                rest.append(p)
+            else:
+                known[p] = ids
         for p, got in zip(rest, self.tokenizer.encode_batch_fast([f" {p}" for p in rest], add_special_tokens=False), strict=True):
             known[p] = self.packed(got.ids)
 
@@ -127,14 +148,22 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHED:
             self.known.clear()
+            self.words.clear()
         cut = [t.split(" ") for t in texts]
-        seen = {p for pieces in cut for p in pieces[1:]}
+        seen: set[str] = set()
+        for pieces in cut:
+            seen.update(pieces[1:])
         self.fresh(seen - self.known.keys())
-        known, out = self.known, []
+        find, out = self.known.__getitem__, []
         for t, pieces in zip(texts, cut, strict=True):
-            ids = [known[p] for p in pieces[1:]]
-            plain = pieces[0] and not pieces[0][-1].isspace() and None not in ids
-            out.append(self.whole(pieces[0]) + b"".join(ids) if plain else self.whole(t))
+            first = pieces[0]
+            if not first or first[-1].isspace():
+                out.append(self.whole(t))
+                continue
+            try:
+                out.append(self.whole(first) + b"".join(map(find, pieces[1:])))
+            except TypeError:  # a None among them: white space next to a space
+                out.append(self.whole(t))
         return out
 
 
