@@ -7,14 +7,22 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PER_RANGE = 32  # rows looked at for each cut
+PER_RANGE, LEAST_RANGE = 32, 4  # rows looked at for each cut, usually and when there are very many cuts
+USUAL = 1 << 16  # rows looked at before there are fewer for each cut
 
 
 def cuts(rows: DataFrame, key: list[Column], n: int) -> list[tuple]:
-    """At most n - 1 ascending keys that cut the rows into ranges; taken from the ``PER_RANGE`` * n rows that come first by a hash."""
+    """At most n - 1 ascending keys that cut the rows into ranges.
+
+    They come from about ``PER_RANGE`` * n rows, chosen by a hash of the key, so that the number brought to the driver follows the
+    number of ranges and not that of the rows. The key should tell rows apart, or ranges get uneven.
+    """
     names = [f"k{i}" for i in range(len(key))]
     keyed = rows.select(*[k.alias(c) for k, c in zip(key, names, strict=True)])
-    got = sorted(tuple(r) for r in keyed.orderBy(F.xxhash64(*names), *names).limit(PER_RANGE * n).collect())
+    wanted = min(PER_RANGE * n, max(LEAST_RANGE * n, USUAL))
+    total = keyed.count()
+    some = keyed.where(F.pmod(F.xxhash64(*names), F.lit(max(1, total))) < wanted).limit(2 * wanted)
+    got = sorted((tuple(r) for r in some.collect()), key=lambda r: [(v is not None, v) for v in r])
     picked = [got[len(got) * i // n] for i in range(1, n)] if got else []
     return sorted(set(picked))
 

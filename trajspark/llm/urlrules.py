@@ -24,6 +24,7 @@ from trajspark.llm.storage import partitions, query
 # The rules of the registered query.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+MOST_RANGES = 2048  # a sweep keeps nothing but its stack, so ranges may be long
 AFTER_DOT = "/"  # the character after the dot: keys from "k" to "k" with its last dot replaced begin with "k"
 
 
@@ -52,7 +53,7 @@ def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -> DataF
     pages give repeated rows, and repeated rules count once.
     """
     spark = pages.sparkSession
-    n = partitions(spark)
+    n = min(partitions(spark), MOST_RANGES)
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")))
     at = cuts(rows, [F.col("key"), F.col("path"), F.coalesce("page_id", F.lit(-1))], n)
