@@ -77,7 +77,7 @@ def test_diagnosis(steps):
 
 @slow
 def test_repair(steps):
-    a, b = (repair.repair_steps(steps, P, l, max_lag_rows=10) for l in (WHOLE, CHUNKED))
+    a, b = (repair.repair_steps(steps, P, l) for l in (WHOLE, CHUNKED))
     same(a.cleaned, b.cleaned)
     same(repair.repair_actions(a), repair.repair_actions(b))
 

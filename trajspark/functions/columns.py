@@ -23,6 +23,11 @@ def numeric_sql(column: str) -> str:
     return f"try_cast(`{column}` AS DOUBLE)"
 
 
+def finite_sql(column: str) -> str:
+    """The channel as a number; text, NaN and infinity are null."""
+    return f"if(abs({numeric_sql(column)}) < double('Infinity'), {numeric_sql(column)}, NULL)"
+
+
 def finite(column: str | Column) -> Column:
     """The number, or null for text, NaN and infinity."""
     value = (F.col(column) if isinstance(column, str) else column).try_cast("double")

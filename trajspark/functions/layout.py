@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from trajspark.functions.columns import finite
 from trajspark.functions.lineage import materialise
 from trajspark.functions.quantile import grouped_quantiles
 
@@ -51,6 +52,21 @@ class Layout:
         """Count the rows of the longest episode (one map-side combined aggregate) and choose the layout."""
         return cls(None if largest_group(df, keys) <= limit else limit, tuple(keys), order)
 
+    @classmethod
+    def split(
+        cls, df: DataFrame, keys: Sequence[str] = ("episode_id",), order: str = "seq", limit: int = DEFAULT_CHUNK_ROWS
+    ) -> list[tuple[DataFrame, Layout]]:
+        """The rows by the length of their episodes: those that fit a task as wholes, the others in chunks.
+
+        Long episodes are rows / limit at most, which bounds the broadcast.
+        """
+        counted = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
+        long = materialise(counted)
+        if long.isEmpty():
+            return [(df, cls(None, tuple(keys), order))]
+        pick = lambda how: df.join(F.broadcast(long), list(keys), how)
+        return [(pick("left_anti"), cls(None, tuple(keys), order)), (pick("left_semi"), cls(limit, tuple(keys), order))]
+
     @property
     def whole(self) -> bool:
         return self.chunk_rows is None
@@ -207,19 +223,19 @@ class Layout:
         return self.attach(df, df.groupBy(*self.keys).agg(*[a.alias(n) for n, a in figures.items()]))
 
     def with_quantiles(self, df: DataFrame, quantiles: Mapping[str, tuple[Column, float]]) -> DataFrame:
-        """Add exact per-episode quantiles (linear interpolation, nulls ignored) to every row."""
+        """Add exact per-episode quantiles (linear interpolation; nulls, NaN and infinity ignored) to every row."""
         if not quantiles:
             return df
         if self.whole:
             w = Window.partitionBy(*self.keys)
-            return df.withColumns({n: F.percentile(c, p).over(w) for n, (c, p) in quantiles.items()})
+            return df.withColumns({n: F.percentile(finite(c), p).over(w) for n, (c, p) in quantiles.items()})
         df = materialise(df)
         return self.attach(df, self.quantiles(df, quantiles))
 
     def quantiles(self, df: DataFrame, quantiles: Mapping[str, tuple[Column, float]]) -> DataFrame:
-        """Exact quantiles, one row per episode."""
+        """Exact quantiles of the finite values, one row per episode."""
         if self.whole:
-            return df.groupBy(*self.keys).agg(*[F.percentile(c, p).alias(n) for n, (c, p) in quantiles.items()])
+            return df.groupBy(*self.keys).agg(*[F.percentile(finite(c), p).alias(n) for n, (c, p) in quantiles.items()])
         return grouped_quantiles(df, self.keys, quantiles, self.chunk_rows)
 
 

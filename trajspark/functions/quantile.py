@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajspark.functions.columns import finite
 from trajspark.functions.lineage import materialise
 
 _FIRST_SPLIT = 512       # ranges per doubling of the magnitude
@@ -83,17 +84,17 @@ def _large_groups(values: DataFrame, keys: list[str], sizes: DataFrame, p: float
 def grouped_quantiles(
     df: DataFrame, keys: Sequence[str], quantiles: Mapping[str, tuple[Column, float]], limit: int
 ) -> DataFrame:
-    """Exact quantiles (linear interpolation, nulls ignored) with one row per group."""
+    """Exact quantiles (linear interpolation; nulls, NaN and infinity ignored) with one row per group."""
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     large = sizes.filter(F.col("_rows") > limit).select(*keys)
     # At most rows / limit groups are large, which bounds what is broadcast.
     small = df.join(F.broadcast(large), keys, "left_anti")
-    ordinary = small.groupBy(*keys).agg(*[F.percentile(c, p).alias(n) for n, (c, p) in quantiles.items()])
+    ordinary = small.groupBy(*keys).agg(*[F.percentile(finite(c), p).alias(n) for n, (c, p) in quantiles.items()])
     rows = df.join(F.broadcast(large), keys, "left_semi")
     found = large
     for name, (value, p) in quantiles.items():
-        values = rows.select(*keys, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+        values = rows.select(*keys, finite(value).alias("_v")).filter(F.col("_v").isNotNull())
         counts = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
         found = found.join(_large_groups(values, keys, counts, p, name), keys, "left")
     return reduce(DataFrame.unionByName, [ordinary, found.select(*ordinary.columns)])

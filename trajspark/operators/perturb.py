@@ -27,7 +27,7 @@ DETECTION_FAULTS = (
 REPAIR_FAULTS = (
     # name, action code, values, how the repair is judged
     ("short-gap", "MISSING_VALUES", (1.0, 2.0, 3.0), "reconstruction"),
-    ("joint-jump", "JOINT_JUMP", (0.09, 0.18, 0.35), "reconstruction"),
+    ("joint-spike", "JOINT_JUMP", (0.09, 0.18, 0.35), "reconstruction"),
     ("sensor-delay", "SENSOR_DESYNC", (0.10, 0.16, 0.24), "synchronization"),
     ("timestamp-gap", "TIMESTAMP_SEGMENT", (0.08, 0.16, 0.28), "segmentation"),
     ("force-spike", "FORCE_SPIKE", (42.0, 55.0, 75.0), "isolation"),
@@ -107,7 +107,7 @@ def injected(joints: tuple[str, str] = ("joint_1", "joint_2")) -> dict[str, str]
     for i, joint in enumerate(joints):
         mine = f"(cast(floor(pick / 2) AS BIGINT) % 2 = {i} AND {IN_WINDOW})"
         out[joint] = (
-            f"CASE WHEN fault = 'joint-jump' AND {mine} THEN {joint} + value * ({SIGN}) WHEN fault = 'short-gap' AND {mine} THEN NULL "
+            f"CASE WHEN fault IN ('joint-jump', 'joint-spike') AND {mine} THEN {joint} + value * ({SIGN}) WHEN fault = 'short-gap' AND {mine} THEN NULL "
             f"ELSE {_stall(joint)} END"
         )
     out["ee_x"] = _stall("ee_x")

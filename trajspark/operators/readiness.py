@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,8 +99,9 @@ def contact_figures(rows: DataFrame, layout: Layout, roles: Roles) -> DataFrame:
 
 
 def readiness(steps: DataFrame, layout: Layout | None = None) -> DataFrame:
-    """One row per episode: five dimensions, score, blockers, status."""
-    layout = layout or Layout.probe(steps)
+    """One row per episode: five dimensions, score, blockers, status. Without a layout, by the length of each episode."""
+    if layout is None:
+        return reduce(DataFrame.unionByName, [readiness(rows, way) for rows, way in Layout.split(steps)])
     roles = resolve_roles(steps)
     keys = list(layout.keys)
     states, actions = state_channels(roles), roles.actions

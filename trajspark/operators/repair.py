@@ -56,7 +56,6 @@ class Repair:
     joints: tuple[str, ...]
     profile: Profile
     layout: Layout
-    max_lag_rows: int
 
     @property
     def cleaned(self) -> DataFrame:
@@ -66,7 +65,7 @@ class Repair:
     @cached_property
     def after(self) -> DataFrame:
         """The diagnosis of the cleaned rows, one row per episode."""
-        return materialise(score.diagnose(self.rows.select(*[f"`{c}`" for c in self.columns]), self.profile, self.layout, self.max_lag_rows))
+        return materialise(score.diagnose(self.rows.select(*[f"`{c}`" for c in self.columns]), self.profile, self.layout))
 
 
 def repair_steps(
@@ -74,16 +73,13 @@ def repair_steps(
     profile: str | Profile | None = None,
     layout: Layout | None = None,
     max_short_gap: int = MAX_SHORT_GAP,
-    max_lag_rows: int | None = None,
 ) -> Repair:
     profile = resolve_profile(profile)
     layout = layout or Layout.probe(steps)
     roles = resolve_roles(steps)
-    if max_lag_rows is None:
-        max_lag_rows = ts.longest_lag(steps, layout, profile.sync_max_lag_seconds) if roles.has("camera_motion") else 0
-    before = materialise(score.diagnose(steps, profile, layout, max_lag_rows))
+    before = materialise(score.diagnose(steps, profile, layout))
     rows = repaired_rows(steps, before, roles, profile, layout, max_short_gap)
-    return Repair(materialise(rows), before, roles.columns, roles.signals, roles.joints, profile, layout, max_lag_rows)
+    return Repair(materialise(rows), before, roles.columns, roles.signals, roles.joints, profile, layout)
 
 
 def repaired_rows(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,9 +113,10 @@ def episode_metrics(episodes: DataFrame, keys=("episode_id",)) -> DataFrame:
     )
 
 
-def diagnose(steps: DataFrame, profile: str | Profile | None = None, layout: Layout | None = None, max_lag_rows: int | None = None) -> DataFrame:
-    """The full diagnosis, one row per episode."""
-    return score_episodes(inspect_steps(steps, profile, layout, max_lag_rows))
+def diagnose(steps: DataFrame, profile: str | Profile | None = None, layout: Layout | None = None) -> DataFrame:
+    """The full diagnosis, one row per episode. Without a layout each episode goes the way that its own length asks for."""
+    parts = [(steps, layout)] if layout else Layout.split(steps)
+    return reduce(DataFrame.unionByName, [score_episodes(inspect_steps(rows, profile, way)) for rows, way in parts])
 
 
 # ---- dataset roll-up ------------------------------------------------------------------------------

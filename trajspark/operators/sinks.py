@@ -38,16 +38,20 @@ def episode_summary(summary: DataFrame) -> DataFrame:
 
 
 def source_sha256(spark: SparkSession, path: str) -> DataFrame:
-    """Path, size and SHA-256 of every file under a path. Files are read whole, one per row."""
+    """Path, path below the root (``file``), size and SHA-256 of every file under a path. Files are read whole, one per row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    top = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+    below = F.when(F.length("path") > len(top), F.col("path").substr(len(top) + 2, 1 << 20)).otherwise(F.element_at(F.split("path", "/"), -1))
+    return files.select("path", below.alias("file"), "length", F.sha2("content", 256).alias("sha256"))
 
 
 def directory_sha256(spark: SparkSession, path: str) -> DataFrame:
-    """One digest for a folder: the hash of the sorted per-file digests, folded level by level so that no
-    task sees more than a fixed number of them."""
-    files = source_sha256(spark, path).select(F.concat_ws(":", F.element_at(F.split("path", "/"), -1), "length", "sha256").alias("entry"))
-    # Two levels: files are grouped by the first digits of their hash, then the group digests are hashed.
+    """One digest for a folder: relative paths, sizes and digests of its files, hashed in two levels.
+
+    A task sees about one entry in 4096, and the last step at most 4096 digests. Moving a file changes the digest.
+    """
+    files = source_sha256(spark, path).select(F.concat_ws(":", "file", "length", "sha256").alias("entry"))
     groups = files.groupBy(F.substring(F.sha2("entry", 256), 1, 3).alias("part")).agg(
         F.sha2(F.array_join(F.sort_array(F.collect_list("entry")), "\n"), 256).alias("digest")
     )
@@ -55,12 +59,12 @@ def directory_sha256(spark: SparkSession, path: str) -> DataFrame:
 
 
 def artifact_hashes(spark: SparkSession, path: str) -> DataFrame:
-    return source_sha256(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("artifact"), "length", "sha256")
+    return source_sha256(spark, path).select(F.col("file").alias("artifact"), "length", "sha256")
 
 
 def verify_checksums(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """Expected files that are absent or differ. ``expected``: file, sha256."""
-    found = actual.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("sha256").alias("actual"))
+    """Expected files that are absent or differ, by the path below the root. ``actual`` and ``expected``: file, sha256."""
+    found = actual.select("file", F.col("sha256").alias("actual"))
     return expected.join(found, "file", "left").filter(~F.col("actual").eqNullSafe(F.col("sha256")))
 
 

@@ -64,15 +64,19 @@ def resolve_roles(df: DataFrame) -> Roles:
     )
 
 
-def validate_steps(df: DataFrame) -> DataFrame:
-    """Require the key columns, make the time numeric, drop rows without a time, make the id a string."""
+def validate_steps(df: DataFrame, layout: Layout | None = None) -> DataFrame:
+    """Require the key columns, make the time numeric, drop rows without a time, make the id a string.
+
+    A position ``seq`` is made dense again after that. Without a layout the longest episode is counted for it.
+    """
     missing = sorted({"timestamp", "episode_id"} - set(df.columns))
     if missing:
         raise ValueError(f"missing required columns: {', '.join(missing)}")
     out = df.withColumns({"timestamp": finite("timestamp"), "episode_id": F.col("episode_id").cast("string")})
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name != "timestamp"]
     out = out.withColumns({c: F.expr(f"if(isnan(`{c}`), NULL, `{c}`)") for c in floats})
-    return out.filter(F.col("timestamp").isNotNull())
+    out = out.filter(F.col("timestamp").isNotNull())
+    return renumber(out, layout or Layout.probe(out)) if "seq" in out.columns else out
 
 
 def renumber(df: DataFrame, layout: Layout) -> DataFrame:

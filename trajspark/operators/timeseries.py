@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.functions.columns import count_if, is_true, mad_threshold, norm, numeric, numeric_sql
+from trajspark.functions.columns import count_if, finite, finite_sql, is_true, mad_threshold, norm, numeric, numeric_sql
 from trajspark.functions.layout import Layout
+from trajspark.functions.lineage import materialise
 from trajspark.operators.steps import Roles
 
 DEFAULT_PERIOD = 0.02
@@ -79,21 +81,21 @@ def time_fill(a: Column, b: Column, t: Column) -> Column:
 
 
 def short_gap_interpolate(df: DataFrame, layout: Layout, channels: Sequence[str], max_gap: int = 3) -> DataFrame:
-    """Fill gaps of at most ``max_gap`` rows that have known values and rising time on both sides.
+    """Fill gaps of at most ``max_gap`` rows that have known values and rising time on both sides. Infinite values are gaps.
 
     Adds ``<c>__original`` and the flags ``<c>__filled`` and ``<c>__open`` (missing and not filled).
     """
-    out = layout.with_anchors(df, {c: numeric_sql(c) for c in channels})
+    out = layout.with_anchors(df, {c: finite_sql(c) for c in channels})
     for c in channels:
         a, b = F.col(f"{c}__prev"), F.col(f"{c}__next")
-        missing = numeric(c).isNull()
+        missing = finite(c).isNull()
         fillable = is_true(missing & (b["seq"] - a["seq"] - 1 <= max_gap) & (b["t"] > a["t"]))
         out = out.withColumns(
             {
                 f"{c}__original": F.col(c),
                 f"{c}__filled": fillable,
                 f"{c}__open": missing & ~fillable,
-                f"{c}__value": F.when(fillable, time_fill(a, b, F.col("timestamp"))).otherwise(numeric(c)),
+                f"{c}__value": F.when(fillable, time_fill(a, b, F.col("timestamp"))).otherwise(finite(c)),
             }
         )
     out = out.withColumns({c: F.col(f"{c}__value") for c in channels})
@@ -309,19 +311,22 @@ def lag_limit(max_lag_seconds: float) -> Column:
     ).cast("int")
 
 
-def longest_lag(steps: DataFrame, layout: Layout, max_lag_seconds: float) -> int:
-    """The largest lag any episode needs; one small job over the time column."""
+def lag_reaches(steps: DataFrame, layout: Layout, max_lag_seconds: float) -> list[int]:
+    """The lags that episodes need, as one largest lag for each doubling (32 at most); one small job over the time column."""
     rows = with_period(step_interval(steps.select(*layout.keys, "seq", "timestamp"), layout), layout)
     figures = rows.groupBy(*layout.keys).agg(F.max("median_dt").alias("median_dt"), F.count(F.lit(1)).alias("n"))
-    return figures.agg(F.max(lag_limit(max_lag_seconds))).first()[0] or 0
+    reach = figures.select(F.greatest(F.lit(0), lag_limit(max_lag_seconds)).alias("reach")).filter("reach IS NOT NULL")
+    rows = reach.groupBy(F.floor(F.log2(F.col("reach") + 1)).alias("doubling")).agg(F.max("reach").alias("reach")).collect()
+    return sorted(r["reach"] for r in rows)
 
 
 def sync_offset(
-    df: DataFrame, layout: Layout, robot: str, sensor: str, max_lag_seconds: float, longest: int
+    df: DataFrame, layout: Layout, robot: str, sensor: str, max_lag_seconds: float, reaches: Sequence[int]
 ) -> DataFrame:
     """Best lag of a sensor behind the robot, one row per episode: lag, offset (s), confidence.
 
-    ``df`` needs ``median_dt``; gaps in both signals are filled first. Positive means the sensor is later.
+    ``df`` needs ``median_dt``; gaps in both signals are filled first. Positive means the sensor is later. ``reaches`` are those of
+    :func:`lag_reaches`: episodes are searched by the doubling of their own largest lag, so a fast one widens no other's window.
     """
     rows = layout.with_figures(
         df.select(*layout.keys, "seq", "timestamp", "median_dt", numeric(robot).alias("_robot"), numeric(sensor).alias("_sensor")),
@@ -329,9 +334,13 @@ def sync_offset(
     )
     rows = interpolate_positional(rows, layout, ["_robot", "_sensor"])
     rows = rows.filter((F.col("_both") >= 20) & (F.col("median_dt") > 0)).withColumn("_limit", lag_limit(max_lag_seconds))
-    found = lag_correlations(
-        rows, layout, "_robot__fill", "_sensor__fill", -longest, longest, F.col("_limit"), -F.col("_limit")
-    ).filter((F.col("pairs") >= 10) & F.col("r").isNotNull() & ~F.isnan("r"))
+    if len(reaches) > 1:
+        rows = materialise(rows)
+    parts = []
+    for shorter, reach in zip([-1, *reaches], reaches or [0]):
+        own = rows.filter((F.col("_limit") > shorter) & (F.col("_limit") <= reach)) if len(reaches) > 1 else rows
+        parts.append(lag_correlations(own, layout, "_robot__fill", "_sensor__fill", -reach, reach, F.col("_limit"), -F.col("_limit")))
+    found = reduce(DataFrame.unionByName, parts).filter((F.col("pairs") >= 10) & F.col("r").isNotNull() & ~F.isnan("r"))
     best = found.groupBy(*layout.keys).agg(F.max(F.struct("r", (-F.col("lag")).alias("back"))).alias("_best"))
     return best.select(
         *layout.keys, (-F.col("_best.back")).alias("lag"), F.greatest(F.lit(0.0), F.col("_best.r")).alias("confidence")

@@ -60,25 +60,93 @@ def samples(spark, sf, faults, seeds, noise=True, only: str | None = None):
 # ---- the same samples in SQL ----------------------------------------------------------------------
 
 
+# Written by hand from the description of the faults, so that a slip in operators/perturb.py shows. Periods are 0.05 s.
+# fault number, fault, then (level, value, lag in rows, width in rows)
+DETECTION_GRID = (
+    (1, "sensor-delay", (("mild", 0.10, 2, 1), ("medium", 0.16, 3, 1), ("severe", 0.24, 5, 1))),
+    (2, "force-spike", (("mild", 42.0, 0, 4), ("medium", 55.0, 0, 4), ("severe", 75.0, 0, 4))),
+    (3, "joint-jump", (("mild", 0.09, 0, 1), ("medium", 0.18, 0, 1), ("severe", 0.35, 0, 1))),
+    (4, "timestamp-gap", (("mild", 0.08, 0, 1), ("medium", 0.16, 0, 1), ("severe", 0.28, 0, 1))),
+    (5, "frame-drop", (("mild", 4.0, 0, 4), ("medium", 7.0, 0, 7), ("severe", 12.0, 0, 12))),
+    (6, "robot-stuck", (("mild", 1.4, 0, 28), ("medium", 2.0, 0, 40), ("severe", 2.8, 0, 56))),
+    (7, "grasp-slip", (("mild", 0.13, 0, 4), ("medium", 0.18, 0, 4), ("severe", 0.24, 0, 4))),
+)
+REPAIR_GRID = (
+    (1, "short-gap", (("mild", 1.0, 0, 1), ("medium", 2.0, 0, 2), ("severe", 3.0, 0, 3))),
+    (2, "joint-spike", (("mild", 0.09, 0, 1), ("medium", 0.18, 0, 1), ("severe", 0.35, 0, 1))),
+    (3, "sensor-delay", (("mild", 0.10, 2, 1), ("medium", 0.16, 3, 1), ("severe", 0.24, 5, 1))),
+    (4, "timestamp-gap", (("mild", 0.08, 0, 1), ("medium", 0.16, 0, 1), ("severe", 0.28, 0, 1))),
+    (5, "force-spike", (("mild", 42.0, 0, 4), ("medium", 55.0, 0, 4), ("severe", 75.0, 0, 4))),
+)
+NOISE_SQL = {"camera_motion": (1, "4e-4"), "ee_x": (2, "5e-5"), "force_z": (3, "8e-2"), "joint_1": (4, "3.5e-4"), "joint_2": (5, "3.5e-4")}
+STALLED_SQL = ("joint_1", "joint_2", "ee_x")
+DURING = "(seq BETWEEN place AND place + width - 1)"
+
+
+def noise_sql(channel: str, shown: str | None = None) -> str:
+    """Standard normal number from two steps of a multiplicative congruential sequence, times the channel's deviation."""
+    number, deviation = NOISE_SQL[channel]
+    one = f"(48271 * (12345 + 1299709 * {number} + 104729 * pick + 7919 * (seq % 1000003)) % 2147483647)"
+    two = f"({one} * 69621 % 2147483647)"
+    return f"{shown or channel} + {deviation}::DOUBLE * (sqrt(-2e0 * ln(({one} + 1) / 2147483648e0)) * cos(2 * pi() * ({two} / 2147483647e0)))"
+
+
+def stalled_sql(channel: str) -> str:
+    return (
+        f"CASE WHEN fault <> 'robot-stuck' OR seq < place THEN {channel} WHEN seq < place + width THEN held_{channel} "
+        f"ELSE {channel} + held_{channel} - after_{channel} END"
+    )
+
+
+def joint_sql(channel: str, number: int) -> str:
+    hit = f"{DURING} AND (pick // 2) % 2 = {number}"
+    return (
+        f"CASE WHEN fault = 'short-gap' AND {hit} THEN NULL WHEN fault[:6] = 'joint-' AND {hit} THEN {channel} + value * (CASE pick % 2 WHEN 0 THEN 1 ELSE -1 END) "
+        f"ELSE {stalled_sql(channel)} END"
+    )
+
+
+INJECTED_SQL = {
+    "joint_1": joint_sql("joint_1", 0),
+    "joint_2": joint_sql("joint_2", 1),
+    "ee_x": stalled_sql("ee_x"),
+    "camera_motion": f"CASE fault WHEN 'sensor-delay' THEN cam_delayed WHEN 'frame-drop' THEN (CASE WHEN NOT {DURING} THEN camera_motion END) ELSE camera_motion END",
+    "force_z": f"CASE WHEN fault = 'force-spike' AND {DURING} THEN value * (1 + 8e-2 * sin(pi() * (seq - place) / greatest(1, width - 1))) ELSE force_z END",
+    "timestamp": "timestamp + (CASE WHEN fault = 'timestamp-gap' AND seq >= place + 1 THEN value ELSE 0 END)",
+    "frame_valid": f"CASE WHEN fault = 'frame-drop' AND {DURING} THEN 0 ELSE 1 END",
+    "gripper": f"CASE WHEN fault = 'grasp-slip' AND {DURING} THEN 18e-2 ELSE gripper END",
+    "object_distance": "CASE WHEN fault <> 'grasp-slip' OR seq < place THEN object_distance WHEN seq >= place + width THEN value "
+    "ELSE 105e-3 + (value - 105e-3) * (seq - place) / greatest(1, width - 1) END",
+    "phase": f"CASE WHEN fault = 'robot-stuck' AND {DURING} THEN 'transport' ELSE phase END",
+    "success": "fault = 'nominal'",
+}
+
+
 def sample_parts(faults, seeds: int) -> dict[str, str]:
-    grid = pt.Grid(faults, seeds, PERIOD)
-    values = ", ".join(f"({s}, {no}, '{f}', '{lv}', {v}::DOUBLE, {lag}, {w})" for s, no, f, lv, v, lag, w in grid.rows())
-    lags = ", ".join(f"lag(camera_motion, {k}) OVER w AS cam_lag_{k}" for k in grid.lags)
-    delayed = "CASE lag_rows " + " ".join(f"WHEN {k} THEN coalesce(cam_lag_{k}, cam_first)" for k in grid.lags) + " ELSE camera_motion END"
+    grid = DETECTION_GRID if faults is pt.DETECTION_FAULTS else REPAIR_GRID
+    cells = [(0, "nominal", (("none", 0.0, 0, 0),)), *grid]
+    values = ", ".join(f"({s}, {no}, '{f}', '{lv}', {v}::DOUBLE, {lag}, {w})" for s in range(seeds) for no, f, levels in cells for lv, v, lag, w in levels)
+    lags = ", ".join(f"lag(camera_motion, {k}) OVER w AS cam_lag_{k}" for k in (2, 3, 5))
+    delayed = "CASE lag_rows " + " ".join(f"WHEN {k} THEN coalesce(cam_lag_{k}, cam_first)" for k in (2, 3, 5)) + " ELSE camera_motion END"
     held = ", ".join(
-        f"max(CASE WHEN seq = place THEN {c} END) OVER (PARTITION BY episode_id) AS held_{c}, max(CASE WHEN seq = place + width THEN {c} END) OVER (PARTITION BY episode_id) AS after_{c}" for c in pt.STALLED
+        f"max(CASE WHEN seq = place THEN {c} END) OVER (PARTITION BY episode_id) AS held_{c}, max(CASE WHEN seq = place + width THEN {c} END) OVER (PARTITION BY episode_id) AS after_{c}"
+        for c in STALLED_SQL
     )
+    pick = "(15485863 * floor(value * 1000)::BIGINT + 1299709 * fault_no + 104729 * seed + 7919 * base_no) % 1000003"
+    first = "greatest(20, floor(n * 42e-2)::BIGINT)"
+    place = f"{first} + pick % greatest(1, floor(n * 72e-2)::BIGINT - {first} - width)"
+    noisy = ", ".join(f"{noise_sql(c)} AS {c}" for c in NOISE_SQL)
     keep = "episode_id, seq, ee_y, gripper_command, is_grasped"
     return {
         "telemetry_rows": TELEMETRY_SQL,
         "base0": f"SELECT episode_id, seq, phase, camera_motion, sum(camera_motion) OVER ({EP}) AS travel FROM telemetry_rows",
         "base1": "SELECT episode_id AS base_id, 1 AS frame_valid, " + ", ".join(f"{e} AS {c}" for c, e in BASE.items()) + " FROM base0",
         "base2": f"SELECT *, count(*) OVER (PARTITION BY base_id) AS n, first_value(camera_motion) OVER w AS cam_first, {lags} FROM base1 WINDOW w AS (PARTITION BY base_id ORDER BY seq)",
-        "drawn": f"SELECT *, {pt.CHOICE} AS pick FROM base2, (VALUES {values}) g(seed, fault_no, fault, level, value, lag_rows, width)",
-        "placed_samples": f"SELECT *, concat_ws('/', base_id, seed, fault, level) AS episode_id, pick // 2 % 2 AS pick_joint, {pt.PLACE} AS place, {delayed} AS cam_delayed FROM drawn",
-        "noisy_samples": "SELECT * REPLACE (" + ", ".join(f"{pt.noisy(c)} AS {c}" for c in pt.NOISE) + f", {pt.noisy('camera_motion').replace('camera_motion', 'cam_delayed', 1)} AS cam_delayed) FROM placed_samples",
+        "drawn": f"SELECT *, {pick} AS pick FROM base2, (VALUES {values}) g(seed, fault_no, fault, level, value, lag_rows, width)",
+        "placed_samples": f"SELECT *, concat_ws('/', base_id, seed, fault, level) AS episode_id, pick // 2 % 2 AS pick_joint, {place} AS place, {delayed} AS cam_delayed FROM drawn",
+        "noisy_samples": f"SELECT * REPLACE ({noisy}, {noise_sql('camera_motion', 'cam_delayed')} AS cam_delayed) FROM placed_samples",
         "held_samples": f"SELECT *, {held} FROM noisy_samples",
-        "sample_rows": f"SELECT fault, level, value, place, width, pick_joint, {keep}, " + ", ".join(f"{e} AS {c}" for c, e in pt.injected().items()) + " FROM held_samples",
+        "sample_rows": f"SELECT fault, level, value, place, width, pick_joint, {keep}, " + ", ".join(f"{e} AS {c}" for c, e in INJECTED_SQL.items()) + " FROM held_samples",
         "tele": "SELECT * EXCLUDE (fault, level, value, place, width, pick_joint) FROM sample_rows",
         "meta": "SELECT episode_id, any_value(fault) AS fault, any_value(level) AS level, any_value(value) AS value FROM sample_rows GROUP BY 1",
     }
@@ -186,7 +254,7 @@ def _classes(key: str) -> str:
 
 def _detections(spark, sf):
     rows, layout, _ = samples(spark, sf, pt.DETECTION_FAULTS, 2)
-    return ev.detection_records(rows, layout, GENERIC, max_lag_rows=10)
+    return ev.detection_records(rows, layout, GENERIC)
 
 
 @query("detection_metrics", check(_classes("predicted")))
@@ -255,7 +323,7 @@ def class_agreement(spark, sf):
 JOINT = "CASE pick_joint WHEN 0 THEN {} ELSE {} END"
 INSIDE = "(a.seq >= place AND a.seq < place + width)"
 REPAIRED = SHORT | {k: v for k, v in REPAIR_PARTS.items() if k not in SHORT} | {
-    "judge": f"SELECT a.episode_id, fault, level, value, {INSIDE} AS inside, quality_valid, segment_id, CASE WHEN fault IN ('short-gap', 'joint-jump') AND {INSIDE} THEN "
+    "judge": f"SELECT a.episode_id, fault, level, value, {INSIDE} AS inside, quality_valid, segment_id, CASE WHEN fault IN ('short-gap', 'joint-spike') AND {INSIDE} THEN "
     f"{JOINT.format('new_1', 'new_2')} - {JOINT.format('m.joint_1', 'm.joint_2')} WHEN fault = 'sensor-delay' AND quality_valid THEN new_cam - m.camera_motion END AS err, "
     "(NOT (new_1 IS NOT DISTINCT FROM a.old_1 OR coalesce(abs(new_1 - a.old_1) <= 1e-12, false)))::INT + (NOT (new_2 IS NOT DISTINCT FROM a.old_2 OR coalesce(abs(new_2 - a.old_2) <= 1e-12, false)))::INT + "
     "(NOT (new_cam IS NOT DISTINCT FROM a.camera_motion OR coalesce(abs(new_cam - a.camera_motion) <= 1e-12, false)))::INT AS changed "
@@ -271,7 +339,7 @@ def check_repair(final: str) -> str:
 
 def _repairs(spark, sf):
     rows, layout, clean = samples(spark, sf, pt.REPAIR_FAULTS, 1)
-    r_ = ev.run_repair(rows, layout, P, max_lag_rows=10)
+    r_ = ev.run_repair(rows, layout, P)
     truth = ev.truth_rows(clean, ["joint_1", "joint_2", "ee_x", "camera_motion", "force_z"])
     return ev.repair_records(r_, rows, truth)
 

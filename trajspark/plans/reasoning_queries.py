@@ -187,7 +187,7 @@ REASON_PARTS = PARTS | {
     "er": "SELECT eps.episode_id, CASE WHEN observed_skills < 3 OR coverage < 35 THEN 'blocked' WHEN success AND predicate IS NULL THEN 'verified' WHEN success THEN 'degraded' WHEN predicate IS NOT NULL THEN 'recoverable' ELSE 'blocked' END AS status, eps.rows, duration, "
     "round_even(CASE WHEN success THEN 100 WHEN failed_no IS NOT NULL THEN failed_no / 5 * 100 ELSE observed_skills / 5 * 100 END, 1) AS task_progress, round_even(health, 1) AS plan_health, round_even(coverage, 1) AS grounding_coverage, observed_skills, completed_skills, predicate AS violated "
     "FROM eps JOIN er0 USING (episode_id) LEFT JOIN vio USING (episode_id)",
-    "lib": "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {i}, '{s.split(':')[0]}', '{s.split(':')[1]}')" for p, ss in rs.RECOVERY_STEPS.items() for i, s in enumerate(ss, 1)) + ") v(predicate, step, kind, operator)",
+    "lib": "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {i}, '{s[0]}', '{s[1]}')" for p, ss in rs.RECOVERY_STEPS.items() for i, s in enumerate(ss, 1)) + ") v(predicate, step, kind, operator)",
 }
 
 

@@ -227,8 +227,8 @@ def source_sha256(spark, sf):
 @query("verify_checksums", "SELECT cast(doc_id AS VARCHAR) AS file, CASE WHEN doc_id % 20 = 0 THEN NULL ELSE sha256(text) END AS actual FROM documents WHERE doc_id % 20 = 0 OR doc_id % 7 = 0")
 def verify_checksums(spark, sf):
     """Documents against a pinned list in which every seventh digest is stale and every twentieth file is gone."""
-    files = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), "doc_id")
-    expected = files.select(F.col("path").alias("file"), F.when(F.col("doc_id") % 7 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
+    files = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), "doc_id")
+    expected = files.select("file", F.when(F.col("doc_id") % 7 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
     return sinks.verify_checksums(files.filter("doc_id % 20 <> 0"), expected).select("file", "actual")
 
 

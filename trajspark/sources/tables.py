@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajspark.functions.layout import Layout, dense_positions
-from trajspark.operators.steps import validate_steps
+from trajspark.functions.layout import DEFAULT_CHUNK_ROWS, Layout, dense_positions
+from trajspark.operators.steps import require_rows, validate_steps
 
 # Names in robot data sets.
 MEDIA_MARKS = ("image", "video", "jpeg", "bytes")
@@ -29,6 +29,7 @@ SCALAR_ALIASES = {
     "next.done": "done",
 }
 DEFAULT_FPS, ARRAY_FPS = 30.0, 20.0
+ROW_PLACE = ("_metadata.file_path", "_metadata.row_index")
 
 
 def quoted(name: str) -> Column:
@@ -36,24 +37,38 @@ def quoted(name: str) -> Column:
 
 
 def read_csv_steps(spark: SparkSession, path: str, schema: T.StructType | str, order: str = "seq") -> DataFrame:
-    """CSV with a header. Lines of a file have no position in Spark, so the order must be a column."""
-    steps = spark.read.csv(path, header=True, schema=schema)
-    if order not in steps.columns:
-        raise ValueError(f"column {order!r} with the acquisition order is required")
-    return validate_steps(steps.withColumnRenamed(order, "seq"))
+    """CSV with a header; columns are found by their names, in any order. Headers of all files must be alike.
+
+    Without the order column, rows count in the order of files and lines. No row with a time is an error.
+    """
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    lines = spark.read.csv(path, header=True, enforceSchema=False)
+    absent = sorted({f.name for f in fields} - set(lines.columns) - {order})
+    if absent:
+        raise ValueError(f"columns {', '.join(absent)} are not in the header of {path}")
+    typed = [quoted(f.name).try_cast(f.dataType).alias(f.name) for f in fields if f.name in lines.columns]
+    if order in lines.columns:
+        steps = lines.select(*typed).withColumnRenamed(order, "seq")
+    else:
+        place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")]
+        steps, _ = dense_positions(lines.select(*typed, *place), "episode_id", ["_file", "_block", "_line"], F.struct("_file", "_block"))
+        steps = steps.drop("_file", "_block", "_line")
+    return require_rows(validate_steps(steps), f"no valid time in {path}")
 
 
 def data_files(spark: SparkSession, path: str, ending: str = ".parquet") -> list[str]:
     """Sample files below a path: those in a ``data`` folder or named ``episode_*``; else all of them."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
-    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = system.makeQualified(root).toString().rstrip("/")
+    found = system.listFiles(root, True)
     names = []
     while found.hasNext():
         name = found.next().getPath().toString()
         if name.endswith(ending):
             names.append(name)
-    inside = lambda n: n[n.find(root.getName()) + len(root.getName()):].lower().split("/")
+    inside = lambda n: n[len(top):].lower().split("/")
     samples = [n for n in names if "data" in inside(n)[:-1] or inside(n)[-1].startswith("episode_")]
     return sorted(samples or names)
 
@@ -65,7 +80,7 @@ def read_parquet_steps(spark: SparkSession, path: str, with_position: bool = Fal
         raise ValueError(f"no Parquet sample files under {path}")
     steps = drop_media_columns(spark.read.parquet(*files))
     if with_position:
-        steps = steps.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("row_index"))
+        steps = steps.select("*", *ROW_PLACE)
     return steps
 
 
@@ -194,8 +209,11 @@ def catalog_summary(entries: DataFrame, files: DataFrame) -> DataFrame:
     """
     if not entries.groupBy("id").count().filter("count > 1").isEmpty():
         raise ValueError("data set ids must be unique")
-    folder = F.regexp_replace(F.col("path"), r"/[^/]*$", "")
-    sizes = files.groupBy(folder.alias("path")).agg(F.sum("length").alias("size_bytes"))
+    # A file counts for every folder above it.
+    parts = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    inside = files.where(F.instr("path", "/") > 0).select(F.explode(folders).alias("path"), "length")
+    sizes = inside.groupBy("path").agg(F.sum("length").alias("size_bytes"))
     return entries.join(sizes, "path", "left").select(
         "id", F.col("size_bytes").isNotNull().alias("available"), F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"), "episode_count", "row_count"
     )
@@ -222,7 +240,7 @@ def explode_trajectory_arrays(
     widths = dict(widths or {})
     for c in ("qpos", "actions"):
         if has(c) and c not in widths:
-            widths[c] = trajectories.agg(F.max(F.size(F.get(c, F.lit(0))))).first()[0] or 0
+            widths[c] = trajectories.agg(F.max(F.array_max(F.transform(c, F.size)))).first()[0] or 0
     sizes = [F.size(c) for c in leading]
     n = F.least(*sizes) if len(sizes) > 1 else sizes[0]
     rows = trajectories.withColumn("_n", n).filter("_n > 0")
@@ -276,6 +294,14 @@ def frame_motion(frames: DataFrame, layout: Layout, pixels: str = "pixels") -> D
 # ---- choice of reader -----------------------------------------------------------------------------
 
 
+def numbered_rows(rows: DataFrame) -> DataFrame:
+    """``seq``: the place of each row in its episode, by file and row; kept where the source has it."""
+    if "seq" not in rows.columns:
+        part = F.struct("file_path", F.floor(F.col("row_index") / DEFAULT_CHUNK_ROWS))
+        rows, _ = dense_positions(resolve_episode_id(rows), "episode_id", ["file_path", "row_index"], part)
+    return rows.drop("file_path", "row_index")
+
+
 def load_steps(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Choose the reader by the file ending."""
     lower = path.lower().rstrip("/")
@@ -284,7 +310,7 @@ def load_steps(spark: SparkSession, path: str, schema: str | None = None) -> Dat
             raise ValueError("CSV needs a schema")
         return read_csv_steps(spark, path, schema)
     if lower.endswith((".parquet", ".pq")):
-        return vector_data_set(drop_media_columns(spark.read.parquet(path)))
+        return vector_data_set(numbered_rows(drop_media_columns(spark.read.parquet(path)).select("*", *ROW_PLACE)))
     if data_files(spark, path):
-        return vector_data_set(read_parquet_steps(spark, path))
+        return vector_data_set(numbered_rows(read_parquet_steps(spark, path, with_position=True)))
     raise ValueError("unknown format; supported: .csv, .parquet, .pq, folder with Parquet files")
