@@ -31,16 +31,25 @@ ACCEPT, ROUNDS = 0.7, 3
 LEAST_CHARS = 6  # shortest instance that is added
 
 
-def located(text: Column, pattern: str, maybe: Column) -> Column:
-    """array<struct<start, end, match, before, after>> of the leftmost non-overlapping matches, in code points.
+def located(rows: DataFrame, text: str, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Adds, for each name with (pattern, filter), array<struct<start, end, match, before, after>> of the leftmost non-overlapping
+    matches, in code points.
 
     Java's split cuts at the same matches that the extraction finds, so lengths of pieces and matches add up to positions. Sums
-    run in blocks, so that many matches in one text cost little more than their number.
+    run in blocks, so that many matches in one text cost little more than their number. Each step is a column of its own, which
+    keeps Spark from running a pattern again for every use.
     """
     empty = F.array().cast("array<string>")
-    m = F.when(maybe, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(empty)
-    p = F.when(maybe, F.split(text, pattern, -1)).otherwise(empty)
-    return _positions(F.arrays_zip(m.alias("m"), F.slice(p, 1, F.size(m)).alias("p"), F.slice(p, 2, F.greatest(F.size(m), F.lit(1))).alias("q")))
+    whole = F.col(text)
+    found = {f"_m_{n}": F.when(maybe, F.regexp_extract_all(whole, F.lit(p), F.lit(0))).otherwise(empty) for n, (p, maybe) in patterns.items()}
+    pieces = {f"_p_{n}": F.when(maybe, F.split(whole, p, -1)).otherwise(empty) for n, (p, maybe) in patterns.items()}
+    rows = rows.withColumns(found | pieces)
+    for_each = {}
+    for n in patterns:
+        m, p = F.col(f"_m_{n}"), F.col(f"_p_{n}")
+        for_each[f"_z_{n}"] = F.arrays_zip(m.alias("m"), F.slice(p, 1, F.size(m)).alias("p"), F.slice(p, 2, F.greatest(F.size(m), F.lit(1))).alias("q"))
+    rows = rows.withColumns(for_each).drop(*found, *pieces)
+    return rows.withColumns({n: _positions(F.col(f"_z_{n}")) for n in patterns}).drop(*for_each)
 
 
 def _positions(z: Column) -> Column:
@@ -84,13 +93,13 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column) -> Column:
-    """array<struct<start, kind, end>> of the base, by start, then kind in the order of ``KINDS``."""
-    maybe = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9]"), "phone": text.rlike(r"\+[0-9]")}
-    arrays = []
-    for order, kind in enumerate(KINDS[:4]):
-        arrays.append(_spans(located(text, PATTERNS[kind], maybe[kind]), order))
-    return F.array_sort(F.concat(*arrays))
+def with_base(rows: DataFrame, text: str) -> DataFrame:
+    """Adds ``base``: array<struct<start, kind, end>> by start, then kind in the order of ``KINDS``."""
+    t = F.col(text)
+    maybe = {"email": F.contains(t, F.lit("@")), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike("[0-9]"), "phone": t.rlike(r"\+[0-9]")}
+    rows = located(rows, text, {f"_{k}": (PATTERNS[k], maybe[k]) for k in KINDS[:4]})
+    spans = F.array_sort(F.concat(*[_spans(F.col(f"_{k}"), order) for order, k in enumerate(KINDS[:4])]))
+    return rows.withColumn("base", spans).drop(*[f"_{k}" for k in KINDS[:4]])
 
 
 def _spans(hits: Column, order: int) -> Column:
@@ -102,9 +111,9 @@ def _count(spans: Column, order: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == order)).cast("long")
 
 
-def _words(text: Column, base: Column) -> Column:
-    """array<struct<start, end, match, context, seed>> of the words that may be identifiers, without closing punctuation."""
-    found = located(text, WORD, text.rlike("[0-9@]"))
+def with_words(rows: DataFrame, text: str) -> DataFrame:
+    """Adds ``words``: array<struct<start, end, match, context, seed>> of the words that may be identifiers, without closing punctuation."""
+    base = F.col("base")
 
     def shape(x: Column) -> Column:
         bare = F.regexp_replace(x["match"], r"[.,;:!?\"')\]]+$", "")
@@ -114,7 +123,8 @@ def _words(text: Column, base: Column) -> Column:
         seed = F.exists(base, lambda b: (b["start"] < end) & (x["start"] < b["end"]))
         return F.struct(x["start"].alias("start"), end.alias("end"), bare.alias("match"), context.alias("context"), seed.alias("seed"))
 
-    return F.transform(found, shape)
+    rows = located(rows, text, {"_word": (WORD, F.col(text).rlike("[0-9@]"))})
+    return rows.withColumn("words", F.transform("_word", shape)).drop("_word")
 
 
 def discover(words: DataFrame) -> DataFrame:
@@ -147,8 +157,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     empty string. Repeated rows are judged each for itself; other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    rows = rows.withColumn("words", _words(F.col("text"), F.col("base"))).drop("text").withColumn("row", F.monotonically_increasing_id())
+    rows = with_base(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")), "text")
+    rows = with_words(rows, "text").drop("text").withColumn("row", F.monotonically_increasing_id())
     rows = written(rows, "spans")  # fixes the row numbers
     words = rows.where(F.size("words") > 0).select("row", F.inline("words"))
     found = discover(words).groupBy("row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end")).alias("added"))
