@@ -9,6 +9,7 @@ from trajspark.functions.layout import Layout
 from trajspark.operators import readiness, score, sinks
 from trajspark.operators import timeseries as ts
 from trajspark.operators.steps import validate_steps
+from trajspark.sources import messages as ms
 from trajspark.sources import tables as tb
 
 
@@ -114,3 +115,23 @@ def test_lag_of_slow_and_fast_episodes(spark):
         reaches = ts.lag_reaches(steps, layout, 0.5)
         found = {r.episode_id: (r.lag, round(r.confidence, 6)) for r in ts.sync_offset(timed, layout, "speed", "camera", 0.5, reaches).collect()}
         assert found == {"slow": (2, 1.0), "fast": (25, 1.0), "short": (0, 1.0)}
+
+
+def test_message_log_to_steps(spark):
+    rows = []
+    add = lambda log, ns, topic, kind, payload: rows.append((log, topic, kind, ns * 50_000_000, payload))
+    for k in range(40):
+        add("a", k, "/joint_states", "sensor_msgs/JointState", f'{{"position": [{k}.0, {2 * k}.0{", 5.0" if k == 30 else ""}]}}')
+        add("a", k, "/tool/pose", "geometry_msgs/PoseStamped", f'{{"x": {k}.5, "y": 0.0, "z": 1.0}}')
+        add("b", k, "/tool/pose", "geometry_msgs/PoseStamped", f'{{"x": {k}.5, "y": 0.0, "z": 1.0}}')
+    add("a", 20, "/gripper/state", "std_msgs/Float64", '{"data": "0.5"}')
+    add("a", 39, "/task/success", "std_msgs/Bool", '{"data": "false"}')
+    add("a", 40, "/task/success", "std_msgs/Bool", '{"data": "true"}')
+    log = spark.createDataFrame(rows, "log_id string, topic string, msgtype string, ts_ns long, payload string")
+    steps = ms.message_log_steps(log).orderBy("episode_id", "seq").collect()
+    assert [(r.episode_id, r.seq) for r in steps] == [(e, k) for e in "ab" for k in range(40)]
+    assert [(r.joint_1, r.joint_2, r.ee_x) for r in steps[:40]] == [(k, 2 * k, k + 0.5) for k in map(float, range(40))]
+    assert [r.seq for r in steps[:40] if r.joint_3 is not None] == [30]
+    assert {19, 20, 21} <= {r.seq for r in steps[:40] if r.gripper is not None} <= {18, 19, 20, 21, 22}
+    assert {(r.episode_id, r.success, r.success_known) for r in steps} == {("a", True, True), ("b", None, False)}
+    assert all(r.joint_1 is None and r.ee_x == r.seq + 0.5 for r in steps[40:])

@@ -190,6 +190,12 @@ def stream_counts(spark, sf):
     return ms.stream_counts(message_log(spark, sf))
 
 
+@query("message_log_steps")
+def message_log_steps(spark, sf):
+    """The message logs as step tables."""
+    return ms.message_log_steps(message_log(spark, sf))
+
+
 MOTION_SQL = (
     "SELECT label AS topic, vec_id, round(coalesce(list_sum(list_transform(list_zip(embedding, before), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) / 64 / 255, 0), 9) AS camera_motion "
     "FROM (SELECT *, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings)"

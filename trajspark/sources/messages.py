@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.functions.layout import DEFAULT_CHUNK_ROWS, Layout, dense_positions
+from trajspark.functions.lineage import materialise
+from trajspark.operators.steps import validate_steps
 
 # Which stream leads, and how far a merged sample may be.
 STREAM_PRIORITY = ("joint", "pose", "camera", "wrench", "scalar")
@@ -131,3 +133,33 @@ def asof_merge_streams(
 def _attach_by_bucket(rows: DataFrame, figures: DataFrame, key: str) -> DataFrame:
     homes = rows.select(key, "_bucket").distinct().join(figures, key, "left")
     return rows.join(homes, [key, "_bucket"])
+
+
+def message_log_steps(messages: DataFrame, key: str = "log_id", bucket_seconds: float = 60.0) -> DataFrame:
+    """Decoded messages -> step table: one episode per log, on the times of its leading stream.
+
+    The leading stream of a log is the first of ``STREAM_PRIORITY`` that it has. Joint positions become ``joint_1..n`` with the
+    widest message's n (one small job); the last success message of a log holds for all its rows.
+    """
+    routed = materialise(route_messages(messages, (key,)).withColumn("episode_id", F.col(key).cast("string")).drop("topic"))
+    width = routed.agg(F.max(F.size("position"))).first()[0] or 0
+    joints = [F.get("position", F.lit(i)).cast("double").alias(f"joint_{i + 1}") for i in range(max(0, width))]
+    values = {
+        "joint": joints, "pose": [F.col(f"ee_{a}") for a in "xyz"], "camera": [F.col("camera_motion")],
+        "wrench": [F.col(f"force_{a}") for a in "xyz"], "scalar": [F.col(c) for c in ("gripper", "object_distance", "phase")],
+    }
+    ranks = F.create_map(*[F.lit(x) for i, n in enumerate(STREAM_PRIORITY) for x in (n, i)])
+    led = routed.filter(F.col("stream").isin(*STREAM_PRIORITY)).groupBy("episode_id").agg(F.min(ranks[F.col("stream")]).alias("_lead"))
+    led = materialise(led)
+    merged = []
+    for first in sorted(r["_lead"] for r in led.select("_lead").distinct().collect()):  # one of five numbers each
+        mine = routed.join(led.filter(F.col("_lead") == first), "episode_id")
+        streams = {n: mine.filter(F.col("stream") == n).select("episode_id", "timestamp", "ts_ns", *values[n]) for n in STREAM_PRIORITY[first:] if values[n]}
+        merged.append(asof_merge_streams(streams, order="ts_ns", bucket_seconds=bucket_seconds))
+    if not merged:
+        raise ValueError("no joint, pose, camera, wrench or scalar messages in the log")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), merged)
+    told = routed.filter(F.col("success").isNotNull()).groupBy("episode_id").agg(F.max_by("success", "ts_ns").alias("success"))
+    rows = rows.join(told, "episode_id", "left").withColumn("success_known", F.col("success").isNotNull())
+    steps, layout = dense_positions(rows, "episode_id", ["timestamp"], F.floor(F.col("timestamp") / bucket_seconds))
+    return validate_steps(steps, layout)
