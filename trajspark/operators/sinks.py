@@ -88,6 +88,8 @@ def manifest(r: rp.Repair, dataset: str, data_path: str | None = None) -> DataFr
     if data_path:
         files = source_sha256(spark, data_path)
         out = out.crossJoin(F.broadcast(files.agg(F.count(F.lit(1)).alias("artifact_files"), F.sum("length").alias("artifact_bytes"))))
+        # The digest of the folder stands for the files' own, which artifact_hashes lists, one row each.
+        out = out.crossJoin(F.broadcast(directory_sha256(spark, data_path).withColumnRenamed("sha256", "artifact_sha256")))
     policy = F.struct(
         F.lit(True).alias("physical_events_are_preserved"), F.lit(True).alias("timestamp_samples_are_not_synthesized"),
         F.lit("quality_valid == true").alias("training_gate"), F.lit(rp.MAX_SHORT_GAP).alias("short_gap_limit"),
