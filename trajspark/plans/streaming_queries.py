@@ -61,7 +61,7 @@ def online_violation_monitor(spark, sf):
 
 @query("restoration_monitor", check("SELECT * FROM mon WHERE type <> 'predicate-violated'"))
 def restoration_monitor(spark, sf):
-    return monitored(spark, sf).filter("type <> 'predicate-violated'")
+    return monitored(spark, sf).filter("type IN ('predicate-restored', 'recovery-success')")
 
 
 @query("violation_monitor_batch", check("SELECT * FROM mon"))

@@ -1,8 +1,9 @@
 """Online monitors: per-run state over a stream of frames, and batch versions that give the same events.
 
-Within a micro-batch the frames of a run are sorted by ``seq``; a frame that is not later than the last one
-seen is dropped and counted. The state of a run is a few numbers, whatever its length. Bound the size of a
-micro-batch at the source (for files, ``maxFilesPerTrigger``).
+Within a micro-batch the frames of a run are sorted by ``seq``. A frame that is not later than the last one seen cannot be
+judged any more; it comes out as a row of its own (type ``late-frame``, or a null motion), so nothing is lost unseen. The
+state of a run is a few numbers, whatever its length. Bound the size of a micro-batch at the source (for files,
+``maxFilesPerTrigger``).
 """
 
 from __future__ import annotations
@@ -63,8 +64,8 @@ class RunMonitor(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
         fresh = (batch["seq"] > last) & ~batch["seq"].duplicated()
         late += int((~fresh).sum())
+        events: list[tuple[str, int]] = [("late-frame", int(s)) for s in batch["seq"][~fresh]]
         batch = batch[fresh]
-        events: list[tuple[str, int]] = []
         if len(batch):
             seq = batch["seq"].to_numpy()
             force = batch["force"].to_numpy(dtype=float)
@@ -117,7 +118,7 @@ class RunMonitor(StatefulProcessor):
 
 
 class FrameMotion(StatefulProcessor):
-    """Mean change between consecutive frames; the last frame of each topic is kept."""
+    """Mean change between consecutive frames; the last frame of each topic is kept. Late frames have no motion."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("frame", "seq bigint, pixels array<double>")
@@ -128,14 +129,15 @@ class FrameMotion(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last, before = self.state.get() if self.state.exists() else (-1, None)
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        batch = batch[(batch["seq"] > last) & ~batch["seq"].duplicated()]
-        motion = []
-        for pixels in batch["pixels"]:
-            now = np.asarray(pixels, dtype=float)
-            motion.append(0.0 if before is None else float(np.mean(np.abs(now - np.asarray(before, dtype=float))) / 255))
-            before = now
+        fresh = (batch["seq"] > last) & ~batch["seq"].duplicated()
+        if not fresh.all():
+            yield pd.DataFrame({"topic": key[0], "seq": batch["seq"][~fresh].to_numpy(), "camera_motion": np.nan})
+        batch = batch[fresh]
         if len(batch):
-            self.state.update((int(batch["seq"].iloc[-1]), [float(x) for x in before]))
+            shown = np.stack([np.asarray(p, dtype=float) for p in batch["pixels"]])
+            start = shown[:1] if before is None else np.asarray(before, dtype=float)[None]
+            motion = np.abs(np.diff(np.concatenate([start, shown]), axis=0)).mean(axis=1) / 255
+            self.state.update((int(batch["seq"].iloc[-1]), shown[-1].tolist()))
             yield pd.DataFrame({"topic": key[0], "seq": batch["seq"].to_numpy(), "camera_motion": motion})
 
 
