@@ -6,6 +6,7 @@ characters, so working on bytes gives the same words as working on characters. A
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,16 +48,27 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def release() -> None:
+    """Gives memory that a finished task no longer uses back to the machine: Spark keeps its Python workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """The rows again, in pieces of about ``limit`` bytes of text, so that a task's memory does not follow the batch size."""
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        length = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        piece = np.cumsum(length) // limit
-        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            yield batch.slice(a, b - a)
+    try:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            length = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            piece = np.cumsum(length) // limit
+            cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield batch.slice(a, b - a)
+    finally:
+        release()
 
 
 class Texts:

@@ -24,7 +24,7 @@ from trajspark.llm import text as tx
 from trajspark.llm.storage import partitions, query, scratch
 
 BLOCK = 1 << 20  # ids after which a block is closed; a document is never split
-CACHED = 1_000_000  # pieces whose ids a worker keeps
+CACHED = 600_000  # pieces whose ids a worker keeps
 END_ID = 2
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
