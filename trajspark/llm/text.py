@@ -7,6 +7,7 @@ characters, so working on bytes gives the same words as working on characters. A
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +50,12 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def release() -> None:
-    """Gives memory that a finished task no longer uses back to the machine: Spark keeps its Python workers for later tasks."""
+    """Gives memory that a finished task no longer uses back to the machine: Spark keeps its Python workers for later tasks.
+
+    Task functions and what they refer to come with each task anew and hold each other, so they are collected here.
+    """
+    _powers.clear()
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
     if trim:

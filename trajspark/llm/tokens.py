@@ -209,6 +209,9 @@ def write_blocks(docs: DataFrame, tokenizer: str, path: str, width: int = 2, end
                     doc_ids, ids, total, block = [], [], 0, block + 1
         if ids:
             yield close()
+        _encoders.clear()
+        del encoder
+        tx.release()
 
     schema = "shard int, block int, doc_ids array<long>, n_ids long, ids binary, low binary, high binary"
     parts.select("doc_id", "text").mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
