@@ -111,6 +111,28 @@ def media_segments(spark, sf):
     return out.select("episode_index", "path", "start", "duration")
 
 
+@query(
+    "media_segments_all",
+    "WITH f AS (SELECT printf('videos/cam/chunk-%03d/file-%03d.mp4', p_partkey // 100, p_partkey % 100) AS path FROM part), "
+    "o AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS no, count(*) OVER () AS n FROM f), "
+    "e AS (SELECT o_orderkey AS episode_index, o_custkey // 100 % 30 AS chunk, o_custkey % 100 AS file, o_totalprice FROM orders "
+    "UNION ALL SELECT -o_orderkey, 1000000000 + o_custkey // 100 % 30, o_custkey % 100, o_totalprice FROM orders WHERE o_orderkey % 3 = 0) "
+    "SELECT episode_index, coalesce(f.path, o.path) AS path, round(o_totalprice / 1000, 6) AS start, greatest(0, 500 - round(o_totalprice / 1000, 6)) AS duration FROM e "
+    "LEFT JOIN f ON f.path = printf('videos/cam/chunk-%03d/file-%03d.mp4', chunk, file) LEFT JOIN o ON o.no = least(file, n - 1)",
+)
+def media_segments_all(spark, sf):
+    """All parts as media files; orders as episodes, every third once more with the name of a file that isn't there."""
+    part, cust = F.col("p_partkey"), F.col("o_custkey")
+    files = read_table(spark, sf, "part").select(F.format_string("videos/cam/chunk-%03d/file-%03d.mp4", F.floor(part / 100), part.cast("long") % 100).alias("path"))
+    episodes = read_table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("episode_index"), (F.floor(cust / 100) % 30).alias("chunk_index"), (cust % 100).alias("file_index"),
+        F.round(F.col("o_totalprice") / 1000, 6).alias("from_timestamp"), F.lit(500.0).alias("to_timestamp"),
+    )
+    gone = episodes.filter("episode_index % 3 = 0").withColumns({"episode_index": -F.col("episode_index"), "chunk_index": F.col("chunk_index") + 1000000000})
+    out = tb.media_segments(episodes.unionByName(gone), files, "videos/{video_key}/chunk-{chunk_index:03d}/file-{file_index:03d}.mp4", "cam")
+    return out.select("episode_index", "path", "start", "duration")
+
+
 @query("read_json_metadata", "SELECT c_custkey AS episode_id, CASE WHEN c_custkey % 4 = 0 THEN 20.0::DOUBLE ELSE 10.0::DOUBLE END AS fps, c_acctbal > 0 AS success FROM customer")
 def read_json_metadata(spark, sf):
     """One side-car document per customer, written and read as JSON."""
@@ -238,6 +260,19 @@ def verify_checksums(spark, sf):
     return sinks.verify_checksums(files.filter("doc_id % 20 <> 0"), expected).select("file", "actual")
 
 
+@query(
+    "verify_checksums_all",
+    "SELECT cast(doc_id AS VARCHAR) AS file, sha256(text) AS actual FROM documents WHERE doc_id % 7 = 0 "
+    "UNION ALL SELECT 'gone-' || cast(doc_id AS VARCHAR), NULL FROM documents WHERE doc_id % 20 = 0",
+)
+def verify_checksums_all(spark, sf):
+    """All documents against a pinned list in which every seventh digest is stale; for every twentieth it names one more file, which isn't there."""
+    files = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), "doc_id")
+    expected = files.select("file", F.when(F.col("doc_id") % 7 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
+    gone = files.filter("doc_id % 20 = 0").select(F.concat(F.lit("gone-"), "file").alias("file"), "sha256")
+    return sinks.verify_checksums(files, expected.unionByName(gone)).select("file", "actual")
+
+
 # ---- joins and sets -------------------------------------------------------------------------------
 
 TOL = "(SELECT episode_id, greatest(0.1, coalesce(3 * quantile_cont(d, 0.5) FILTER (WHERE d > 0), 0)) AS tol FROM (SELECT episode_id, t - lag(t) OVER (PARTITION BY episode_id ORDER BY t) AS d FROM {}) GROUP BY 1)"
@@ -267,6 +302,27 @@ def asof_merge_streams(spark, sf):
     return ms.asof_merge_streams({"scalar": cut(7, 3, "gripper"), "joint": cut(2, 0, "joint_1"), "wrench": cut(3, 1, "force_z")})
 
 
+MERGE_ALL_PARTS = MERGE_PARTS | {
+    "lead_s": "SELECT episode_id, t, arg_max(joint_1, seq) FILTER (WHERE joint_1 IS NOT NULL) AS joint_1 FROM (SELECT episode_id, timestamp AS t, seq, joint_1 FROM tele "
+    "UNION ALL SELECT episode_id, timestamp + 1000000, seq, joint_1 FROM tele WHERE seq % 5 = 0) GROUP BY 1, 2",
+    "wr_s": "SELECT episode_id, timestamp + 0.015625::DOUBLE AS t, arg_max(force_z, seq) AS force_z FROM tele GROUP BY 1, 2",
+    "sc_s": "SELECT episode_id, timestamp - 0.28125::DOUBLE AS t, arg_max(gripper, seq) AS gripper FROM tele GROUP BY 1, 2",
+}
+
+
+@query(
+    "asof_merge_streams_all",
+    statement(MERGE_ALL_PARTS, f"SELECT episode_id, t AS timestamp, joint_1, {_nearest('wt1', 'wv1', 'wt2', 'wv2', 'wtol')} AS force_z, {_nearest('st1', 'sv1', 'st2', 'sv2', 'stol')} AS gripper FROM j1"),
+)
+def asof_merge_streams_all(spark, sf):
+    """All samples of three streams, two of them shifted in time; the joint stream has samples after the others' end, too."""
+    rows, _ = telemetry(spark, sf)
+    whole = lambda column, shift: rows.select("episode_id", (F.col("timestamp") + F.lit(shift)).alias("timestamp"), "seq", column)
+    late = whole("joint_1", 1e6).filter("seq % 5 = 0")
+    joint = rows.select("episode_id", "timestamp", "seq", "joint_1").unionByName(late)
+    return ms.asof_merge_streams({"scalar": whole("gripper", -0.28125), "joint": joint, "wrench": whole("force_z", 0.015625)})
+
+
 @query("last_non_null", "SELECT user_id AS episode_id, date_trunc('day', ts)::DATE AS day, arg_max(value, event_id) FILTER (WHERE value > 20) AS value, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1, 2")
 def last_non_null(spark, sf):
     """The last known value per user and day."""
