@@ -6,9 +6,10 @@ from test_queries import test_query_matches_sql as matches_sql
 import __spark_entry__ as entry
 
 STREAMS = ["asof_merge_streams_all", "media_segments_all", "verify_checksums_all"]
+SCORES = ["quality_score_all", "dataset_overview_all", "grade_distribution_all", "score_histogram_all", "audit_order_all"]
 
 
-@pytest.mark.parametrize("name", STREAMS)
+@pytest.mark.parametrize("name", STREAMS + SCORES)
 def test_whole_query_matches_sql(spark, sf_dir, name):
     matches_sql(spark, sf_dir, name)
 
@@ -27,3 +28,11 @@ def test_no_rows_are_left_out(spark, sf_dir):
     steps, _ = telemetry(spark, sf_dir)
     assert merged.filter("timestamp < 500000").count() == steps.select("episode_id", "timestamp").distinct().count()
     assert merged.filter("timestamp >= 500000 and force_z is null and gripper is null").count() > 0
+
+
+def test_scores_count_the_faults_of_all_channels(spark, sf_dir):
+    run = lambda name: entry.queries()[name](spark, sf_dir)
+    faults = {r["episode_id"]: r["n"] for r in run("issues_by_severity").filter("severity = 'critical'").groupBy("episode_id").count().toDF("episode_id", "n").collect()}
+    scored = {r["episode_id"]: r["critical_count"] for r in run("quality_score_all").collect()}
+    assert scored and scored == {e: faults.get(e, 0) for e in scored}
+    assert sum(scored.values()) > sum(r["critical_count"] for r in run("quality_score").collect())

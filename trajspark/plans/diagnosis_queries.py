@@ -412,6 +412,11 @@ def quality_score(spark, sf):
     return mild_episodes(spark, sf).select("episode_id", "quality_score", "grade", "critical_count")
 
 
+@query("quality_score_all", check("SELECT episode_id, quality_score, grade, cast(critical_count AS INT) AS critical_count FROM eps"))
+def quality_score_all(spark, sf):
+    return diagnosed(spark, sf).select("episode_id", "quality_score", "grade", "critical_count")
+
+
 @query("root_causes", check("SELECT episode_id, causes_list AS causes FROM eps"))
 def root_causes(spark, sf):
     labels = F.transform("root_causes", lambda c: c["label"])
@@ -453,11 +458,21 @@ def dataset_overview(spark, sf):
     return score.dataset_overview(mild_episodes(spark, sf))
 
 
+@query("dataset_overview_all", check(OVERVIEW_SQL))
+def dataset_overview_all(spark, sf):
+    return score.dataset_overview(diagnosed(spark, sf))
+
+
 @query("grade_distribution", check_mild("SELECT g AS grade, count(episode_id) AS episode_count FROM (VALUES ('A'), ('B'), ('C'), ('D')) v(g) LEFT JOIN eps ON grade = g GROUP BY 1"))
 def grade_distribution(spark, sf):
     return score.grade_distribution(mild_episodes(spark, sf))
 
 
+@query("grade_distribution_all", check("SELECT g AS grade, count(episode_id) AS episode_count FROM (VALUES ('A'), ('B'), ('C'), ('D')) v(g) LEFT JOIN eps ON grade = g GROUP BY 1"))
+def grade_distribution_all(spark, sf):
+    return score.grade_distribution(diagnosed(spark, sf))
+
+
 @query(
     "score_histogram",
     check_mild(
@@ -469,6 +484,17 @@ def score_histogram(spark, sf):
     return score.score_histogram(mild_episodes(spark, sf))
 
 
+@query(
+    "score_histogram_all",
+    check(
+        "SELECT b AS bin, count(episode_id) AS episode_count FROM (VALUES ('90-100'), ('78-89'), ('65-77'), ('0-64')) v(b) LEFT JOIN "
+        "(SELECT episode_id, CASE WHEN quality_score >= 90 THEN '90-100' WHEN quality_score >= 78 THEN '78-89' WHEN quality_score >= 65 THEN '65-77' ELSE '0-64' END AS bin FROM eps) ON bin = b GROUP BY 1"
+    ),
+)
+def score_histogram_all(spark, sf):
+    return score.score_histogram(diagnosed(spark, sf))
+
+
 @query(
     "issue_code_counts",
     check("SELECT code, count(*) AS episode_count, cast(sum(count) AS BIGINT) AS sample_count, CASE WHEN bool_or(severity = 'critical') THEN 'critical' ELSE 'warning' END AS severity FROM issues GROUP BY 1"),
@@ -508,6 +534,13 @@ def audit_order(spark, sf):
     return numbered(ordered)
 
 
+@query("audit_order_all", check("SELECT episode_id, quality_score, cast(row_number() OVER (ORDER BY cast(regexp_extract(episode_id, '(\\d+)', 1) AS BIGINT)) AS BIGINT) AS place FROM eps"))
+def audit_order_all(spark, sf):
+    """As audit_order, with the scores of the whole diagnosis."""
+    ordered = score.audit_order(diagnosed(spark, sf), "episode-asc").select("episode_id", "quality_score")
+    return numbered(ordered)
+
+
 def numbered(ordered: DataFrame) -> DataFrame:
     """Number globally sorted rows through per-partition counts, so no task sees all of them."""
     import pandas as pd
