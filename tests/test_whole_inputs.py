@@ -6,10 +6,11 @@ from test_queries import test_query_matches_sql as matches_sql
 import __spark_entry__ as entry
 
 STREAMS = ["asof_merge_streams_all", "media_segments_all", "verify_checksums_all"]
+VECTORS = ["path_length_all", "expand_vector_all", "explode_trajectory_arrays_all", "object_distance_all"]
 SCORES = ["quality_score_all", "dataset_overview_all", "grade_distribution_all", "score_histogram_all", "audit_order_all"]
 
 
-@pytest.mark.parametrize("name", STREAMS + SCORES)
+@pytest.mark.parametrize("name", STREAMS + SCORES + VECTORS)
 def test_whole_query_matches_sql(spark, sf_dir, name):
     matches_sql(spark, sf_dir, name)
 
@@ -36,3 +37,10 @@ def test_scores_count_the_faults_of_all_channels(spark, sf_dir):
     scored = {r["episode_id"]: r["critical_count"] for r in run("quality_score_all").collect()}
     assert scored and scored == {e: faults.get(e, 0) for e in scored}
     assert sum(scored.values()) > sum(r["critical_count"] for r in run("quality_score").collect())
+
+
+def test_no_values_are_left_out(spark, sf_dir):
+    run = lambda name: entry.queries()[name](spark, sf_dir)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    assert run("explode_trajectory_arrays_all").count() == run("object_distance_all").count() == 64 * vectors
+    assert len(run("expand_vector_all").columns) == 65

@@ -140,6 +140,19 @@ def path_length(spark, sf):
     return ts.path_length(rows, layout, ["x", "y"]).select("episode_id", r("path_length").alias("path_length"))
 
 
+@query(
+    "path_length_all",
+    "SELECT label AS episode_id, round(sum(coalesce(sqrt(list_sum(list_transform(list_zip(embedding, before), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))), 0)), 6) AS path_length "
+    "FROM (SELECT *, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings) GROUP BY 1",
+)
+def path_length_all(spark, sf):
+    """Path through all 64 coordinates of the vectors of a label."""
+    axes = [f"x_{i}" for i in range(64)]
+    rows = read_table(spark, sf, "embeddings").selectExpr("label AS episode_id", "vec_id", *[f"double(embedding[{i}]) AS {c}" for i, c in enumerate(axes)])
+    rows, layout = dense_positions(rows, "episode_id", ["vec_id"], F.floor(F.col("vec_id") / 100000))
+    return ts.path_length(rows, layout, axes).select("episode_id", r("path_length").alias("path_length"))
+
+
 @query("first_true_time", check("SELECT scenario, seed, variant, round(success_time, 6) AS success_time FROM rf"))
 def first_true_time(spark, sf):
     return figures(spark, sf)[2].select(*rc.KEYS, r("success_time").alias("success_time"))

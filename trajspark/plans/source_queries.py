@@ -67,6 +67,12 @@ def expand_vector(spark, sf):
     return rows.select("vec_id", *[r(f"joint_{i}").alias(f"joint_{i}") for i in (1, 2, 3, 64)])
 
 
+@query("expand_vector_all", "SELECT vec_id, " + ", ".join(f"round(embedding[{i}]::DOUBLE, 6) AS joint_{i}" for i in range(1, 65)) + " FROM embeddings")
+def expand_vector_all(spark, sf):
+    rows = tb.expand_vector(read_table(spark, sf, "embeddings"), "embedding", "joint")
+    return rows.select("vec_id", *[r(f"joint_{i}").alias(f"joint_{i}") for i in range(1, 65)])
+
+
 @query("apply_aliases", "SELECT event_id, value AS force_z, event_type AS phase FROM events")
 def apply_aliases(spark, sf):
     events = read_table(spark, sf, "events").select("event_id", F.col("value").alias("observation.force_z"), F.col("event_type").alias("task_phase"))
@@ -181,6 +187,40 @@ def object_distance(spark, sf):
     return rows.select("episode_id", "seq", r("object_distance").alias("object_distance"))
 
 
+def whole_trajectories(spark, sf):
+    """Embeddings as trajectories of 64 rows: actions have label % 3 rows more and poses one, which the shortest array, qpos, leaves out."""
+    return read_table(spark, sf, "embeddings").selectExpr(
+        "concat('traj_', vec_id) AS traj",
+        "transform(concat(embedding, slice(embedding, 1, coalesce(label % 3, 0))), x -> array(cast(x AS DOUBLE) + 1)) AS actions",
+        "transform(embedding, x -> array(cast(x AS DOUBLE), cast(x AS DOUBLE) * 2)) AS qpos",
+        "transform(concat(embedding, slice(embedding, 1, 1)), x -> array(cast(x AS DOUBLE), 0D, 0D)) AS tcp_pose",
+        "transform(embedding, x -> array(1D, cast(x AS DOUBLE), 0.5D)) AS goal_pos",
+        "transform(embedding, x -> int(x > 0)) AS success",
+    )
+
+
+@query(
+    "explode_trajectory_arrays_all",
+    "SELECT cast(vec_id AS VARCHAR) AS episode_id, cast(i AS BIGINT) AS seq, round(i / 20, 6) AS timestamp, round(embedding[i + 1]::DOUBLE, 6) AS joint_1, round(embedding[i + 1]::DOUBLE * 2, 6) AS joint_2, "
+    "round(embedding[i + 1]::DOUBLE + 1, 6) AS action_1, round(i / 63, 6) AS phase, embedding[64]::DOUBLE > 0 AS success FROM embeddings, range(64) t(i)",
+)
+def explode_trajectory_arrays_all(spark, sf):
+    rows = tb.explode_trajectory_arrays(whole_trajectories(spark, sf))
+    return rows.select(
+        "episode_id", "seq", *[r(c).alias(c) for c in ("timestamp", "joint_1", "joint_2", "action_1")], r(F.col("phase").cast("double")).alias("phase"), "success"
+    )
+
+
+@query(
+    "object_distance_all",
+    "SELECT cast(vec_id AS VARCHAR) AS episode_id, cast(i AS BIGINT) AS seq, round(sqrt((1 - e) ** 2 + e ** 2 + 0.25), 6) AS object_distance FROM "
+    "(SELECT vec_id, i, embedding[i + 1]::DOUBLE AS e FROM embeddings, range(64) t(i))",
+)
+def object_distance_all(spark, sf):
+    rows = tb.explode_trajectory_arrays(whole_trajectories(spark, sf))
+    return rows.select("episode_id", "seq", r("object_distance").alias("object_distance"))
+
+
 def message_log(spark, sf):
     """Events as a message log: one log per user, one topic and type per event type."""
     return read_table(spark, sf, "events").selectExpr(
