@@ -44,3 +44,14 @@ def test_no_values_are_left_out(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
     assert run("explode_trajectory_arrays_all").count() == run("object_distance_all").count() == 64 * vectors
     assert len(run("expand_vector_all").columns) == 65
+
+
+def test_paths_with_one_prefix_are_numbered_in_several_ranges(spark):
+    from trajspark.sources import tables as tb
+
+    prefix = "videos/" + "x" * 80
+    files = spark.range(4000).selectExpr(f"concat('{prefix}/', (id * 7919) % 4000) AS path")
+    rows = tb.numbered_paths(files).collect()
+    assert [r["path"] for r in sorted(rows, key=lambda r: r["_no"])] == sorted(f"{prefix}/{k}" for k in range(4000))
+    assert sorted(r["_no"] for r in rows) == list(range(4000))
+    assert len({r["_range"] for r in rows}) > 1

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajspark.functions.layout import DEFAULT_CHUNK_ROWS, Layout, dense_positions
+from trajspark.functions.lineage import materialise
 from trajspark.operators.steps import require_rows, validate_steps
 
 # Names in robot data sets.
@@ -172,6 +173,19 @@ def formatted(template: str, fields: dict[str, Column]) -> Column:
     return F.concat(*parts)
 
 
+def numbered_paths(files: DataFrame) -> DataFrame:
+    """(path, _no, _range): places from 0 in the order of the paths, over sampled ranges of the whole path, so no prefix gathers all files."""
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = materialise(files.select("path").repartitionByRange(n, "path").withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    # One row per range.
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("path")) - 1
+    rows = dealt.withColumn("_row", inside).join(F.broadcast(offsets), "_range")
+    return rows.select("path", (F.col("_row") + F.col("_offset")).cast("long").alias("_no"), "_range")
+
+
 def media_segments(episodes: DataFrame, files: DataFrame, template: str, feature: str) -> DataFrame:
     """Media file, start, end and duration per episode.
 
@@ -180,7 +194,7 @@ def media_segments(episodes: DataFrame, files: DataFrame, template: str, feature
     sorted order, or the last one.
     """
     fields = {"video_key": F.lit(feature), "chunk_index": F.col("chunk_index"), "file_index": F.col("file_index"), "episode_index": F.col("episode_index"), "episode_chunk": F.col("chunk_index")}
-    ordered, _ = dense_positions(files.withColumn("_all", F.lit(1)), "_all", ["path"], F.substring("path", 1, 64), name="_no")
+    ordered = numbered_paths(files)
     count = files.agg(F.count(F.lit(1)).alias("_files"))
     wanted = episodes.withColumn("_wanted", formatted(template, fields)).crossJoin(F.broadcast(count))
     exact = files.select(F.col("path").alias("_wanted"), F.col("path").alias("_exact"))
