@@ -182,7 +182,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 def anchor_bitmaps(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray, np.ndarray]:
     """(log2 of the bits, bitmap of anchors that several pieces have, bitmap of those with over ``HOT``), from all texts."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    wide = int(np.clip(size // (LENGTH // 4), 1 << 12, 1 << MOST_BITS)).bit_length() - 1
+    wide = int(np.clip(size // 4, 1 << 12, 1 << MOST_BITS)).bit_length() - 1  # about 16 bits for each anchor
     bits = int(np.clip(size // (LENGTH // 2) >> 20, 1, 1 << 12)).bit_length() - 1  # buckets of about 2**20 anchors
     narrow = min(wide, HOT_BITS)
 
