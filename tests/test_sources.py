@@ -112,8 +112,7 @@ def test_lag_of_slow_and_fast_episodes(spark):
     steps = spark.createDataFrame(rows, "episode_id string, seq long, timestamp double, speed double, camera double")
     for layout in (Layout(), Layout(chunk_rows=50)):
         timed = ts.with_period(ts.step_interval(steps, layout), layout)
-        reaches = ts.lag_reaches(steps, layout, 0.5)
-        found = {r.episode_id: (r.lag, round(r.confidence, 6)) for r in ts.sync_offset(timed, layout, "speed", "camera", 0.5, reaches).collect()}
+        found = {r.episode_id: (r.lag, round(r.confidence, 6)) for r in ts.sync_offset(timed, layout, "speed", "camera", 0.5).collect()}
         assert found == {"slow": (2, 1.0), "fast": (25, 1.0), "short": (0, 1.0)}
 
 

@@ -166,22 +166,21 @@ def row_figures(rows: DataFrame, roles: Roles, keys, profile: Profile) -> DataFr
     return out.selectExpr("*", f"{missing} AS missing_cells")
 
 
-def sync_figures(rows: DataFrame, layout: Layout, profile: Profile, reaches: list[int]) -> DataFrame:
-    return ts.sync_offset(rows, layout, "speed", "camera_motion", profile.sync_max_lag_seconds, reaches)
+def sync_figures(rows: DataFrame, layout: Layout, profile: Profile) -> DataFrame:
+    return ts.sync_offset(rows, layout, "speed", "camera_motion", profile.sync_max_lag_seconds)
 
 
 def inspect_steps(
     steps: DataFrame, profile: str | Profile | None = None, layout: Layout | None = None
 ) -> Diagnosis:
-    """All detectors over all episodes in one plan, after one small job that finds how far lags have to be searched."""
+    """All detectors over all episodes in one plan."""
     profile = resolve_profile(profile)
     layout = layout or Layout.probe(steps)
     roles = resolve_roles(steps)
     rows = flagged_rows(steps, layout, profile, roles)
     figures = row_figures(rows, roles, layout.keys, profile)
     if roles.has("camera_motion"):
-        reaches = ts.lag_reaches(steps, layout, profile.sync_max_lag_seconds)
-        figures = figures.join(sync_figures(rows, layout, profile, reaches), list(layout.keys), "left")
+        figures = figures.join(sync_figures(rows, layout, profile), list(layout.keys), "left")
     else:
         figures = figures.selectExpr("*", "0 AS lag", "0D AS confidence")
     kept = [c for c in figures.columns if c not in ("lag", "confidence")]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.functions.columns import TRUE_WORDS_LOCAL, count_if, numeric_sql
+from trajspark.functions.lagged import lag_correlations
 from trajspark.functions.layout import Layout
 from trajspark.operators import timeseries as ts
 from trajspark.operators.steps import Roles, resolve_roles
@@ -32,10 +33,9 @@ def state_channels(roles: Roles) -> tuple[str, ...]:
 
 def response_alignment(rows: DataFrame, layout: Layout, action: str, motion: str) -> DataFrame:
     """Best correlation of the action with the motion 0..min(12, n div 5) rows later, and that lag."""
-    counted = layout.with_figures(rows, {"_n": F.count(F.lit(1))}).filter(F.col("_n") >= RESPONSE_MIN_ROWS)
-    found = ts.lag_correlations(
-        counted, layout, action, motion, 0, RESPONSE_ROWS, F.least(F.lit(RESPONSE_ROWS), F.floor(F.col("_n") / 5)), F.lit(0)
-    )
+    counted = layout.with_figures(rows, {"_n": F.count(F.lit(1)), "_action0": F.avg(action), "_motion0": F.avg(motion)}).filter(F.col("_n") >= RESPONSE_MIN_ROWS)
+    last = F.least(F.lit(RESPONSE_ROWS), F.floor(F.col("_n") / 5))
+    found = lag_correlations(counted, layout, action, motion, F.lit(0), last, (F.col("_action0"), F.col("_motion0")))
     weak = "pairs < 8 OR left_std < 1e-9 OR right_std < 1e-9 OR r IS NULL OR isnan(r)"
     found = found.selectExpr(*layout.keys, "lag", f"if({weak}, 0D, greatest(-1D, least(1D, r))) AS r")
     best = found.groupBy(*layout.keys).agg(F.max(F.struct("r", (-F.col("lag")).alias("back"))).alias("_b"))

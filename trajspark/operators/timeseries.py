@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.functions.columns import count_if, finite, finite_sql, is_true, mad_threshold, norm, numeric, numeric_sql
+from trajspark.functions.columns import count_if, finite, finite_sql, is_true, mad_threshold, norm, numeric_sql
+from trajspark.functions.lagged import lag_correlations
 from trajspark.functions.layout import Layout
-from trajspark.functions.lineage import materialise
 from trajspark.operators.steps import Roles
 
 DEFAULT_PERIOD = 0.02
@@ -276,34 +275,6 @@ def isolated_spike_repair(df: DataFrame, layout: Layout, joints: Sequence[str],
 # ---- lagged correlation ---------------------------------------------------------------------------
 
 
-def lag_correlations(
-    df: DataFrame, layout: Layout, left: str, right: str, first: int, last: int, limits: Column, low: Column
-) -> DataFrame:
-    """Pearson correlation of ``left`` at a row with ``right`` ``lag`` rows later.
-
-    ``first``..``last`` bound the lags of all episodes; ``low``..``limits`` those of one episode. The lagged
-    pairs live only between the window and the partial aggregate, so no more rows are shuffled than read.
-    """
-    ahead = layout.local(
-        df, lambda w: {"_near": F.collect_list(right).over(w.rowsBetween(first, last))}, before=max(0, -first), after=max(0, last)
-    )
-    start = F.greatest(F.lit(0), F.col("seq") + first) - F.col("seq")
-    pairs = ahead.select(
-        *layout.keys, left, start.alias("_start"), low.alias("_low"), limits.alias("_limit"),
-        F.posexplode("_near").alias("_pos", "_other"),
-    ).withColumn("lag", F.col("_start") + F.col("_pos"))
-    return (
-        pairs.filter((F.col("lag") >= F.col("_low")) & (F.col("lag") <= F.col("_limit")))
-        .groupBy(*layout.keys, "lag")
-        .agg(
-            F.corr(left, "_other").alias("r"),
-            F.count(F.lit(1)).alias("pairs"),
-            F.stddev_pop(left).alias("left_std"),
-            F.stddev_pop("_other").alias("right_std"),
-        )
-    )
-
-
 def lag_limit(max_lag_seconds: float) -> Column:
     """Aggregate-free expression over episode figures ``median_dt`` and ``n``."""
     return F.least(
@@ -311,36 +282,25 @@ def lag_limit(max_lag_seconds: float) -> Column:
     ).cast("int")
 
 
-def lag_reaches(steps: DataFrame, layout: Layout, max_lag_seconds: float) -> list[int]:
-    """The lags that episodes need, as one largest lag for each doubling (32 at most); one small job over the time column."""
-    rows = with_period(step_interval(steps.select(*layout.keys, "seq", "timestamp"), layout), layout)
-    figures = rows.groupBy(*layout.keys).agg(F.max("median_dt").alias("median_dt"), F.count(F.lit(1)).alias("n"))
-    reach = figures.select(F.greatest(F.lit(0), lag_limit(max_lag_seconds)).alias("reach")).filter("reach IS NOT NULL")
-    rows = reach.groupBy(F.floor(F.log2(F.col("reach") + 1)).alias("doubling")).agg(F.max("reach").alias("reach")).collect()
-    return sorted(r["reach"] for r in rows)
-
-
 def sync_offset(
-    df: DataFrame, layout: Layout, robot: str, sensor: str, max_lag_seconds: float, reaches: Sequence[int]
+    df: DataFrame, layout: Layout, robot: str, sensor: str, max_lag_seconds: float, most_rows: int | None = None
 ) -> DataFrame:
     """Best lag of a sensor behind the robot, one row per episode: lag, offset (s), confidence.
 
-    ``df`` needs ``median_dt``; gaps in both signals are filled first. Positive means the sensor is later. ``reaches`` are those of
-    :func:`lag_reaches`: episodes are searched by the doubling of their own largest lag, so a fast one widens no other's window.
+    ``df`` needs ``median_dt``; gaps in both signals are filled first. Positive means the sensor is later. Every episode is searched
+    as far as its own period asks, and no further than ``most_rows`` if given.
     """
     rows = layout.with_figures(
-        df.select(*layout.keys, "seq", "timestamp", "median_dt", numeric(robot).alias("_robot"), numeric(sensor).alias("_sensor")),
-        {"n": F.count(F.lit(1)), "_both": count_if(F.col("_robot").isNotNull() & F.col("_sensor").isNotNull())},
+        df.select(*layout.keys, "seq", "timestamp", "median_dt", finite(robot).alias("_robot"), finite(sensor).alias("_sensor")),
+        {
+            "n": F.count(F.lit(1)), "_both": count_if(F.col("_robot").isNotNull() & F.col("_sensor").isNotNull()),
+            "_robot0": F.avg("_robot"), "_sensor0": F.avg("_sensor"),
+        },
     )
-    rows = interpolate_positional(rows, layout, ["_robot", "_sensor"])
-    rows = rows.filter((F.col("_both") >= 20) & (F.col("median_dt") > 0)).withColumn("_limit", lag_limit(max_lag_seconds))
-    if len(reaches) > 1:
-        rows = materialise(rows)
-    parts = []
-    for shorter, reach in zip([-1, *reaches], reaches or [0]):
-        own = rows.filter((F.col("_limit") > shorter) & (F.col("_limit") <= reach)) if len(reaches) > 1 else rows
-        parts.append(lag_correlations(own, layout, "_robot__fill", "_sensor__fill", -reach, reach, F.col("_limit"), -F.col("_limit")))
-    found = reduce(DataFrame.unionByName, parts).filter((F.col("pairs") >= 10) & F.col("r").isNotNull() & ~F.isnan("r"))
+    rows = interpolate_positional(rows, layout, ["_robot", "_sensor"]).filter((F.col("_both") >= 20) & (F.col("median_dt") > 0))
+    limit = lag_limit(max_lag_seconds) if most_rows is None else F.least(lag_limit(max_lag_seconds), F.lit(most_rows))
+    found = lag_correlations(rows, layout, "_robot__fill", "_sensor__fill", -limit, limit, (F.col("_robot0"), F.col("_sensor0")))
+    found = found.filter((F.col("pairs") >= 10) & F.col("r").isNotNull() & ~F.isnan("r"))
     best = found.groupBy(*layout.keys).agg(F.max(F.struct("r", (-F.col("lag")).alias("back"))).alias("_best"))
     return best.select(
         *layout.keys, (-F.col("_best.back")).alias("lag"), F.greatest(F.lit(0.0), F.col("_best.r")).alias("confidence")

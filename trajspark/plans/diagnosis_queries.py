@@ -308,8 +308,7 @@ def dilate_mask(spark, sf):
 def sync_offset(spark, sf):
     rows, layout = telemetry(spark, sf)
     speed = ts.with_speed(rows, layout, steps.resolve_roles(rows))
-    reaches = ts.lag_reaches(rows, layout, P.sync_max_lag_seconds)
-    found = ts.sync_offset(speed, layout, "speed", "camera_motion", P.sync_max_lag_seconds, reaches)
+    found = ts.sync_offset(speed, layout, "speed", "camera_motion", P.sync_max_lag_seconds)
     period = speed.groupBy("episode_id").agg(F.max("median_dt").alias("median_dt"))
     return found.join(period, "episode_id").select(
         "episode_id", F.col("lag").cast("int").alias("lag"), r(F.col("lag") * F.col("median_dt")).alias("offset_s"), r("confidence").alias("confidence")
