@@ -34,7 +34,7 @@ LENGTH = 200
 GRAM = 48
 LONGEST = 256  # starts of a piece; a longer stretch of one anchor is cut, which separates no equal strings
 HOT = 1024  # pieces of one anchor that may meet in a task
-BATCH = 2 << 20  # bytes of different pieces in one index
+BATCH = 1 << 20  # bytes of different pieces in one index
 FLUSH = 1 << 20  # anchors that a task holds before it packs them
 MOST_BITS = 28  # log2 of the largest bitmap of anchors that more than one piece has: 32 MB
 HOT_BITS = 24
@@ -83,6 +83,19 @@ def stretches(column: pa.Array, length: int = LENGTH) -> Iterator[tuple[np.ndarr
             yield part, np.array([0, len(part)]), k, at
 
 
+def _in_order(group: np.ndarray, second: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places by group, ``second`` (of so many bits) and place, and what tells (group, second) pairs apart, in this order."""
+    low = int(at.max()).bit_length()
+    if int(group[-1]).bit_length() + bits + low <= 63:  # one sort of packed integers is several times faster than a sort of places
+        packed = np.sort((((group << bits) | second) << low) | at)
+        return packed >> low, packed & ((1 << low) - 1)
+    by = np.lexsort((at, second, group))
+    group, second = group[by], second[by]
+    pair = np.zeros(len(by), np.int64)
+    pair[1:] = np.cumsum((group[1:] != group[:-1]) | (second[1:] != second[:-1]))
+    return pair, at[by]
+
+
 class RunIndex:
     """Run-length index of different byte strings: repeats between and within them, never across their ends."""
 
@@ -106,7 +119,7 @@ class RunIndex:
             key <<= np.uint64(bits)
             m = max(0, n - k)
             key[:m] |= np.where(there[:m] + k <= end_of[:m], symbol[k:], np.uint64(0))
-        order = self._sorted(key, end_of - there < step, step)
+        order = self._sorted(key, end_of, step, bits)
         before = np.where(order > 0, symbol[order - 1], np.uint64(0))
         run = np.flatnonzero((before[1:] != before[:-1]) | (before[1:] == 0)) + 1  # ends are symbols of their own
         p, q = order[run - 1], order[run]
@@ -115,28 +128,27 @@ class RunIndex:
         self.statistics = np.maximum(self._streamed(n, q, common, order[0]), self._streamed(n, p, common, order[-1]))
 
     @staticmethod
-    def _sorted(key: np.ndarray, complete: np.ndarray, step: int) -> np.ndarray:
+    def _sorted(key: np.ndarray, end_of: np.ndarray, step: int, bits: int) -> np.ndarray:
         """Suffixes in order: by their first symbols, then by doubling within groups of equal ones. Ends sort by place."""
         n = len(key)
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
+        h = max(1, min(step, (63 - n.bit_length()) // bits))
+        group, order = _in_order(np.zeros(n, np.int64), (key >> np.uint64(bits * (step - h))).astype(np.int64), np.arange(n), bits * h)
         new = np.ones(n, bool)
-        new[1:] = (sorted_key[1:] != sorted_key[:-1]) | complete[order[1:]]
-        slot = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        rank = np.empty(n, np.int64)
-        rank[order] = slot
-        alone = new & np.append(new[1:], True)
-        left, h = np.flatnonzero(~alone), step
+        new[1:] = (group[1:] != group[:-1]) | (end_of[order[1:]] - order[1:] < h)
+        rank = np.empty(n, np.int32)
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        left = np.flatnonzero(~(new & np.append(new[1:], True)))
+        new = new[left]
         while len(left):
             at = order[left]
-            pair = (rank[at] << 32) | rank[np.minimum(at + h, n - 1)]
-            by = np.argsort(pair, kind="stable")
-            at, pair = at[by], pair[by]
+            group = np.cumsum(new) - 1
+            pair, at = _in_order(group, rank[np.minimum(at + h, n - 1)].astype(np.int64), at, n.bit_length())
             order[left] = at
             new = np.ones(len(left), bool)
             new[1:] = pair[1:] != pair[:-1]
             rank[at] = left[np.maximum.accumulate(np.where(new, np.arange(len(left)), 0))]
-            left = left[~(new & np.append(new[1:], True))]
+            several = ~(new & np.append(new[1:], True))
+            left, new = left[several], new[several]
             h *= 2
         return order
 
@@ -303,31 +315,48 @@ def _batch(marks: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _index_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks of the groups of anchors of a sorted partition, some whole groups to an index."""
-    held: dict[bytes, list[bytes]] = {}
-    size, now = 0, None
+    """Marks of the groups of anchors of a sorted partition, some whole groups to an index.
 
-    def marks() -> pa.RecordBatch:
+    A group that is one piece, several times, is marked as it is: there is nothing to compare it with.
+    """
+    group: dict[bytes, list[bytes]] = {}
+    held: dict[bytes, list[bytes]] = {}
+    size, now, marks = 0, None, []
+
+    def close() -> int:
+        """Adds the group to the index that is being gathered; its bytes."""
+        if len(group) == 1:
+            ((body, who),) = group.items()
+            if len(who := np.frombuffer(b"".join(who), MEMBER)) > 1:
+                marks.extend(_marks(who, [(0, len(body) - LENGTH + 1)]))
+                return 0
+        held.update(group)
+        return sum(map(len, group))
+
+    def indexed() -> None:
         bodies = list(held)
-        index, out = RunIndex(bodies), []
+        index = RunIndex(bodies)
         for k, body in enumerate(bodies):
             who = np.frombuffer(b"".join(held[body]), MEMBER)
-            starts = len(body) - LENGTH + 1
-            out += _marks(who, [(0, starts)] if len(who) > 1 else _runs(index.repeated(k, len(body))))
-        return _batch(out)
+            marks.extend(_marks(who, [(0, len(body) - LENGTH + 1)] if len(who) > 1 else _runs(index.repeated(k, len(body)))))
 
     for batch in batches:
         for anchor, body, who in zip(*[batch[c].to_pylist() for c in ("anchor", "body", "who")], strict=True):
-            if anchor != now and size >= BATCH:
-                yield marks()
-                held, size = {}, 0
+            if anchor != now and group:
+                size += close()
+                group = {}
+                if size >= BATCH:
+                    indexed()
+                    held, size = {}, 0
             now = anchor
-            if body not in held:
-                held[body] = []
-                size += len(body)
-            held[body].append(who)
+            group.setdefault(body, []).append(who)
+        yield _batch(marks)
+        marks.clear()
+    if group:
+        close()
     if held:
-        yield marks()
+        indexed()
+    yield _batch(marks)
     tx.release()
 
 
