@@ -29,18 +29,19 @@ def check(final: str) -> str:
     return statement(PARTS, final)
 
 
-def stream_of(spark, frame, keys: list[str], name: str, cuts=(30, 60)):
-    """Write a table in slices of ``seq``, one after the other, and open the files as a stream.
+ANY_TIME = "36500 days"  # files of a run may come long after those of others; nothing is too late here
 
-    A file source reads files by their time, so the slices of a key arrive in order, in several micro-batches.
+
+def stream_of(spark, frame, keys: list[str], name: str, slices: int = 3):
+    """Write a table in slices, one after the other, and open the files as a stream of several micro-batches.
+
+    A slice holds frames from everywhere in a run, so most frames come before their turn.
     """
     path = scratch_path(spark, name)
-    edges = [None, *cuts, None]
-    for low, high in zip(edges, edges[1:]):
-        part = frame if low is None else frame.filter(F.col("seq") >= low)
-        part = part if high is None else part.filter(F.col("seq") < high)
-        part.repartition(*keys).write.mode("append").parquet(path)
-    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    timed = frame.withColumn("event_time", F.timestamp_millis(F.lit(946_684_800_000) + F.col("seq") * 50))
+    for k in range(slices):
+        timed.filter(F.pmod(F.xxhash64("seq"), F.lit(slices)) == k).repartition(*keys).write.mode("append").parquet(path)
+    return spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 4).parquet(path)
 
 
 FRAME_COLUMNS = [*mo.KEYS, "seq", "force", "gripper", "gripper_command", "is_grasped", "success_now", "phase"]
@@ -50,7 +51,7 @@ def monitored(spark, sf):
     mo.use_rocksdb(spark)
     frames = replays(spark, sf).frames.select(*FRAME_COLUMNS)
     out = scratch_path(spark, "monitor-events")
-    mo.run_to_files(mo.monitor_runs(stream_of(spark, frames, mo.KEYS, "frames")), out)
+    mo.run_to_files(mo.monitor_runs(stream_of(spark, frames, mo.KEYS, "frames"), ANY_TIME), out)
     return spark.read.schema(mo.EVENTS).parquet(out).select(*mo.KEYS, "type", "step")
 
 
@@ -84,6 +85,6 @@ def stream_frame_motion(spark, sf):
     frames = read_table(spark, sf, "embeddings").selectExpr("int(label) AS topic", "vec_id", "transform(embedding, x -> cast(x AS DOUBLE)) AS pixels")
     frames, _ = dense_positions(frames, "topic", ["vec_id"], F.floor(F.col("vec_id") / 100000))
     out = scratch_path(spark, "motion")
-    mo.run_to_files(mo.stream_frame_motion(stream_of(spark, frames.select("topic", "seq", "pixels"), ["topic"], "grey-frames")), out)
+    mo.run_to_files(mo.stream_frame_motion(stream_of(spark, frames.select("topic", "seq", "pixels"), ["topic"], "grey-frames"), ANY_TIME), out)
     moved = spark.read.schema("topic int, seq bigint, camera_motion double").parquet(out)
     return moved.join(frames.select("topic", "seq", "vec_id"), ["topic", "seq"]).select("topic", "vec_id", r("camera_motion", 9).alias("camera_motion"))

@@ -1,9 +1,12 @@
 """Online monitors: per-run state over a stream of frames, and batch versions that give the same events.
 
-Within a micro-batch the frames of a run are sorted by ``seq``. A frame that is not later than the last one seen cannot be
-judged any more; it comes out as a row of its own (type ``late-frame``, or a null motion), so nothing is lost unseen. The
-state of a run is a few numbers, whatever its length. Bound the size of a micro-batch at the source (for files,
-``maxFilesPerTrigger``).
+Frames of a run carry dense numbers ``seq`` = 0, 1, 2, ... A frame that comes before its turn waits in the state until the frames before it
+are there, so a stream in any order gives the rows of the batch versions. With an event time, two timers bound the state: frames that wait
+go on without the missing ones once the watermark has passed them by ``PATIENCE_MS``, and a run without frames for ``IDLE_MS`` is
+forgotten. A frame whose turn is over (a repeated one, or one that was given up) can't be judged any more; it comes out as a row of
+its own (type ``late-frame``, or a null motion). Frames behind the watermark are dropped and counted by Spark.
+
+Bound the size of a micro-batch at the source (for files, ``maxFilesPerTrigger``).
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ KEYS = ["scenario", "seed", "variant"]
 # Force limit, command and opening of an ignored close command, frames until it counts.
 FORCE_LIMIT, CLOSE, OPEN, MISMATCH_FRAMES, HOLD_FRAMES = 36.0, -0.5, 0.75, 4, 3
 EVENTS = "scenario string, seed bigint, variant string, type string, step bigint, late bigint"
-STATE = "last_seq bigint, trigger bigint, mismatch int, grasped boolean, restored boolean, won boolean, calm int, calm_phase array<boolean>, late bigint"
+PATIENCE_MS, IDLE_MS = 10_000, 600_000  # event time that waiting frames, and runs without frames, are given
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -47,114 +50,210 @@ def _first(mask: np.ndarray) -> int | None:
     return int(mask.argmax()) if mask.any() else None
 
 
-class RunMonitor(StatefulProcessor):
-    """Violation, restoration and success of each run, each reported once."""
+class OrderedFrames(StatefulProcessor):
+    """Hands the frames of a key on in the order of ``seq``, whatever the order they come in; subclasses judge them in ``advance``."""
+
+    STATE: str  # fields of the subclass' own state
+    START: tuple
+    FRAME: str  # columns of a frame, ``seq`` first
+    TIMES = "next bigint, latest bigint, timer bigint"  # next seq, largest event time, timer that is set
+
+    def __init__(self, patience: int = PATIENCE_MS, idle: int = IDLE_MS):
+        self.patience, self.idle = patience, idle
+        self.columns = [c.split()[0] for c in self.FRAME.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", STATE)
+        self.handle = handle
+        self.state = handle.getValueState("run", f"{self.TIMES}, {self.STATE}")
+        self.waiting = handle.getListState("waiting", f"{self.FRAME}, event_ms bigint")
 
     def close(self) -> None:
         pass
 
+    def advance(self, key, state: tuple, frames: pd.DataFrame) -> tuple[tuple, pd.DataFrame | None]:
+        """New state and output for frames that follow those seen so far."""
+        raise NotImplementedError
+
+    def late(self, key, state: tuple, seq: pd.Series) -> tuple[tuple, pd.DataFrame]:
+        """New state and output for frames whose turn is over."""
+        raise NotImplementedError
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        (following, latest, timer), own = self._read()
+        came = pd.concat(list(rows))
+        timed = "event_time" in came.columns
+        came["event_ms"] = came["event_time"].astype("datetime64[ms]").astype("int64") if timed else 0
+        came = came[[*self.columns, "event_ms"]].sort_values("seq", kind="stable")
+        waited = self._waiting()
+        known = set(waited["seq"]) if len(waited) else set()
+        over = (came["seq"] < following) | came["seq"].duplicated() | came["seq"].isin(known)
+        if over.any():
+            own, out = self.late(key, own, came["seq"][over])
+            yield out
+        frames = pd.concat([waited, came[~over]]).sort_values("seq", kind="stable") if len(waited) else came[~over]
+        seq = frames["seq"].to_numpy()
+        ready = int(np.argmin(np.append(seq == following + np.arange(len(seq)), False)))
+        if ready:
+            own, out = self.advance(key, own, frames.iloc[:ready])
+            following = int(seq[ready - 1]) + 1
+            if out is not None:
+                yield out
+        left = frames.iloc[ready:]
+        if len(left) or len(waited):
+            self._wait(left)
+        if timed:
+            latest = max(latest, int(came["event_ms"].max()))
+            timer = self._set(timer, left, latest)
+        self.state.update((following, latest, timer, *own))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        (following, latest, _), own = self._read()
+        now = timerValues.getCurrentWatermarkInMs()
+        left = self._waiting().sort_values("seq", kind="stable")
+        gone = np.maximum.accumulate((left["event_ms"].to_numpy() + self.patience <= now)[::-1])[::-1] if len(left) else np.zeros(0, bool)
+        if gone.any():  # with those right behind the last of them, which are no longer held up
+            n = int(gone.sum())
+            seq = left["seq"].to_numpy()
+            n += int(np.argmin(np.append(seq[n:] == seq[n - 1] + 1 + np.arange(len(seq) - n), False)))
+            own, out = self.advance(key, own, left.iloc[:n])
+            following, left = int(seq[n - 1]) + 1, left.iloc[n:]
+            self._wait(left)
+            if out is not None:
+                yield out
+        if not len(left) and latest + self.idle <= now:
+            self.state.clear()
+        else:
+            self.state.update((following, latest, self._set(None, left, latest), *own))
+
+    def _read(self) -> tuple[tuple, tuple]:
+        if not self.state.exists():
+            return (0, 0, None), self.START
+        held = self.state.get()
+        return tuple(held[:3]), tuple(held[3:])
+
+    def _waiting(self) -> pd.DataFrame:
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        return pd.DataFrame([tuple(r) for r in rows], columns=[*self.columns, "event_ms"])
+
+    def _wait(self, frames: pd.DataFrame) -> None:
+        if len(frames):
+            plain = [frames[c].astype(object).where(frames[c].notna(), None).tolist() if c != "pixels" else [list(p) for p in frames[c]] for c in [*self.columns, "event_ms"]]
+            self.waiting.put(list(zip(*plain, strict=True)))
+        elif self.waiting.exists():
+            self.waiting.clear()
+
+    def _set(self, timer: int | None, left: pd.DataFrame, latest: int) -> int:
+        """One timer for each key: when the first waiting frame is given no more time, else when the run counts as over."""
+        wanted = int(left["event_ms"].min()) + self.patience if len(left) else latest + self.idle
+        if timer != wanted:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(wanted)
+        return wanted
+
+
+class RunMonitor(OrderedFrames):
+    """Violation, restoration and success of each run, each reported once."""
+
+    STATE = "trigger bigint, mismatch int, grasped boolean, restored boolean, won boolean, calm int, calm_phase array<boolean>, late bigint"
+    START = (None, 0, False, False, False, 0, [], 0)
+    FRAME = "seq bigint, force double, gripper double, gripper_command double, is_grasped boolean, success_now boolean, phase string"
+
+    def late(self, key, state: tuple, seq: pd.Series) -> tuple[tuple, pd.DataFrame]:
+        late = state[-1] + len(seq)
+        return (*state[:-1], late), self._events(key, [("late-frame", int(s)) for s in seq], late)
+
+    @staticmethod
+    def _events(key, events: list[tuple[str, int]], late: int) -> pd.DataFrame:
+        return pd.DataFrame([(*key, kind, step, late) for kind, step in events], columns=["scenario", "seed", "variant", "type", "step", "late"])
+
+    def advance(self, key, state: tuple, frames: pd.DataFrame) -> tuple[tuple, pd.DataFrame | None]:
         scenario = key[0]
-        last, trigger, mismatch, grasped, restored, won, calm, calm_phase, late = (
-            self.state.get() if self.state.exists() else (-1, None, 0, False, False, False, 0, [], 0)
-        )
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        fresh = (batch["seq"] > last) & ~batch["seq"].duplicated()
-        late += int((~fresh).sum())
-        events: list[tuple[str, int]] = [("late-frame", int(s)) for s in batch["seq"][~fresh]]
-        batch = batch[fresh]
-        if len(batch):
-            seq = batch["seq"].to_numpy()
-            force = batch["force"].to_numpy(dtype=float)
-            held = batch["is_grasped"].fillna(False).to_numpy(dtype=bool)
-            if trigger is None:
+        trigger, mismatch, grasped, restored, won, calm, calm_phase, late = state
+        events: list[tuple[str, int]] = []
+        seq = frames["seq"].to_numpy()
+        force = frames["force"].to_numpy(dtype=float)
+        flag = lambda c: frames[c].astype(object).where(frames[c].notna(), False).to_numpy(dtype=bool)
+        held = flag("is_grasped")
+        if trigger is None:
+            if scenario == "collision":
+                at = _first(force > FORCE_LIMIT)
+            elif scenario == "gripper-failure":
+                ignored = (frames["gripper_command"].to_numpy(dtype=float) < CLOSE) & (frames["gripper"].to_numpy(dtype=float) > OPEN)
+                lengths = _trailing(ignored, mismatch or 0)
+                at, mismatch = _first(lengths >= MISMATCH_FRAMES), int(lengths[-1])
+            else:
+                ever = np.logical_or.accumulate(np.concatenate(([bool(grasped)], held)))[:-1]
+                at = _first(ever & ~held)
+            if at is not None:
+                trigger = int(seq[at]) + 1
+                events.append(("predicate-violated", int(seq[at])))
+        grasped = bool(grasped) or bool(held.any())
+        if trigger is not None:
+            after = seq >= trigger
+            if not restored:
                 if scenario == "collision":
-                    at = _first(force > FORCE_LIMIT)
-                elif scenario == "gripper-failure":
-                    ignored = (batch["gripper_command"].to_numpy(dtype=float) < CLOSE) & (batch["gripper"].to_numpy(dtype=float) > OPEN)
-                    lengths = _trailing(ignored, mismatch or 0)
-                    at, mismatch = _first(lengths >= MISMATCH_FRAMES), int(lengths[-1])
+                    # A recovery frame that opens three calm frames; known two frames later.
+                    lengths = _trailing((force <= FORCE_LIMIT) & after, calm or 0)
+                    in_phase = frames["phase"].fillna("").str.startswith("recovery_").to_numpy(dtype=bool)
+                    known = np.concatenate((np.array(list(calm_phase or []), dtype=bool), in_phase & after))
+                    shift = len(known) - len(seq)
+                    opener = np.arange(len(seq)) + shift - (HOLD_FRAMES - 1)
+                    opened = np.where(opener >= 0, known[np.maximum(opener, 0)], False)
+                    at = _first((lengths >= HOLD_FRAMES) & opened)
+                    step = None if at is None else int(seq[at]) - (HOLD_FRAMES - 1)
+                    calm, calm_phase = int(lengths[-1]), [bool(x) for x in known[-(HOLD_FRAMES - 1):]]
                 else:
-                    ever = np.logical_or.accumulate(np.concatenate(([bool(grasped)], held)))[:-1]
-                    at = _first(ever & ~held)
+                    at = _first(held & after)
+                    step = None if at is None else int(seq[at])
+                if step is not None:
+                    restored = True
+                    events.append(("predicate-restored", step))
+            if not won:
+                at = _first(flag("success_now") & after)
                 if at is not None:
-                    trigger = int(seq[at]) + 1
-                    events.append(("predicate-violated", int(seq[at])))
-            grasped = bool(grasped) or bool(held.any())
-            if trigger is not None:
-                after = seq >= trigger
-                if not restored:
-                    if scenario == "collision":
-                        # A recovery frame that opens three calm frames; known two frames later.
-                        lengths = _trailing((force <= FORCE_LIMIT) & after, calm or 0)
-                        in_phase = batch["phase"].fillna("").str.startswith("recovery_").to_numpy()
-                        known = np.concatenate((np.array(list(calm_phase or []), dtype=bool), in_phase & after))
-                        shift = len(known) - len(seq)
-                        opener = np.arange(len(seq)) + shift - (HOLD_FRAMES - 1)
-                        opened = np.where(opener >= 0, known[np.maximum(opener, 0)], False)
-                        at = _first((lengths >= HOLD_FRAMES) & opened)
-                        step = None if at is None else int(seq[at]) - (HOLD_FRAMES - 1)
-                        calm, calm_phase = int(lengths[-1]), [bool(x) for x in known[-(HOLD_FRAMES - 1):]]
-                    else:
-                        at = _first(held & after)
-                        step = None if at is None else int(seq[at])
-                    if step is not None:
-                        restored = True
-                        events.append(("predicate-restored", step))
-                if not won:
-                    at = _first(batch["success_now"].fillna(False).to_numpy(dtype=bool) & after)
-                    if at is not None:
-                        won = True
-                        events.append(("recovery-success", int(seq[at])))
-            last = int(seq[-1])
-        self.state.update((last, trigger, mismatch, grasped, restored, won, calm, calm_phase, late))
-        if events:
-            yield pd.DataFrame(
-                [(*key, kind, step, late) for kind, step in events], columns=["scenario", "seed", "variant", "type", "step", "late"]
-            )
-
-
-class FrameMotion(StatefulProcessor):
+                    won = True
+                    events.append(("recovery-success", int(seq[at])))
+        return (trigger, mismatch, grasped, restored, won, calm, calm_phase, late), self._events(key, events, late) if events else None
+
+
+class FrameMotion(OrderedFrames):
     """Mean change between consecutive frames; the last frame of each topic is kept. Late frames have no motion."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("frame", "seq bigint, pixels array<double>")
+    STATE = "pixels array<double>"
+    START = (None,)
+    FRAME = "seq bigint, pixels array<double>"
 
-    def close(self) -> None:
-        pass
+    def late(self, key, state: tuple, seq: pd.Series) -> tuple[tuple, pd.DataFrame]:
+        return state, pd.DataFrame({"topic": key[0], "seq": seq.to_numpy(), "camera_motion": np.nan})
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, before = self.state.get() if self.state.exists() else (-1, None)
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        fresh = (batch["seq"] > last) & ~batch["seq"].duplicated()
-        if not fresh.all():
-            yield pd.DataFrame({"topic": key[0], "seq": batch["seq"][~fresh].to_numpy(), "camera_motion": np.nan})
-        batch = batch[fresh]
-        if len(batch):
-            shown = np.stack([np.asarray(p, dtype=float) for p in batch["pixels"]])
-            start = shown[:1] if before is None else np.asarray(before, dtype=float)[None]
-            motion = np.abs(np.diff(np.concatenate([start, shown]), axis=0)).mean(axis=1) / 255
-            self.state.update((int(batch["seq"].iloc[-1]), shown[-1].tolist()))
-            yield pd.DataFrame({"topic": key[0], "seq": batch["seq"].to_numpy(), "camera_motion": motion})
-
-
-def monitor_runs(frames: DataFrame) -> DataFrame:
-    """Streaming events of ``RunMonitor`` over frames keyed by scenario, seed and variant."""
-    return frames.groupBy(*KEYS).transformWithStateInPandas(
-        statefulProcessor=RunMonitor(), outputStructType=EVENTS, outputMode="Append", timeMode="None"
-    )
+    def advance(self, key, state: tuple, frames: pd.DataFrame) -> tuple[tuple, pd.DataFrame | None]:
+        (before,) = state
+        shown = np.stack([np.asarray(p, dtype=float) for p in frames["pixels"]])
+        start = shown[:1] if before is None else np.asarray(before, dtype=float)[None]
+        motion = np.abs(np.diff(np.concatenate([start, shown]), axis=0)).mean(axis=1) / 255
+        return (shown[-1].tolist(),), pd.DataFrame({"topic": key[0], "seq": frames["seq"].to_numpy(), "camera_motion": motion})
 
 
-def stream_frame_motion(frames: DataFrame) -> DataFrame:
-    """Streaming frame motion over (topic, seq, pixels)."""
-    return frames.groupBy("topic").transformWithStateInPandas(
-        statefulProcessor=FrameMotion(), outputStructType="topic int, seq bigint, camera_motion double", outputMode="Append", timeMode="None"
+def _processed(frames: DataFrame, keys: list[str], processor: StatefulProcessor, output: str, delay: str | None) -> DataFrame:
+    """``delay`` names how much later than others a frame may come, where there is an ``event_time``."""
+    if delay is not None:
+        frames = frames.withWatermark("event_time", delay)
+    return frames.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=output, outputMode="Append", timeMode="None" if delay is None else "EventTime"
     )
 
 
+def monitor_runs(frames: DataFrame, delay: str | None = None, patience: int = PATIENCE_MS, idle: int = IDLE_MS) -> DataFrame:
+    """Streaming events of ``RunMonitor`` over frames keyed by scenario, seed and variant; with a ``delay``, by their ``event_time``."""
+    return _processed(frames, KEYS, RunMonitor(patience, idle), EVENTS, delay)
+
+
+def stream_frame_motion(frames: DataFrame, delay: str | None = None, patience: int = PATIENCE_MS, idle: int = IDLE_MS) -> DataFrame:
+    """Streaming frame motion over (topic, seq, pixels); with a ``delay``, by their ``event_time``."""
+    return _processed(frames, ["topic"], FrameMotion(patience, idle), "topic int, seq bigint, camera_motion double", delay)
+
+
 def run_to_files(stream: DataFrame, path: str) -> None:
     """Run a stream over what its source holds now and write its rows."""
     job = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start()
