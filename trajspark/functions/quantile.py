@@ -1,84 +1,67 @@
 """Exact quantiles per group when a group may be far too large for one task.
 
-``percentile`` keeps every distinct value of a group in one buffer. For groups above a row limit the
-target ranks are found by counting instead: values are counted per range, the range that holds a rank is
-split again, and after three rounds the few distinct values left are handed to ``percentile``. Counting is
-combined on the map side, so a group that holds a third of all rows costs no single task more than others.
+``percentile`` keeps every distinct value of a group in one buffer. Groups above a row limit take two passes over their rows for all
+quantiles together. The first brackets each quantile: a mergeable sketch with a bounded rank error gives a value that is surely
+at or below its rank and one that is surely at or above. The second counts the values below the bracket and the distinct values
+within, stacked as (name, value) rows in one aggregate. Both are combined on the map side, so a group that holds a third of all rows
+costs no single task more than others, and only the few values within brackets are ever ordered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions.columns import finite
-from trajspark.functions.lineage import materialise
 
-_FIRST_SPLIT = 512       # ranges per doubling of the magnitude
-_LATER_SPLIT = 1 << 16   # equal ranges between the ends of the range kept
+ACCURACY = 10_000  # the sketch errs by at most one in so many ranks
 
 
-def _magnitude_range(v: Column) -> Column:
-    """A range number that never decreases with the value."""
-    height = F.floor((F.log2(F.abs(v)) + 1100) * _FIRST_SPLIT)
-    return F.when(v == 0, F.lit(0)).when(v > 0, height).otherwise(-height).cast("long")
+def _brackets(rows: DataFrame, keys: list[str], quantiles: list[tuple[Column, float]]) -> DataFrame:
+    """Per group and quantile number: ``n`` values, and ``lo``, ``hi`` around the target ranks."""
+    sums = []
+    for i, (_, p) in enumerate(quantiles):
+        low, high = p - 2 / ACCURACY, p + 2 / ACCURACY
+        at = F.percentile_approx(f"_v{i}", [max(low, 0.0), min(high, 1.0)], ACCURACY)
+        sums += [F.count(f"_v{i}").alias(f"_n{i}"), F.min(f"_v{i}").alias(f"_min{i}"), F.max(f"_v{i}").alias(f"_max{i}"), at.alias(f"_at{i}")]
+    found = rows.groupBy(*keys).agg(*sums)
+    ends = []
+    for i, (_, p) in enumerate(quantiles):
+        few = F.col(f"_n{i}") < 4 * ACCURACY  # of few values all are counted: there two neighbouring ranks may lie further apart than the bracket
+        ends += [
+            F.col(f"_n{i}"),
+            F.when(few | F.lit(p * ACCURACY <= 2), F.col(f"_min{i}")).otherwise(F.get(f"_at{i}", F.lit(0))).alias(f"_lo{i}"),
+            F.when(few | F.lit((1 - p) * ACCURACY <= 2), F.col(f"_max{i}")).otherwise(F.get(f"_at{i}", F.lit(1))).alias(f"_hi{i}"),
+        ]
+    return found.select(*keys, *ends)
 
 
-def _holding_ranges(values: DataFrame, group: list[str], targets: DataFrame) -> DataFrame:
-    """The ranges that hold a target rank, their ends, and the rank counted from the range's start."""
-    counts = values.groupBy(*group, "_part").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    inside = F.col("_rank") - F.col("_before")
-    return (
-        counts.join(F.broadcast(targets), group)
-        .filter((inside >= 0) & (inside < F.col("_n")))
-        .withColumn("_rank", inside)
-        .drop("_before", "_n")
-    )
-
-
-def _large_groups(values: DataFrame, keys: list[str], sizes: DataFrame, p: float, name: str) -> DataFrame:
-    """Quantile of the groups in ``sizes``; every broadcast table has two rows per such group at most."""
-    position = (F.col("_size") - 1) * F.lit(p)
-    ends = F.array(
-        F.struct(F.lit(0).alias("_end"), F.floor(position).alias("_rank")),
-        F.struct(F.lit(1).alias("_end"), F.ceil(position).alias("_rank")),
-    )
-    targets = sizes.select(*keys, F.inline(ends))
-    ended = [*keys, "_end"]
-    group = keys
-    values = values.withColumn("_part", _magnitude_range(F.col("_v")))
-    for _ in range(3):
-        held = materialise(_holding_ranges(values, group, targets))
-        width = F.col("_hi") - F.col("_lo")
-        split = F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")) / width * _LATER_SPLIT)).otherwise(0)
-        values = values.join(F.broadcast(held.drop("_rank")), [*group, "_part"]).select(
-            *ended, "_v", split.cast("long").alias("_part")
-        )
-        group = ended
-        targets = held.select(*ended, "_rank")
-    distinct = values.groupBy(*ended, "_v").count()
-    upto = F.sum("count").over(Window.partitionBy(*ended).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    picked = (
-        distinct.withColumn("_upto", upto)
-        .join(F.broadcast(targets), ended)
-        .filter(F.col("_upto") > F.col("_rank"))
-        .groupBy(*keys)
-        .agg(
-            F.min(F.when(F.col("_end") == 0, F.col("_v"))).alias("_a"),
-            F.min(F.when(F.col("_end") == 1, F.col("_v"))).alias("_b"),
-        )
-    )
-    between = (F.ceil(position) - position) * F.col("_a") + (position - F.floor(position)) * F.col("_b")
-    return picked.join(F.broadcast(sizes), keys).select(
-        *keys, F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(between).alias(name)
+def _large_groups(rows: DataFrame, keys: list[str], quantiles: Mapping[str, tuple[Column, float]]) -> DataFrame:
+    """The quantiles of groups of any size; there must be few groups, as a row of each is broadcast."""
+    wanted = list(quantiles.values())
+    rows = rows.select(*keys, *[finite(c).alias(f"_v{i}") for i, (c, _) in enumerate(wanted)])
+    brackets = _brackets(rows, keys, wanted)
+    places = []
+    for i in range(len(wanted)):
+        v = F.col(f"_v{i}")
+        place = F.struct(F.lit(i).alias("_q"), F.when(v >= F.col(f"_lo{i}"), v).alias("_value"))
+        places.append(F.when(v <= F.col(f"_hi{i}"), place))
+    counted = rows.join(F.broadcast(brackets), keys).select(*keys, F.inline(F.array_compact(F.array(*places)))).groupBy(*keys, "_q", "_value").count()
+    upto = F.sum("count").over(Window.partitionBy(*keys, "_q").orderBy(F.col("_value").asc_nulls_first()))
+    sizes = F.inline(F.array(*[F.struct(F.lit(i).alias("_q"), F.col(f"_n{i}").alias("_size"), ((F.col(f"_n{i}") - 1) * F.lit(float(p))).alias("_position")) for i, (_, p) in enumerate(wanted)]))
+    ranked = counted.withColumn("_upto", upto).join(F.broadcast(brackets.select(*keys, sizes)), [*keys, "_q"])
+    picked = ranked.groupBy(*keys, "_q", "_position").agg(
+        F.min(F.when(F.col("_upto") > F.floor("_position"), F.struct("_upto", "_value")))["_value"].alias("_a"),
+        F.min(F.when(F.col("_upto") > F.ceil("_position"), F.struct("_upto", "_value")))["_value"].alias("_b"),
     )
+    share = F.col("_position") - F.floor("_position")
+    between = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise((1 - share) * F.col("_a") + share * F.col("_b"))
+    # A rank outside its bracket would contradict the error bound of the sketch: rather fail than give another value.
+    sure = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("a quantile lies outside its bracket"))).otherwise(between)
+    values = picked.select(*keys, "_q", sure.cast("double").alias("_value"))
+    return values.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == i, F.col("_value"))).alias(n) for i, n in enumerate(quantiles)])
 
 
 def grouped_quantiles(
@@ -92,9 +75,5 @@ def grouped_quantiles(
     small = df.join(F.broadcast(large), keys, "left_anti")
     ordinary = small.groupBy(*keys).agg(*[F.percentile(finite(c), p).alias(n) for n, (c, p) in quantiles.items()])
     rows = df.join(F.broadcast(large), keys, "left_semi")
-    found = large
-    for name, (value, p) in quantiles.items():
-        values = rows.select(*keys, finite(value).alias("_v")).filter(F.col("_v").isNotNull())
-        counts = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-        found = found.join(_large_groups(values, keys, counts, p, name), keys, "left")
-    return reduce(DataFrame.unionByName, [ordinary, found.select(*ordinary.columns)])
+    found = large.join(_large_groups(rows, keys, quantiles), keys, "left")  # groups without any value stay, with nulls
+    return ordinary.unionByName(found.select(*ordinary.columns))
