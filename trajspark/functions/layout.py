@@ -239,20 +239,29 @@ class Layout:
         return grouped_quantiles(df, self.keys, quantiles, self.chunk_rows)
 
 
+def range_buckets(df: DataFrame, by: Sequence[str | Column], name: str = "_bucket") -> DataFrame:
+    """The rows with the number of their range, which never decreases along the ordering ``by``.
+
+    Ranges are cut from a sample of the rows, so each has about as many rows whatever the values are. The rows are stored,
+    as the cuts of another run could differ.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return materialise(df.repartitionByRange(n, *by).withColumn(name, F.spark_partition_id().cast("long")))
+
+
 def dense_positions(
-    df: DataFrame, key: str, order: Sequence[str | Column], bucket: Column, name: str = "seq", limit: int = DEFAULT_CHUNK_ROWS
+    df: DataFrame, key: str, order: Sequence[str | Column], name: str = "seq", limit: int = DEFAULT_CHUNK_ROWS
 ) -> tuple[DataFrame, Layout]:
     """Number the rows of each key 0, 1, 2, ... in the given order.
 
-    ``bucket`` must not decrease along the order (a date or an hour of the ordering time). It is used
-    when a key is too long for one task: rows are numbered within (key, bucket) and moved up by the
-    number of rows in earlier buckets.
+    If a key is too long for one task, rows are numbered within sampled ranges of (key, order) and moved up by the number
+    of rows in the key's earlier ranges.
     """
     layout = Layout.probe(df, (key,), name, limit)
     if layout.whole:
         w = Window.partitionBy(key).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(w) - 1).cast("long")), layout
-    df = df.withColumn("_bucket", bucket)
+    df = range_buckets(df, [key, *order])
     sizes = df.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(_UNB, -1)
     offsets = sizes.select(key, "_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
@@ -264,4 +273,3 @@ def dense_positions(
         ),
         layout,
     )
-

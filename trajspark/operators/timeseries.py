@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trajspark.functions.columns import count_if, finite, finite_sql, is_true, mad_threshold, norm, numeric_sql
 from trajspark.functions.lagged import lag_correlations
-from trajspark.functions.layout import Layout
+from trajspark.functions.layout import Layout, range_buckets
 from trajspark.operators.steps import Roles
 
 DEFAULT_PERIOD = 0.02
@@ -313,8 +313,8 @@ def sync_offset(
 def sample_at(df: DataFrame, layout: Layout, column: str, offset: Column) -> DataFrame:
     """``<column>__shifted``: the channel at time + offset, linear between known samples; null outside them.
 
-    Samples and targets are ordered together by time. Needs ``median_dt``, which sets the width of the time
-    buckets when episodes are long.
+    Samples and targets are ordered together by time, in sampled ranges of rows when episodes are long: a clock that stands
+    still or leaps makes no range larger.
     """
     sides = (
         f"inline(array(named_struct('_time', timestamp, '_kind', 0, '_value', {numeric_sql(column)}), "
@@ -323,8 +323,8 @@ def sample_at(df: DataFrame, layout: Layout, column: str, offset: Column) -> Dat
     both = df.withColumn("_offset", offset).selectExpr("*", sides).drop("_offset")
     both = both.withColumn("_at", F.struct("_time", "_kind", layout.order))
     if not layout.whole:
-        both = both.withColumn("_bucket", F.floor(F.col("_time") / (F.col("median_dt") * layout.chunk_rows)))
-    by_time = replace(layout, order="_at", bucket="_bucket")
+        both = range_buckets(both, [*layout.keys, "_time", "_kind", layout.order])
+    by_time = replace(layout, order="_at", bucket=None if layout.whole else "_bucket")
     found = by_time.with_anchors(both, {"_s": "_value"}, time="_time").filter("_kind = 1")
     a, b = F.col("_s__prev"), F.col("_s__next")
     value = F.when(a["t"] == F.col("_time"), a["v"]).when(a.isNotNull() & b.isNotNull(), time_fill(a, b, F.col("_time")))

@@ -211,7 +211,7 @@ VISUAL = (
 def inject_visual_fault(spark, sf):
     """Frame drop on the frames of every topic."""
     frames = read_table(spark, sf, "embeddings").selectExpr("label AS topic", "vec_id", "transform(embedding, x -> cast(x AS DOUBLE)) AS pixels")
-    frames, layout = dense_positions(frames, "topic", ["vec_id"], F.floor(F.col("vec_id") / 100000))
+    frames, layout = dense_positions(frames, "topic", ["vec_id"])
     out = pt.inject_visual_fault(frames, layout, "frame-drop", 10, 6)
     return out.select("topic", "vec_id", "frame_valid", F.round(F.aggregate("pixels", F.lit(0.0), lambda s, x: s + x), 5).alias("brightness"))
 

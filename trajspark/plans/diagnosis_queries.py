@@ -11,24 +11,16 @@ from trajspark.operators import timeseries as ts
 from trajspark.plans.oracle import EP, diagnosis_parts, runs_sql, statement
 from trajspark.plans.registry import query
 from trajspark.plans.telemetry import JOINTS, TELEMETRY_PROFILE, read_table, telemetry
-from trajspark.profiles import Profile, profile_table
+from trajspark.profiles import profile_table
 
 P = TELEMETRY_PROFILE
 PARTS = diagnosis_parts(P)
-# A profile and a narrower view whose episodes spread over all grades.
-MILD = Profile("mild", "Few channels", stuck_min_duration=0.4, gap_period_multiplier=1000.0, force_floor=1e6, workspace_x_max=1e6, workspace_y_max=1e6)
-MILD_PARTS = diagnosis_parts(MILD, full=False)
-MILD_COLUMNS = ["episode_id", "seq", "timestamp", "phase", "ee_x", "ee_y", "force_z", "success"]
 
 
 def check(final: str) -> str:
     return statement(PARTS, final)
 
 
-def check_mild(final: str) -> str:
-    return statement(MILD_PARTS, final)
-
-
 def r(column, digits: int = 6):
     value = F.col(column) if isinstance(column, str) else column
     return F.round(value, digits)
@@ -43,11 +35,6 @@ def diagnosed(spark: SparkSession, sf: str) -> DataFrame:
     return score.score_episodes(inspected(spark, sf))
 
 
-def mild_episodes(spark: SparkSession, sf: str) -> DataFrame:
-    rows, layout = telemetry(spark, sf)
-    return score.diagnose(rows.select(*MILD_COLUMNS), MILD, layout)
-
-
 def flagged(spark: SparkSession, sf: str) -> tuple[DataFrame, object]:
     rows, layout = telemetry(spark, sf)
     return detect.flagged_rows(rows, layout, P), layout
@@ -177,7 +164,7 @@ def supplier_steps(spark, sf):
     from trajspark.functions.layout import dense_positions
 
     lines = read_table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
-    lines, layout = dense_positions(lines, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], F.floor(F.col("l_orderkey") / 100000))
+    lines, layout = dense_positions(lines, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
     rows = lines.select(
         F.col("l_suppkey").cast("string").alias("episode_id"), "seq", F.col("seq").cast("double").alias("timestamp"),
         F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"),
@@ -406,13 +393,8 @@ def dimension_scores(spark, sf):
     return diagnosed(spark, sf).select("episode_id", *score.DIMENSIONS)
 
 
-@query("quality_score", check_mild("SELECT episode_id, quality_score, grade, cast(critical_count AS INT) AS critical_count FROM eps"))
+@query("quality_score", check("SELECT episode_id, quality_score, grade, cast(critical_count AS INT) AS critical_count FROM eps"))
 def quality_score(spark, sf):
-    return mild_episodes(spark, sf).select("episode_id", "quality_score", "grade", "critical_count")
-
-
-@query("quality_score_all", check("SELECT episode_id, quality_score, grade, cast(critical_count AS INT) AS critical_count FROM eps"))
-def quality_score_all(spark, sf):
     return diagnosed(spark, sf).select("episode_id", "quality_score", "grade", "critical_count")
 
 
@@ -452,45 +434,24 @@ OVERVIEW_SQL = (
 )
 
 
-@query("dataset_overview", check_mild(OVERVIEW_SQL))
+@query("dataset_overview", check(OVERVIEW_SQL))
 def dataset_overview(spark, sf):
-    return score.dataset_overview(mild_episodes(spark, sf))
-
-
-@query("dataset_overview_all", check(OVERVIEW_SQL))
-def dataset_overview_all(spark, sf):
     return score.dataset_overview(diagnosed(spark, sf))
 
 
-@query("grade_distribution", check_mild("SELECT g AS grade, count(episode_id) AS episode_count FROM (VALUES ('A'), ('B'), ('C'), ('D')) v(g) LEFT JOIN eps ON grade = g GROUP BY 1"))
+@query("grade_distribution", check("SELECT g AS grade, count(episode_id) AS episode_count FROM (VALUES ('A'), ('B'), ('C'), ('D')) v(g) LEFT JOIN eps ON grade = g GROUP BY 1"))
 def grade_distribution(spark, sf):
-    return score.grade_distribution(mild_episodes(spark, sf))
-
-
-@query("grade_distribution_all", check("SELECT g AS grade, count(episode_id) AS episode_count FROM (VALUES ('A'), ('B'), ('C'), ('D')) v(g) LEFT JOIN eps ON grade = g GROUP BY 1"))
-def grade_distribution_all(spark, sf):
     return score.grade_distribution(diagnosed(spark, sf))
 
 
 @query(
     "score_histogram",
-    check_mild(
-        "SELECT b AS bin, count(episode_id) AS episode_count FROM (VALUES ('90-100'), ('78-89'), ('65-77'), ('0-64')) v(b) LEFT JOIN "
-        "(SELECT episode_id, CASE WHEN quality_score >= 90 THEN '90-100' WHEN quality_score >= 78 THEN '78-89' WHEN quality_score >= 65 THEN '65-77' ELSE '0-64' END AS bin FROM eps) ON bin = b GROUP BY 1"
-    ),
-)
-def score_histogram(spark, sf):
-    return score.score_histogram(mild_episodes(spark, sf))
-
-
-@query(
-    "score_histogram_all",
     check(
         "SELECT b AS bin, count(episode_id) AS episode_count FROM (VALUES ('90-100'), ('78-89'), ('65-77'), ('0-64')) v(b) LEFT JOIN "
         "(SELECT episode_id, CASE WHEN quality_score >= 90 THEN '90-100' WHEN quality_score >= 78 THEN '78-89' WHEN quality_score >= 65 THEN '65-77' ELSE '0-64' END AS bin FROM eps) ON bin = b GROUP BY 1"
     ),
 )
-def score_histogram_all(spark, sf):
+def score_histogram(spark, sf):
     return score.score_histogram(diagnosed(spark, sf))
 
 
@@ -526,15 +487,8 @@ def audit_filter(spark, sf):
     return out.select("episode_id", "quality_score", "grade", "primary_cause")
 
 
-@query("audit_order", check_mild("SELECT episode_id, quality_score, cast(row_number() OVER (ORDER BY cast(regexp_extract(episode_id, '(\\d+)', 1) AS BIGINT)) AS BIGINT) AS place FROM eps"))
+@query("audit_order", check("SELECT episode_id, quality_score, cast(row_number() OVER (ORDER BY cast(regexp_extract(episode_id, '(\\d+)', 1) AS BIGINT)) AS BIGINT) AS place FROM eps"))
 def audit_order(spark, sf):
-    """Natural order of the ids; the place is the number of ids up to it, counted after a global sort."""
-    ordered = score.audit_order(mild_episodes(spark, sf), "episode-asc").select("episode_id", "quality_score")
-    return numbered(ordered)
-
-
-@query("audit_order_all", check("SELECT episode_id, quality_score, cast(row_number() OVER (ORDER BY cast(regexp_extract(episode_id, '(\\d+)', 1) AS BIGINT)) AS BIGINT) AS place FROM eps"))
-def audit_order_all(spark, sf):
     """As audit_order, with the scores of the whole diagnosis."""
     ordered = score.audit_order(diagnosed(spark, sf), "episode-asc").select("episode_id", "quality_score")
     return numbered(ordered)

@@ -76,7 +76,7 @@ def conversation_steps(spark, sf):
     from trajspark.functions.layout import dense_positions
 
     turns = read_table(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("phase"))
-    rows, layout = dense_positions(turns, "conv_id", ["turn"], F.floor(F.col("turn") / 1000))
+    rows, layout = dense_positions(turns, "conv_id", ["turn"])
     return rows.withColumnRenamed("conv_id", "episode_id"), replace(layout, keys=("episode_id",))
 
 

@@ -130,26 +130,14 @@ def shared_interval(spark, sf):
 
 @query(
     "path_length",
-    "SELECT label AS episode_id, round(sum(coalesce(sqrt((x - lag_x) ** 2 + (y - lag_y) ** 2), 0)), 6) AS path_length FROM (SELECT label, x, y, lag(x) OVER w AS lag_x, lag(y) OVER w AS lag_y FROM "
-    "(SELECT label, vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) WINDOW w AS (PARTITION BY label ORDER BY vec_id)) GROUP BY 1",
-)
-def path_length(spark, sf):
-    """Path through the first two coordinates of the vectors of a label."""
-    rows = read_table(spark, sf, "embeddings").selectExpr("label AS episode_id", "vec_id", "double(embedding[0]) AS x", "double(embedding[1]) AS y")
-    rows, layout = dense_positions(rows, "episode_id", ["vec_id"], F.floor(F.col("vec_id") / 100000))
-    return ts.path_length(rows, layout, ["x", "y"]).select("episode_id", r("path_length").alias("path_length"))
-
-
-@query(
-    "path_length_all",
     "SELECT label AS episode_id, round(sum(coalesce(sqrt(list_sum(list_transform(list_zip(embedding, before), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))), 0)), 6) AS path_length "
     "FROM (SELECT *, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings) GROUP BY 1",
 )
-def path_length_all(spark, sf):
+def path_length(spark, sf):
     """Path through all 64 coordinates of the vectors of a label."""
     axes = [f"x_{i}" for i in range(64)]
     rows = read_table(spark, sf, "embeddings").selectExpr("label AS episode_id", "vec_id", *[f"double(embedding[{i}]) AS {c}" for i, c in enumerate(axes)])
-    rows, layout = dense_positions(rows, "episode_id", ["vec_id"], F.floor(F.col("vec_id") / 100000))
+    rows, layout = dense_positions(rows, "episode_id", ["vec_id"])
     return ts.path_length(rows, layout, axes).select("episode_id", r("path_length").alias("path_length"))
 
 

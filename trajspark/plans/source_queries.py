@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trajspark.functions.layout import dense_positions
 from trajspark.operators import detect, score, sinks, steps
-from trajspark.plans.diagnosis_queries import EVENTS_SQL, MILD, PARTS, check, diagnosed, inspected, r, supplier_steps
+from trajspark.plans.diagnosis_queries import EVENTS_SQL, PARTS, check, diagnosed, inspected, r, supplier_steps
 from trajspark.plans.oracle import EP, statement
 from trajspark.plans.registry import query, scratch_path
 from trajspark.plans.telemetry import read_table, telemetry
@@ -61,14 +61,8 @@ def derive_timestamp(spark, sf):
     return tb.derive_timestamp(rows.select("episode_id", "seq")).select("episode_id", "seq", r("timestamp").alias("timestamp"))
 
 
-@query("expand_vector", "SELECT vec_id, " + ", ".join(f"round(embedding[{i}]::DOUBLE, 6) AS joint_{i}" for i in (1, 2, 3, 64)) + " FROM embeddings")
+@query("expand_vector", "SELECT vec_id, " + ", ".join(f"round(embedding[{i}]::DOUBLE, 6) AS joint_{i}" for i in range(1, 65)) + " FROM embeddings")
 def expand_vector(spark, sf):
-    rows = tb.expand_vector(read_table(spark, sf, "embeddings"), "embedding", "joint")
-    return rows.select("vec_id", *[r(f"joint_{i}").alias(f"joint_{i}") for i in (1, 2, 3, 64)])
-
-
-@query("expand_vector_all", "SELECT vec_id, " + ", ".join(f"round(embedding[{i}]::DOUBLE, 6) AS joint_{i}" for i in range(1, 65)) + " FROM embeddings")
-def expand_vector_all(spark, sf):
     rows = tb.expand_vector(read_table(spark, sf, "embeddings"), "embedding", "joint")
     return rows.select("vec_id", *[r(f"joint_{i}").alias(f"joint_{i}") for i in range(1, 65)])
 
@@ -96,29 +90,6 @@ def join_task_names(spark, sf):
 
 @query(
     "media_segments",
-    "WITH f AS (SELECT printf('videos/cam/chunk-%03d/file-%03d.mp4', p_partkey // 100, p_partkey % 100) AS path FROM part WHERE p_partkey % 3 <> 0), "
-    "o AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS no, count(*) OVER () AS n FROM f) "
-    "SELECT o_orderkey AS episode_index, coalesce(f.path, o.path) AS path, round(o_totalprice / 1000, 6) AS start, greatest(0, 500 - round(o_totalprice / 1000, 6)) AS duration FROM orders "
-    "LEFT JOIN f ON f.path = printf('videos/cam/chunk-%03d/file-%03d.mp4', o_custkey // 100 % 30, o_custkey % 100) LEFT JOIN o ON o.no = least(o_custkey % 100, n - 1)",
-)
-def media_segments(spark, sf):
-    """Orders as episodes, parts as media files."""
-    part = F.col("p_partkey")
-    pad = lambda c: F.lpad(c.cast("long").cast("string"), 3, "0")
-    files = read_table(spark, sf, "part").filter(part % 3 != 0).select(
-        F.concat(F.lit("videos/cam/chunk-"), pad(F.floor(part / 100)), F.lit("/file-"), pad(part % 100), F.lit(".mp4")).alias("path")
-    )
-    cust = F.col("o_custkey")
-    episodes = read_table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("episode_index"), (F.floor(cust / 100) % 30).alias("chunk_index"), (cust % 100).alias("file_index"),
-        F.round(F.col("o_totalprice") / 1000, 6).alias("from_timestamp"), F.lit(500.0).alias("to_timestamp"),
-    )
-    out = tb.media_segments(episodes, files, "videos/{video_key}/chunk-{chunk_index:03d}/file-{file_index:03d}.mp4", "cam")
-    return out.select("episode_index", "path", "start", "duration")
-
-
-@query(
-    "media_segments_all",
     "WITH f AS (SELECT printf('videos/cam/chunk-%03d/file-%03d.mp4', p_partkey // 100, p_partkey % 100) AS path FROM part), "
     "o AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS no, count(*) OVER () AS n FROM f), "
     "e AS (SELECT o_orderkey AS episode_index, o_custkey // 100 % 30 AS chunk, o_custkey % 100 AS file, o_totalprice FROM orders "
@@ -126,7 +97,7 @@ def media_segments(spark, sf):
     "SELECT episode_index, coalesce(f.path, o.path) AS path, round(o_totalprice / 1000, 6) AS start, greatest(0, 500 - round(o_totalprice / 1000, 6)) AS duration FROM e "
     "LEFT JOIN f ON f.path = printf('videos/cam/chunk-%03d/file-%03d.mp4', chunk, file) LEFT JOIN o ON o.no = least(file, n - 1)",
 )
-def media_segments_all(spark, sf):
+def media_segments(spark, sf):
     """All parts as media files; orders as episodes, every third once more with the name of a file that isn't there."""
     part, cust = F.col("p_partkey"), F.col("o_custkey")
     files = read_table(spark, sf, "part").select(F.format_string("videos/cam/chunk-%03d/file-%03d.mp4", F.floor(part / 100), part.cast("long") % 100).alias("path"))
@@ -158,36 +129,6 @@ TRAJ_SQL = (
 
 
 def trajectories(spark, sf):
-    """Embeddings as trajectories: arrays of unequal length, the shortest is 64 - label % 3 rows."""
-    return read_table(spark, sf, "embeddings").selectExpr(
-        "concat('traj_', vec_id) AS traj",
-        "transform(embedding, x -> array(cast(x AS DOUBLE) + 1)) AS actions",
-        "transform(slice(embedding, 1, 64 - label % 3), x -> array(cast(x AS DOUBLE), cast(x AS DOUBLE) * 2)) AS qpos",
-        "transform(embedding, x -> array(cast(x AS DOUBLE), 0D, 0D)) AS tcp_pose",
-        "transform(embedding, x -> array(1D, cast(x AS DOUBLE), 0.5D)) AS goal_pos",
-        "transform(embedding, x -> int(x > 0)) AS success",
-    )
-
-
-@query("explode_trajectory_arrays", TRAJ_SQL)
-def explode_trajectory_arrays(spark, sf):
-    rows = tb.explode_trajectory_arrays(trajectories(spark, sf))
-    return rows.select(
-        "episode_id", "seq", *[r(c).alias(c) for c in ("timestamp", "joint_1", "joint_2", "action_1")], r(F.col("phase").cast("double")).alias("phase"), "success"
-    )
-
-
-@query(
-    "object_distance",
-    "SELECT cast(vec_id AS VARCHAR) AS episode_id, cast(i AS BIGINT) AS seq, round(sqrt((1 - e) ** 2 + e ** 2 + 0.25), 6) AS object_distance FROM "
-    "(SELECT vec_id, i, embedding[i + 1]::DOUBLE AS e FROM embeddings, range(64) t(i) WHERE i < 64 - label % 3)",
-)
-def object_distance(spark, sf):
-    rows = tb.explode_trajectory_arrays(trajectories(spark, sf))
-    return rows.select("episode_id", "seq", r("object_distance").alias("object_distance"))
-
-
-def whole_trajectories(spark, sf):
     """Embeddings as trajectories of 64 rows: actions have label % 3 rows more and poses one, which the shortest array, qpos, leaves out."""
     return read_table(spark, sf, "embeddings").selectExpr(
         "concat('traj_', vec_id) AS traj",
@@ -200,24 +141,24 @@ def whole_trajectories(spark, sf):
 
 
 @query(
-    "explode_trajectory_arrays_all",
+    "explode_trajectory_arrays",
     "SELECT cast(vec_id AS VARCHAR) AS episode_id, cast(i AS BIGINT) AS seq, round(i / 20, 6) AS timestamp, round(embedding[i + 1]::DOUBLE, 6) AS joint_1, round(embedding[i + 1]::DOUBLE * 2, 6) AS joint_2, "
     "round(embedding[i + 1]::DOUBLE + 1, 6) AS action_1, round(i / 63, 6) AS phase, embedding[64]::DOUBLE > 0 AS success FROM embeddings, range(64) t(i)",
 )
-def explode_trajectory_arrays_all(spark, sf):
-    rows = tb.explode_trajectory_arrays(whole_trajectories(spark, sf))
+def explode_trajectory_arrays(spark, sf):
+    rows = tb.explode_trajectory_arrays(trajectories(spark, sf))
     return rows.select(
         "episode_id", "seq", *[r(c).alias(c) for c in ("timestamp", "joint_1", "joint_2", "action_1")], r(F.col("phase").cast("double")).alias("phase"), "success"
     )
 
 
 @query(
-    "object_distance_all",
+    "object_distance",
     "SELECT cast(vec_id AS VARCHAR) AS episode_id, cast(i AS BIGINT) AS seq, round(sqrt((1 - e) ** 2 + e ** 2 + 0.25), 6) AS object_distance FROM "
     "(SELECT vec_id, i, embedding[i + 1]::DOUBLE AS e FROM embeddings, range(64) t(i))",
 )
-def object_distance_all(spark, sf):
-    rows = tb.explode_trajectory_arrays(whole_trajectories(spark, sf))
+def object_distance(spark, sf):
+    rows = tb.explode_trajectory_arrays(trajectories(spark, sf))
     return rows.select("episode_id", "seq", r("object_distance").alias("object_distance"))
 
 
@@ -268,7 +209,7 @@ MOTION_SQL = (
 def frame_motion(spark, sf):
     """Embeddings as grey frames, one topic per label."""
     frames = read_table(spark, sf, "embeddings").selectExpr("label AS topic", "vec_id", "transform(embedding, x -> cast(x AS DOUBLE)) AS pixels")
-    frames, layout = dense_positions(frames, "topic", ["vec_id"], F.floor(F.col("vec_id") / 100000))
+    frames, layout = dense_positions(frames, "topic", ["vec_id"])
     return tb.frame_motion(frames, layout).select("topic", "vec_id", r("camera_motion", 9).alias("camera_motion"))
 
 
@@ -292,20 +233,12 @@ def source_sha256(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", F.octet_length(content).cast("long").alias("length"), F.sha2(content, 256).alias("sha256"))
 
 
-@query("verify_checksums", "SELECT cast(doc_id AS VARCHAR) AS file, CASE WHEN doc_id % 20 = 0 THEN NULL ELSE sha256(text) END AS actual FROM documents WHERE doc_id % 20 = 0 OR doc_id % 7 = 0")
-def verify_checksums(spark, sf):
-    """Documents against a pinned list in which every seventh digest is stale and every twentieth file is gone."""
-    files = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), "doc_id")
-    expected = files.select("file", F.when(F.col("doc_id") % 7 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
-    return sinks.verify_checksums(files.filter("doc_id % 20 <> 0"), expected).select("file", "actual")
-
-
 @query(
-    "verify_checksums_all",
+    "verify_checksums",
     "SELECT cast(doc_id AS VARCHAR) AS file, sha256(text) AS actual FROM documents WHERE doc_id % 7 = 0 "
     "UNION ALL SELECT 'gone-' || cast(doc_id AS VARCHAR), NULL FROM documents WHERE doc_id % 20 = 0",
 )
-def verify_checksums_all(spark, sf):
+def verify_checksums(spark, sf):
     """All documents against a pinned list in which every seventh digest is stale; for every twentieth it names one more file, which isn't there."""
     files = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), "doc_id")
     expected = files.select("file", F.when(F.col("doc_id") % 7 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
@@ -317,9 +250,10 @@ def verify_checksums_all(spark, sf):
 
 TOL = "(SELECT episode_id, greatest(0.1, coalesce(3 * quantile_cont(d, 0.5) FILTER (WHERE d > 0), 0)) AS tol FROM (SELECT episode_id, t - lag(t) OVER (PARTITION BY episode_id ORDER BY t) AS d FROM {}) GROUP BY 1)"
 MERGE_PARTS = PARTS | {
-    "lead_s": "SELECT episode_id, timestamp AS t, arg_max(joint_1, seq) FILTER (WHERE joint_1 IS NOT NULL) AS joint_1 FROM tele WHERE seq % 2 = 0 GROUP BY 1, 2",
-    "wr_s": "SELECT episode_id, timestamp AS t, arg_max(force_z, seq) AS force_z FROM tele WHERE seq % 3 = 1 GROUP BY 1, 2",
-    "sc_s": "SELECT episode_id, timestamp AS t, arg_max(gripper, seq) AS gripper FROM tele WHERE seq % 7 = 3 GROUP BY 1, 2",
+    "lead_s": "SELECT episode_id, t, arg_max(joint_1, seq) FILTER (WHERE joint_1 IS NOT NULL) AS joint_1 FROM (SELECT episode_id, timestamp AS t, seq, joint_1 FROM tele "
+    "UNION ALL SELECT episode_id, timestamp + 1000000, seq, joint_1 FROM tele WHERE seq % 5 = 0) GROUP BY 1, 2",
+    "wr_s": "SELECT episode_id, timestamp + 0.015625::DOUBLE AS t, arg_max(force_z, seq) AS force_z FROM tele GROUP BY 1, 2",
+    "sc_s": "SELECT episode_id, timestamp - 0.28125::DOUBLE AS t, arg_max(gripper, seq) AS gripper FROM tele GROUP BY 1, 2",
     "j1": "SELECT l.*, w1.t AS wt1, w1.force_z AS wv1, w2.t AS wt2, w2.force_z AS wv2, s1.t AS st1, s1.gripper AS sv1, s2.t AS st2, s2.gripper AS sv2, wt.tol AS wtol, stl.tol AS stol FROM lead_s l "
     "ASOF LEFT JOIN wr_s w1 ON l.episode_id = w1.episode_id AND l.t >= w1.t ASOF LEFT JOIN wr_s w2 ON l.episode_id = w2.episode_id AND l.t <= w2.t "
     "ASOF LEFT JOIN sc_s s1 ON l.episode_id = s1.episode_id AND l.t >= s1.t ASOF LEFT JOIN sc_s s2 ON l.episode_id = s2.episode_id AND l.t <= s2.t "
@@ -336,25 +270,6 @@ def _nearest(t1: str, v1: str, t2: str, v2: str, tol: str) -> str:
     statement(MERGE_PARTS, f"SELECT episode_id, t AS timestamp, joint_1, {_nearest('wt1', 'wv1', 'wt2', 'wv2', 'wtol')} AS force_z, {_nearest('st1', 'sv1', 'st2', 'sv2', 'stol')} AS gripper FROM j1"),
 )
 def asof_merge_streams(spark, sf):
-    """Three streams cut from the telemetry view, merged onto the joint stream by nearest time."""
-    rows, _ = telemetry(spark, sf)
-    cut = lambda every, at, column: rows.filter(F.col("seq") % every == at).select("episode_id", "timestamp", "seq", column)
-    return ms.asof_merge_streams({"scalar": cut(7, 3, "gripper"), "joint": cut(2, 0, "joint_1"), "wrench": cut(3, 1, "force_z")})
-
-
-MERGE_ALL_PARTS = MERGE_PARTS | {
-    "lead_s": "SELECT episode_id, t, arg_max(joint_1, seq) FILTER (WHERE joint_1 IS NOT NULL) AS joint_1 FROM (SELECT episode_id, timestamp AS t, seq, joint_1 FROM tele "
-    "UNION ALL SELECT episode_id, timestamp + 1000000, seq, joint_1 FROM tele WHERE seq % 5 = 0) GROUP BY 1, 2",
-    "wr_s": "SELECT episode_id, timestamp + 0.015625::DOUBLE AS t, arg_max(force_z, seq) AS force_z FROM tele GROUP BY 1, 2",
-    "sc_s": "SELECT episode_id, timestamp - 0.28125::DOUBLE AS t, arg_max(gripper, seq) AS gripper FROM tele GROUP BY 1, 2",
-}
-
-
-@query(
-    "asof_merge_streams_all",
-    statement(MERGE_ALL_PARTS, f"SELECT episode_id, t AS timestamp, joint_1, {_nearest('wt1', 'wv1', 'wt2', 'wv2', 'wtol')} AS force_z, {_nearest('st1', 'sv1', 'st2', 'sv2', 'stol')} AS gripper FROM j1"),
-)
-def asof_merge_streams_all(spark, sf):
     """All samples of three streams, two of them shifted in time; the joint stream has samples after the others' end, too."""
     rows, _ = telemetry(spark, sf)
     whole = lambda column, shift: rows.select("episode_id", (F.col("timestamp") + F.lit(shift)).alias("timestamp"), "seq", column)

@@ -83,7 +83,7 @@ def falling_edge(spark, sf):
 def stream_frame_motion(spark, sf):
     mo.use_rocksdb(spark)
     frames = read_table(spark, sf, "embeddings").selectExpr("int(label) AS topic", "vec_id", "transform(embedding, x -> cast(x AS DOUBLE)) AS pixels")
-    frames, _ = dense_positions(frames, "topic", ["vec_id"], F.floor(F.col("vec_id") / 100000))
+    frames, _ = dense_positions(frames, "topic", ["vec_id"])
     out = scratch_path(spark, "motion")
     mo.run_to_files(mo.stream_frame_motion(stream_of(spark, frames.select("topic", "seq", "pixels"), ["topic"], "grey-frames"), ANY_TIME), out)
     moved = spark.read.schema("topic int, seq bigint, camera_motion double").parquet(out)

@@ -31,7 +31,7 @@ def telemetry(
     """The step table and the layout that fits its longest episode."""
     events = read_table(spark, sf_dir, "events") if events is None else events
     rows = events.select("user_id", "event_id", "ts", "value")
-    rows, layout = dense_positions(rows, "user_id", ["ts", "event_id"], F.date_trunc("hour", "ts"), limit=limit)
+    rows, layout = dense_positions(rows, "user_id", ["ts", "event_id"], limit=limit)
     by_user = replace(layout, keys=("user_id",))
     seq, user, event = F.col("seq"), F.col("user_id"), F.col("event_id")
     rows = by_user.with_figures(rows, {"n": F.count(F.lit(1))})

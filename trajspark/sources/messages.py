@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.functions.layout import DEFAULT_CHUNK_ROWS, Layout, dense_positions
+from trajspark.functions.layout import DEFAULT_CHUNK_ROWS, Layout, dense_positions, range_buckets
 from trajspark.functions.lineage import materialise
 from trajspark.operators.steps import validate_steps
 
@@ -69,9 +69,9 @@ def last_known(stream: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     )
 
 
-def tolerance(stream: DataFrame, key: str, bucket: Column, limit: int) -> DataFrame:
+def tolerance(stream: DataFrame, key: str, limit: int) -> DataFrame:
     """max(0.1 s, three median periods) per log."""
-    numbered, layout = dense_positions(stream.select(key, "timestamp"), key, ["timestamp"], bucket, limit=limit)
+    numbered, layout = dense_positions(stream.select(key, "timestamp"), key, ["timestamp"], limit=limit)
     steps = layout.local(numbered, lambda w: {"dt": F.col("timestamp") - F.lag("timestamp").over(w)}, before=1)
     period = layout.quantiles(steps, {"_period": (F.when(F.col("dt") > 0, F.col("dt")), 0.5)})
     return period.select(
@@ -80,20 +80,19 @@ def tolerance(stream: DataFrame, key: str, bucket: Column, limit: int) -> DataFr
 
 
 def asof_merge_streams(
-    streams: Mapping[str, DataFrame], key: str = "episode_id", order: str = "seq", bucket_seconds: float = 60.0, limit: int = DEFAULT_CHUNK_ROWS
+    streams: Mapping[str, DataFrame], key: str = "episode_id", order: str = "seq", limit: int = DEFAULT_CHUNK_ROWS
 ) -> DataFrame:
     """Merge streams onto the leading one by nearest time.
 
     All streams are laid side by side and searched in one pass: each row of the leading stream takes the
-    nearest sample before or after it (the earlier one on ties) if it is within that stream's tolerance.
+    nearest sample before or after it (the earlier one on ties) if it is within that stream's tolerance. A log too long for one
+    task is cut into sampled ranges of its samples, however close in time they lie; the edges of ranges are carried over.
     ``streams``: name -> (key, timestamp, order, values...).
     """
     present = [n for n in STREAM_PRIORITY if n in streams] + [n for n in streams if n not in STREAM_PRIORITY]
     if not present:
         raise ValueError("no stream to merge")
     lead = present[0]
-    # A bucket without a limit on its width would hold a whole log; one of some seconds holds few samples.
-    bucket = F.floor(F.col("timestamp") / bucket_seconds).cast("long")
     known = {n: last_known(streams[n], [key], order) for n in present}
     taken = set(known[lead].columns)
     merged = known[lead].withColumn("_kind", F.lit(1))
@@ -109,13 +108,15 @@ def asof_merge_streams(
         merged = merged.unionByName(
             known[name].select(key, "timestamp", F.lit(0).alias("_kind"), packed.alias(f"_s_{name}")), allowMissingColumns=True
         )
-        mine = tolerance(known[name], key, bucket, limit).withColumnRenamed("_tolerance", f"_tol_{name}")
+        mine = tolerance(known[name], key, limit).withColumnRenamed("_tolerance", f"_tol_{name}")
         limits = mine if limits is None else limits.join(mine, key, "full")
     if limits is None:
         return merged.drop("_kind")
     layout = Layout.probe(merged, (key,), "_at", limit)
-    merged = merged.withColumns({"_at": F.struct("timestamp", "_kind"), "_bucket": bucket})
-    layout = Layout(layout.chunk_rows, (key,), "_at", "_bucket")
+    merged = merged.withColumn("_at", F.struct("timestamp", "_kind"))
+    if not layout.whole:
+        merged = range_buckets(merged, [key, "timestamp", "_kind"])
+    layout = Layout(layout.chunk_rows, (key,), "_at", None if layout.whole else "_bucket")
     found = layout.carry(merged, {f"_b_{n}": F.col(f"_s_{n}") for n in samples}, {f"_a_{n}": F.col(f"_s_{n}") for n in samples})
     found = found.filter("_kind = 1")
     found = found.join(limits, key, "left") if layout.whole else _attach_by_bucket(found, limits, key)
@@ -135,7 +136,7 @@ def _attach_by_bucket(rows: DataFrame, figures: DataFrame, key: str) -> DataFram
     return rows.join(homes, [key, "_bucket"])
 
 
-def message_log_steps(messages: DataFrame, key: str = "log_id", bucket_seconds: float = 60.0) -> DataFrame:
+def message_log_steps(messages: DataFrame, key: str = "log_id") -> DataFrame:
     """Decoded messages -> step table: one episode per log, on the times of its leading stream.
 
     The leading stream of a log is the first of ``STREAM_PRIORITY`` that it has. Joint positions become ``joint_1..n`` with the
@@ -155,11 +156,11 @@ def message_log_steps(messages: DataFrame, key: str = "log_id", bucket_seconds:
     for first in sorted(r["_lead"] for r in led.select("_lead").distinct().collect()):  # one of five numbers each
         mine = routed.join(led.filter(F.col("_lead") == first), "episode_id")
         streams = {n: mine.filter(F.col("stream") == n).select("episode_id", "timestamp", "ts_ns", *values[n]) for n in STREAM_PRIORITY[first:] if values[n]}
-        merged.append(asof_merge_streams(streams, order="ts_ns", bucket_seconds=bucket_seconds))
+        merged.append(asof_merge_streams(streams, order="ts_ns"))
     if not merged:
         raise ValueError("no joint, pose, camera, wrench or scalar messages in the log")
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), merged)
     told = routed.filter(F.col("success").isNotNull()).groupBy("episode_id").agg(F.max_by("success", "ts_ns").alias("success"))
     rows = rows.join(told, "episode_id", "left").withColumn("success_known", F.col("success").isNotNull())
-    steps, layout = dense_positions(rows, "episode_id", ["timestamp"], F.floor(F.col("timestamp") / bucket_seconds))
+    steps, layout = dense_positions(rows, "episode_id", ["timestamp"])
     return validate_steps(steps, layout)

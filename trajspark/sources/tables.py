@@ -52,7 +52,7 @@ def read_csv_steps(spark: SparkSession, path: str, schema: T.StructType | str, o
         steps = lines.select(*typed).withColumnRenamed(order, "seq")
     else:
         place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")]
-        steps, _ = dense_positions(lines.select(*typed, *place), "episode_id", ["_file", "_block", "_line"], F.struct("_file", "_block"))
+        steps, _ = dense_positions(lines.select(*typed, *place), "episode_id", ["_file", "_block", "_line"])
         steps = steps.drop("_file", "_block", "_line")
     return require_rows(validate_steps(steps), f"no valid time in {path}")
 
@@ -311,8 +311,7 @@ def frame_motion(frames: DataFrame, layout: Layout, pixels: str = "pixels") -> D
 def numbered_rows(rows: DataFrame) -> DataFrame:
     """``seq``: the place of each row in its episode, by file and row; kept where the source has it."""
     if "seq" not in rows.columns:
-        part = F.struct("file_path", F.floor(F.col("row_index") / DEFAULT_CHUNK_ROWS))
-        rows, _ = dense_positions(resolve_episode_id(rows), "episode_id", ["file_path", "row_index"], part)
+        rows, _ = dense_positions(resolve_episode_id(rows), "episode_id", ["file_path", "row_index"])
     return rows.drop("file_path", "row_index")
 
 
