@@ -33,7 +33,7 @@ from trajspark.llm.storage import partitions, query, written
 LENGTH = 200
 GRAM = 48
 LONGEST = 256  # starts of a piece; a longer stretch of one anchor is cut, which separates no equal strings
-HOT = 1024  # pieces of one anchor that may meet in a task
+HOT = 4096  # pieces of one anchor that may meet in a task
 BATCH = 1 << 20  # bytes of different pieces in one index
 FLUSH = 1 << 20  # anchors that a task holds before it packs them
 MOST_BITS = 28  # log2 of the largest bitmap of anchors that more than one piece has: 32 MB
