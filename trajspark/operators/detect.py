@@ -265,36 +265,45 @@ def missing_channels(d: Diagnosis, k: int = 4) -> DataFrame:
 # ---- events ---------------------------------------------------------------------------------------
 
 
+EVENT_LABELS = {
+    "frame-drop": "Frames dropped", "gap": "Sampling gap", "stuck": "No motion", "gripper-response": "Close command ignored", "slip": "Object slipped",
+    "jump": "Joint jump", "collision": "Contact force peak",
+}
+
+
 def event_rows(d: Diagnosis, per_type: int = EVENTS_PER_TYPE) -> DataFrame:
-    """All events: runs, gaps, offset, slip, and the first ones of jumps and force peaks."""
+    """All events: runs, gaps, offset, slip, and the first ones of jumps and force peaks, with a label.
+
+    One scan of the rows, beside the one that makes the figures: every row emits its events, the first row of an episode those of the
+    figures, the middle one the offset. What is kept of jumps and peaks is limited within tasks before anything is shuffled.
+    """
     keys = list(d.layout.keys)
-    none_time = F.lit(None).cast("double")
-
-    def shape(df: DataFrame, time: Column, end: Column, kind: str, severity: str, seq: Column = F.lit(0)) -> DataFrame:
-        return df.select(*keys, time.alias("time"), end.alias("end_time"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"), seq.cast("long").alias("seq"))
-
-    c = F.col
-    segments = kept_segments(d.runs, d.profile)
-    fallback = d.figures.filter((c("drop_rows") > 0) & (c("drop_segments") == 0))
-    single = d.figures
-    parts = [
-        shape(segments.filter("kind = 'drop'"), c("start_time"), c("end_time"), "frame-drop", "critical"),
-        shape(fallback, c("drop_start"), c("drop_end"), "frame-drop", "critical"),
-        shape(d.rows.filter("gap"), c("timestamp") - c("dt"), none_time, "gap", "warning"),
-        shape(segments.filter("kind = 'stuck'"), c("start_time"), c("end_time"), "stuck", "critical"),
-        shape(single.filter("mismatch_segments > 0"), c("mismatch_segment_start"), c("mismatch_segment_end"), "gripper-response", "critical"),
-        shape(single.filter("slipped"), c("slip_evidence_start"), c("slip_evidence_end"), "slip", "critical"),
+    figures = ["rows", "drop_rows", "drop_segments", "drop_start", "drop_end", "mismatch_segments", "mismatch_segment_start", "mismatch_segment_end",
+               "slipped", "slip_evidence_start", "slip_evidence_end", "desynced", "offset"]
+    own = [*keys, "seq", "timestamp", "dt", "median_dt", "gap", "jump", "spike", *[f"{k}__{x}" for k in ("drop", "stuck") for x in ("from", "end")]]
+    rows = d.layout.attach(d.rows.select(*own), d.figures.select(*keys, *[F.col(c).alias(f"_{c}") for c in figures]))
+    least = segment_seconds(d.profile)
+
+    def event(when: str, kind: str, time: str, end: str = "cast(NULL AS DOUBLE)", severity: str = "critical", label: str | None = None) -> str:
+        label = label or f"'{EVENT_LABELS[kind]}'"
+        return f"if({when}, named_struct('time', {time}, 'end_time', {end}, 'type', '{kind}', 'severity', '{severity}', 'label', {label}), NULL)"
+
+    segment = lambda kind: f"{kind}__end AND seq > {kind}__from.seq AND timestamp - {kind}__from.t >= {least[kind]}"
+    entries = [
+        event(segment("drop"), "frame-drop", "drop__from.t", "timestamp"),
+        event("seq = 0 AND _drop_rows > 0 AND _drop_segments = 0", "frame-drop", "_drop_start", "_drop_end"),
+        event("gap", "gap", "timestamp - dt", severity="warning"),
+        event(segment("stuck"), "stuck", "stuck__from.t", "timestamp"),
+        event("seq = 0 AND _mismatch_segments > 0", "gripper-response", "_mismatch_segment_start", "_mismatch_segment_end"),
+        event("seq = 0 AND _slipped", "slip", "_slip_evidence_start", "_slip_evidence_end"),
+        event("jump", "jump", "timestamp"),
+        event("spike", "collision", "timestamp"),
+        event("_desynced AND seq = floor(_rows / 2)", "sync", "timestamp", severity="warning", label="concat('Camera offset ', cast(bround(_offset * 1000) AS BIGINT), ' ms')"),
     ]
-    for flag, kind in (("jump", "jump"), ("spike", "collision")):
-        w = Window.partitionBy(*keys).orderBy("seq")
-        first = d.rows.filter(flag).select(*keys, "seq", "timestamp").withColumn("_n", F.row_number().over(w)).filter(c("_n") <= per_type)
-        parts.append(shape(first, c("timestamp"), none_time, kind, "critical", c("seq")))
-    middle = d.layout.attach(d.rows.select(*keys, "seq", "timestamp"), single.filter("desynced").select(*keys, "rows"), "inner")
-    parts.append(shape(middle.filter(c("seq") == F.floor(c("rows") / 2)), c("timestamp"), none_time, "sync", "warning"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.drop("seq")
+    found = rows.selectExpr(*keys, "seq", f"inline(array_compact(array({', '.join(entries)})))")
+    # Other types count each event by itself, so that one limit serves all rows.
+    w = Window.partitionBy(*keys, "type", F.when(~F.col("type").isin("jump", "collision"), F.col("seq"))).orderBy("seq")
+    return found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_type).drop("_n", "seq")
 
 
 # ---- fixed-threshold rules ------------------------------------------------------------------------

@@ -344,21 +344,21 @@ def fixed_threshold_baseline(spark, sf):
 
 
 EVENTS_SQL = (
-    "SELECT episode_id, start_time AS time, end_time, 'frame-drop' AS type FROM segs WHERE kind = 'drop' UNION ALL "
-    "SELECT episode_id, drop_start, drop_end, 'frame-drop' FROM figs WHERE drop_rows > 0 AND drop_segments = 0 UNION ALL "
-    "SELECT episode_id, timestamp - dt, NULL, 'gap' FROM flags WHERE gap UNION ALL "
-    "SELECT episode_id, start_time, end_time, 'stuck' FROM segs WHERE kind = 'stuck' UNION ALL "
-    "SELECT episode_id, mismatch_segment_start, mismatch_segment_end, 'gripper-response' FROM figs WHERE mismatch_segments > 0 UNION ALL "
-    "SELECT episode_id, evidence_start, evidence_end, 'slip' FROM figs WHERE slipped UNION ALL "
-    f"SELECT episode_id, timestamp, NULL, 'jump' FROM (SELECT * FROM flags WHERE jump QUALIFY row_number() OVER ({EP}) <= 30) UNION ALL "
-    f"SELECT episode_id, timestamp, NULL, 'collision' FROM (SELECT * FROM flags WHERE spike QUALIFY row_number() OVER ({EP}) <= 30) UNION ALL "
-    "SELECT flags.episode_id, timestamp, NULL, 'sync' FROM flags JOIN figs USING (episode_id) WHERE desynced AND seq = cast(floor(n / 2) AS BIGINT)"
+    "SELECT episode_id, start_time AS time, end_time, 'frame-drop' AS type, 'Frames dropped' AS label FROM segs WHERE kind = 'drop' UNION ALL "
+    "SELECT episode_id, drop_start, drop_end, 'frame-drop', 'Frames dropped' FROM figs WHERE drop_rows > 0 AND drop_segments = 0 UNION ALL "
+    "SELECT episode_id, timestamp - dt, NULL, 'gap', 'Sampling gap' FROM flags WHERE gap UNION ALL "
+    "SELECT episode_id, start_time, end_time, 'stuck', 'No motion' FROM segs WHERE kind = 'stuck' UNION ALL "
+    "SELECT episode_id, mismatch_segment_start, mismatch_segment_end, 'gripper-response', 'Close command ignored' FROM figs WHERE mismatch_segments > 0 UNION ALL "
+    "SELECT episode_id, evidence_start, evidence_end, 'slip', 'Object slipped' FROM figs WHERE slipped UNION ALL "
+    f"SELECT episode_id, timestamp, NULL, 'jump', 'Joint jump' FROM (SELECT * FROM flags WHERE jump QUALIFY row_number() OVER ({EP}) <= 30) UNION ALL "
+    f"SELECT episode_id, timestamp, NULL, 'collision', 'Contact force peak' FROM (SELECT * FROM flags WHERE spike QUALIFY row_number() OVER ({EP}) <= 30) UNION ALL "
+    "SELECT flags.episode_id, timestamp, NULL, 'sync', 'Camera offset ' || cast(round_even(sync_offset * 1000, 0) AS BIGINT) || ' ms' FROM flags JOIN figs USING (episode_id) WHERE desynced AND seq = cast(floor(n / 2) AS BIGINT)"
 )
 
 
-@query("event_timeline", statement(PARTS | {"ev": EVENTS_SQL}, "SELECT episode_id, type, round(time, 6) AS time, round(end_time, 6) AS end_time FROM ev"))
+@query("event_timeline", statement(PARTS | {"ev": EVENTS_SQL}, "SELECT episode_id, type, label, round(time, 6) AS time, round(end_time, 6) AS end_time FROM ev"))
 def event_timeline(spark, sf):
-    out = detect.event_rows(inspected(spark, sf)).select("episode_id", "type", r("time").alias("time"), r("end_time").alias("end_time"))
+    out = detect.event_rows(inspected(spark, sf)).select("episode_id", "type", "label", r("time").alias("time"), r("end_time").alias("end_time"))
     return out.orderBy("episode_id", "time")
 
 

@@ -336,7 +336,7 @@ def render_report(spark, sf):
     "export_signal_log",
     statement(
         PARTS | {"ev": EVENTS_SQL},
-        "SELECT path, count(*) AS entries, round(sum(value), 4) AS total FROM ("
+        "SELECT path, count(*) AS entries, round(sum(value), 6) AS total FROM ("
         + " UNION ALL ".join(f"SELECT 'signals/{c}' AS path, {c}::DOUBLE AS value FROM tele WHERE {c} IS NOT NULL" for c in ("force_z", "gripper", "object_distance", "camera_motion", "joint_1", "joint_2"))
         + " UNION ALL SELECT 'world/end_effector/ee_x', ee_x FROM tele UNION ALL SELECT 'world/end_effector/ee_y', ee_y FROM tele UNION ALL SELECT 'diagnostics/events', NULL FROM ev UNION ALL SELECT 'diagnostics/summary', NULL FROM eps) GROUP BY 1",
     ),
@@ -345,4 +345,4 @@ def export_signal_log(spark, sf):
     d = inspected(spark, sf)
     rows, _ = telemetry(spark, sf)
     log = sinks.signal_log(d, score.score_episodes(d), rows)
-    return log.groupBy("path").agg(F.count(F.lit(1)).alias("entries"), r(F.sum("value"), 4).alias("total"))
+    return log.groupBy("path").agg(F.count(F.lit(1)).alias("entries"), r(F.sum("value"), 6).alias("total"))
