@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,16 +181,6 @@ class RunIndex:
         last = np.maximum.accumulate(np.where(reach >= 0, np.arange(n), 0))
         return np.maximum(reach[last] - np.arange(n), 0)
 
-    def repeated(self, body: int, size: int, length: int = LENGTH) -> np.ndarray:
-        """For each start in a body, whether its string of ``length`` bytes is in the index a second time."""
-        a = self.begin[body]
-        return self.statistics[a : a + size - length + 1] >= length
-
-
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).astype(np.int8)))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-
 
 def anchor_bitmaps(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray, np.ndarray]:
     """(log2 of the bits, bitmap of anchors that several pieces have, bitmap of those with over ``HOT``), from all texts."""
@@ -265,20 +256,19 @@ PIECE = "anchor long, body binary, who binary"
 MEMBER = np.dtype([("d", "<i8"), ("fp", "<i8"), ("at", "<i8")])
 
 
-def shared_pieces(rows: DataFrame) -> DataFrame:
-    """(anchor, body, who): pieces that may have an equal; without an anchor: digests of the single strings of hot anchors.
+def shared_pieces(rows: DataFrame, bitmaps: Broadcast, single: bool) -> DataFrame:
+    """(anchor, body, who): pieces that may have an equal; or, with ``single``, digests of the single strings of hot anchors.
 
     ``rows`` has (d, fp, text); ``who`` packs the id, the fingerprint and the place of all pieces with this body in a part of a task.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(anchor_bitmaps(rows)[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        several, hot = shared.value
+        several, hot = bitmaps.value
         for part in tx.slices(batches, "text"):
             d, fp = part["d"].to_numpy(), part["fp"].to_numpy()
             for data, offsets, number, gone in stretches(part["text"]):
                 a, b, anchor = pieces(data, offsets)
-                keep = _bit(several, anchor)
+                keep = _bit(several, anchor) & (_bit(hot, anchor) == single)
                 a, b, anchor = a[keep], b[keep], anchor[keep]
                 if not len(a):
                     continue
@@ -286,8 +276,8 @@ def shared_pieces(rows: DataFrame) -> DataFrame:
                 who = np.zeros(len(a), MEMBER)
                 who["d"], who["fp"], who["at"] = d[own + number], fp[own + number], a - offsets[own] + gone
                 raw, found = data.tobytes(), {}
-                for i, (x, y, key, many) in enumerate(zip(a.tolist(), b.tolist(), anchor.view(np.int64).tolist(), _bit(hot, anchor).tolist(), strict=True)):
-                    if not many:
+                for i, (x, y, key) in enumerate(zip(a.tolist(), b.tolist(), anchor.view(np.int64).tolist(), strict=True)):
+                    if not single:
                         found.setdefault((key, raw[x : y + LENGTH - 1]), []).append(who[i].tobytes())
                         continue
                     for k in range(x, y):
@@ -305,13 +295,37 @@ def shared_pieces(rows: DataFrame) -> DataFrame:
 MARK = "d long, fp long, lo long, hi long"
 
 
-def _marks(who: np.ndarray, runs: list[tuple[int, int]]) -> list[np.ndarray]:
-    return [np.stack([who["d"], who["fp"], who["at"] + a, who["at"] + b - 1 + LENGTH]) for a, b in runs]
+def _marks(body: np.ndarray, lo: np.ndarray, hi: np.ndarray, members: list[bytes]) -> pa.RecordBatch:
+    """Marks of all members of each body: strings that start from ``lo`` to before ``hi`` in it, given in the order of ``body``."""
+    held = np.array([len(m) // MEMBER.itemsize for m in members], np.int64)
+    first = np.concatenate(([0], np.cumsum(held)))[:-1]
+    who = np.frombuffer(b"".join(members), MEMBER)
+    n = held[body]
+    run = np.repeat(np.arange(len(body)), n)
+    at = who[np.repeat(first[body] - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c) for c in (at["d"].copy(), at["fp"].copy(), at["at"] + lo[run], at["at"] + hi[run] - 1 + LENGTH)], ["d", "fp", "lo", "hi"]
+    )
 
 
-def _batch(marks: list[np.ndarray]) -> pa.RecordBatch:
-    table = np.concatenate(marks, axis=1) if marks else np.zeros((4, 0), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in table], ["d", "fp", "lo", "hi"])
+def _whole(pieces_: dict[bytes, list[bytes]]) -> pa.RecordBatch:
+    """Marks of pieces that are there more than once, from end to end."""
+    end = np.array([len(b) - LENGTH + 1 for b in pieces_], np.int64)
+    return _marks(np.arange(len(end)), np.zeros(len(end), np.int64), end, [b"".join(w) for w in pieces_.values()])
+
+
+def _indexed(pieces_: dict[bytes, list[bytes]]) -> pa.RecordBatch:
+    """Marks of different pieces, by an index of them."""
+    members = [b"".join(w) for w in pieces_.values()]
+    index = RunIndex(list(pieces_))
+    flags = index.statistics >= LENGTH  # never at the last bytes of a piece, so runs stay within their piece
+    for k, (body, who) in enumerate(zip(pieces_, members, strict=True)):
+        if len(who) > MEMBER.itemsize:
+            flags[index.begin[k] : index.begin[k] + len(body) - LENGTH + 1] = True
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).astype(np.int8)))
+    a, b = edge[::2], edge[1::2]
+    body = np.searchsorted(index.begin, a, side="right") - 1
+    return _marks(body, a - index.begin[body], b - index.begin[body], members)
 
 
 def _index_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,58 +334,49 @@ def _index_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     A group that is one piece, several times, is marked as it is: there is nothing to compare it with.
     """
     group: dict[bytes, list[bytes]] = {}
+    alike: dict[bytes, list[bytes]] = {}
     held: dict[bytes, list[bytes]] = {}
-    size, now, marks = 0, None, []
-
-    def close() -> int:
-        """Adds the group to the index that is being gathered; its bytes."""
-        if len(group) == 1:
-            ((body, who),) = group.items()
-            if len(who := np.frombuffer(b"".join(who), MEMBER)) > 1:
-                marks.extend(_marks(who, [(0, len(body) - LENGTH + 1)]))
-                return 0
-        held.update(group)
-        return sum(map(len, group))
-
-    def indexed() -> None:
-        bodies = list(held)
-        index = RunIndex(bodies)
-        for k, body in enumerate(bodies):
-            who = np.frombuffer(b"".join(held[body]), MEMBER)
-            marks.extend(_marks(who, [(0, len(body) - LENGTH + 1)] if len(who) > 1 else _runs(index.repeated(k, len(body)))))
-
+    size, now = 0, None
     for batch in batches:
         for anchor, body, who in zip(*[batch[c].to_pylist() for c in ("anchor", "body", "who")], strict=True):
-            if anchor != now and group:
-                size += close()
-                group = {}
+            if anchor != now:
+                if len(group) == 1 and (len(group[last]) > 1 or len(group[last][0]) > MEMBER.itemsize):
+                    alike.update(group)
+                else:
+                    held.update(group)
+                    size += sum(map(len, group))
                 if size >= BATCH:
-                    indexed()
+                    yield _indexed(held)
                     held, size = {}, 0
-            now = anchor
+                group, now = {}, anchor
+            last = body
             group.setdefault(body, []).append(who)
-        yield _batch(marks)
-        marks.clear()
-    if group:
-        close()
+        yield _whole(alike)
+        alike = {}
+    held.update(group)
     if held:
-        indexed()
-    yield _batch(marks)
+        yield _indexed(held)
     tx.release()
 
 
 def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield _batch(_marks(np.frombuffer(b"".join(batch["who"].to_pylist()), MEMBER), [(0, 1)]) if batch.num_rows else [])
+        n = batch.num_rows
+        yield _marks(np.arange(n), np.zeros(n, np.int64), np.ones(n, np.int64), batch["who"].to_pylist())
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """(d, fp, spans): for each (d, fp, text) with repeated strings, their byte ranges, which may overlap and come in any order."""
-    found = written(shared_pieces(rows), "pieces")
-    grouped = found.where("anchor IS NOT NULL").repartition(partitions(rows.sparkSession), "anchor").sortWithinPartitions("anchor")
-    single = found.where("anchor IS NULL")
-    often = single.groupBy("body").agg(F.sum(F.octet_length("who")).alias("n")).where(F.col("n") > MEMBER.itemsize).select("body")
-    marks = written(grouped.mapInArrow(_index_groups, MARK).unionByName(single.join(often, "body").select("who").mapInArrow(_single, MARK)), "marks")
+    spark = rows.sparkSession
+    _, several, hot = anchor_bitmaps(rows)
+    shared = spark.sparkContext.broadcast((several, hot))
+    grouped = shared_pieces(rows, shared, False).repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
+    found = grouped.mapInArrow(_index_groups, MARK)
+    if hot.any():
+        single = written(shared_pieces(rows, shared, True).select("body", "who"), "strings")
+        often = single.groupBy("body").agg(F.sum(F.octet_length("who")).alias("n")).where(F.col("n") > MEMBER.itemsize).select("body")
+        found = found.unionByName(single.join(often, "body").select("who").mapInArrow(_single, MARK))
+    marks = written(found, "marks")
     return marks.groupBy("d", "fp").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
