@@ -52,7 +52,7 @@ def samples(spark, sf, faults, seeds, noise=True, only: str | None = None):
     rows = pt.grid_samples(base, pt.Grid(faults, seeds, PERIOD), layout)
     if only:
         rows = rows.filter(F.col("fault") == only)
-    of_samples = replace(layout, keys=("episode_id",))
+    of_samples = replace(layout, keys=pt.SAMPLE_KEYS)
     clean = pt.add_noise(rows) if noise else rows
     return pt.inject(clean, of_samples), of_samples, clean
 
@@ -266,23 +266,44 @@ def detection_metrics(spark, sf):
 TARGET_LIST = "[" + ", ".join(f"'{c}'" for c in ev.TARGETS) + "]"
 
 
+def _summary(key: str) -> str:
+    return (
+        f"SELECT round_even(avg(precision), 4) AS macro_precision, round_even(avg(recall), 4) AS macro_recall, round_even(avg(f1), 4) AS macro_f1, any_value(exact_match) AS exact_match, any_value(nf) AS nominal_false_positive_rate FROM ({_classes(key)}), "
+        f"(SELECT round_even(avg((list_sort([x FOR x IN {key} IF list_contains({TARGET_LIST}, x)]) = CASE WHEN expected IS NULL THEN [] ELSE [expected] END)::INT), 4) AS exact_match, "
+        f"coalesce(round_even(avg((len([x FOR x IN {key} IF list_contains({TARGET_LIST}, x)]) > 0)::INT) FILTER (WHERE expected IS NULL), 4), 0) AS nf FROM recs)"
+    )
+
+
+@query("detection_summary", check(_summary("predicted")))
+def detection_summary(spark, sf):
+    from trajspark.functions.lineage import materialise
+
+    return ev.detection_summary(materialise(_detections(spark, sf)), "expected", "predicted")
+
+
+MEASURES = ("macro_precision", "macro_recall", "macro_f1", "exact_match", "nominal_false_positive_rate")
+
+
 @query(
-    "detection_summary",
+    "detection_comparison",
     check(
-        f"SELECT round_even(avg(precision), 4) AS macro_precision, round_even(avg(recall), 4) AS macro_recall, round_even(avg(f1), 4) AS macro_f1, any_value(exact_match) AS exact_match, any_value(nf) AS nominal_false_positive_rate FROM ({_classes('predicted')}), "
-        f"(SELECT round_even(avg((list_sort([x FOR x IN predicted IF list_contains({TARGET_LIST}, x)]) = CASE WHEN expected IS NULL THEN [] ELSE [expected] END)::INT), 4) AS exact_match, "
-        f"coalesce(round_even(avg((len([x FOR x IN predicted IF list_contains({TARGET_LIST}, x)]) > 0)::INT) FILTER (WHERE expected IS NULL), 4), 0) AS nf FROM recs)"
+        f"SELECT *, round_even(macro_f1 - baseline_macro_f1, 4) AS macro_f1_delta, round_even(macro_recall - baseline_macro_recall, 4) AS recall_delta, round_even(nominal_false_positive_rate - baseline_nominal_false_positive_rate, 4) AS false_positive_delta "
+        f"FROM ({_summary('predicted')}), (SELECT {', '.join(f'{m} AS baseline_{m}' for m in MEASURES)} FROM ({_summary('baseline_codes')}))"
     ),
 )
-def detection_summary(spark, sf):
+def detection_comparison(spark, sf):
+    """The detectors against the fixed rules, over two seeds of every fault."""
     from trajspark.functions.lineage import materialise
 
-    return ev.detection_summary(materialise(_detections(spark, sf)), "expected", "predicted")
+    return ev.detection_comparison(materialise(_detections(spark, sf)))
 
 
 @query(
     "detection_matrix",
-    check("SELECT fault, level, count(*) AS support, round_even(avg(list_contains(predicted, expected)::INT), 4) AS detection_rate, round_even(avg(list_contains(baseline_codes, expected)::INT), 4) AS baseline_detection_rate FROM recs WHERE expected IS NOT NULL GROUP BY 1, 2"),
+    check(
+        "SELECT *, round_even(detection_rate - baseline_detection_rate, 4) AS delta FROM (SELECT fault, level, count(*) AS support, round_even(avg(list_contains(predicted, expected)::INT), 4) AS detection_rate, "
+        "round_even(avg(list_contains(baseline_codes, expected)::INT), 4) AS baseline_detection_rate FROM recs WHERE expected IS NOT NULL GROUP BY 1, 2)"
+    ),
 )
 def detection_matrix(spark, sf):
     return ev.detection_matrix(_detections(spark, sf))
@@ -339,7 +360,7 @@ def check_repair(final: str) -> str:
 
 def _repairs(spark, sf):
     rows, layout, clean = samples(spark, sf, pt.REPAIR_FAULTS, 1)
-    r_ = ev.run_repair(rows, layout, P)
+    r_ = ev.run_repair(rows, replace(layout, keys=("episode_id",)), P)
     truth = ev.truth_rows(clean, ["joint_1", "joint_2", "ee_x", "camera_motion", "force_z"])
     return ev.repair_records(r_, rows, truth)
 
