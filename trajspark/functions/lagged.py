@@ -1,6 +1,6 @@
 """Correlation of two signals over a range of lags, by blocks of rows.
 
-An episode that fits a task is correlated in one piece. A longer one is cut into blocks of ``chunk_rows`` rows: every row of
+An episode that fits a task is correlated in one piece, many short ones together. A longer one is cut into blocks of ``chunk_rows`` rows: every row of
 the left signal goes to the blocks of right rows that its lags reach, which are one or two unless a lag is longer than a block, and
 each pair of blocks gives the moments of its pairs of rows for every lag. Moments add up, so no task sees more than two blocks, and
 what is shuffled besides the rows is one line for each block pair and lag. Many lags take one product of Fourier transforms, few a
@@ -9,16 +9,19 @@ scalar product each.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions.layout import Layout
 
+TOGETHER = 1 << 15  # rows of whole episodes that are worked on at once
 FEW_LAGS = 192  # up to here a scalar product for each lag costs less than transforms
 SUMS = ["pairs", "sx", "sxx", "sy", "syy", "sxy"]
-CONSTANT = 1e-12  # share of a sum of squares below which its spread is rounding
+CONSTANT = 1e-10  # share of a sum of squares below which its spread is rounding
 
 
 def _products(left: np.ndarray, right: np.ndarray, lags: np.ndarray) -> np.ndarray:
@@ -70,6 +73,73 @@ def _lines(keys: list, types: pa.Schema, names: list[str], lags: np.ndarray, sum
     return pa.table([*columns, pa.array(lags.astype(np.int32)), *[pa.array(s) for s in sums.T]], [*names, "lag", *SUMS])
 
 
+def _all_episodes(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Lines of the episodes of a partition sorted by episode and row, many short ones at a time."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < TOGETHER:
+            continue
+        table = pa.Table.from_batches(held)
+        key = table["_key"].to_numpy()
+        edge = np.flatnonzero(key[1:] != key[:-1])
+        if len(edge):  # the last episode may go on in the next batch
+            done = int(edge[-1]) + 1
+            yield from _episodes(table.slice(0, done), keys).to_batches()
+            held, rows = table.slice(done).to_batches(), len(key) - done
+    if rows:
+        yield from _episodes(pa.Table.from_batches(held), keys).to_batches()
+
+
+def _episodes(table: pa.Table, keys: list[str]) -> pa.Table:
+    """Lines of whole episodes: for each lag one running sum of products over all of them, for long or incomplete ones by themselves."""
+    key = table["_key"].to_numpy()
+    n = len(key)
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    end = np.append(begin[1:], n)
+    size = end - begin
+    low, high = (table[c].take(pa.array(begin)).to_numpy() for c in ("_low", "_high"))
+    x, y = (table[c].to_numpy().astype(float) for c in ("_x", "_y"))
+    alone = (high - low >= FEW_LAGS) | (np.add.reduceat((~np.isfinite(x) | ~np.isfinite(y)).astype(np.int64), begin) > 0)
+    owner, lag, lines = [], [], []
+    for e in np.flatnonzero(alone).tolist():
+        lags = np.arange(low[e], high[e] + 1)
+        owner.append(np.full(len(lags), e))
+        lag.append(lags)
+        lines.append(moments(x[begin[e] : end[e]], y[begin[e] : end[e]], lags))
+        x[begin[e] : end[e]] = y[begin[e] : end[e]] = 0.0
+    scales = []
+    for v in (x, y):  # to one scale, so that no episode drowns in the running sums of another
+        v -= np.repeat(np.add.reduceat(v, begin) / size, size)
+        spread = np.sqrt(np.add.reduceat(v * v, begin) / size)
+        scales.append(np.where(spread > 0, spread, 1.0))
+        v /= np.repeat(scales[-1], size)
+    total = [np.concatenate(([0.0], np.cumsum(v))) for v in (x, x * x, y, y * y)]
+    for k in range(int(low[~alone].min(initial=0)), int(high[~alone].max(initial=-1)) + 1):
+        some = np.flatnonzero(~alone & (low <= k) & (k <= high) & (size > abs(k)))
+        if not len(some):
+            continue
+        a, b = begin[some], end[some]
+        ahead = np.concatenate(([0.0], np.cumsum(x[max(0, -k) : n - max(0, k)] * y[max(0, k) : n - max(0, -k)])))
+        p, q, r, t = (a, b - k, a + k, b) if k >= 0 else (a - k, b, a, b + k)  # rows of the left and of the right signal
+        sums = [size[some] - abs(k), total[0][q] - total[0][p], total[1][q] - total[1][p], total[2][t] - total[2][r], total[3][t] - total[3][r], ahead[b - abs(k)] - ahead[a]]
+        u, w = scales[0][some], scales[1][some]
+        owner.append(some)
+        lag.append(np.full(len(some), k))
+        lines.append(np.stack([s * f for s, f in zip(sums, (1.0, u, u * u, w, w * w, u * w), strict=True)], axis=1))
+    owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+    lines = np.concatenate(lines) if lines else np.zeros((0, len(SUMS)))
+    lag = np.concatenate(lag) if lag else np.zeros(0, np.int64)
+    kept = lines[:, 0] > 0
+    owner, lag, lines = owner[kept], lag[kept], lines[kept]
+    named = table.select(keys).take(pa.array(begin[owner]))
+    return pa.table([*named.columns, pa.array(lag.astype(np.int32)), *[pa.array(s) for s in lines.T.copy()]], [*keys, "lag", *SUMS])
+
+
 def lag_correlations(
     df: DataFrame, layout: Layout, left: str, right: str, low: Column, high: Column, centre: tuple[Column, Column]
 ) -> DataFrame:
@@ -83,18 +153,13 @@ def lag_correlations(
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", lag int, " + ", ".join(f"{s} double" for s in SUMS)
     cells = [F.col(layout.order).cast("long").alias("_seq"), low.cast("long").alias("_low"), high.cast("long").alias("_high")]
     x, y = (F.col(left) - centre[0]).cast("double").alias("_x"), (F.col(right) - centre[1]).cast("double").alias("_y")
+    rows = df.filter(low.isNotNull() & high.isNotNull() & (low <= high)).select(*keys, *cells, x, y)
     if layout.whole:
-
-        def one(key: tuple, table: pa.Table) -> pa.Table:
-            order = np.argsort(table["_seq"].to_numpy(), kind="stable")
-            lags = np.arange(table["_low"][0].as_py(), table["_high"][0].as_py() + 1)
-            return _lines([k.as_py() for k in key], table.schema, keys, lags, moments(_column(table, "_x", order), _column(table, "_y", order), lags))
-
-        sums = df.filter(low.isNotNull() & high.isNotNull() & (low <= high)).select(*keys, *cells, x, y).groupBy(*keys).applyInArrow(one, schema)
-        return _correlation(sums, keys)
+        # The window brings the rows of an episode together, if they aren't yet; the sort is left out where it holds already.
+        together = rows.withColumns({"_key": F.xxhash64(*keys), "_rows": F.count(F.lit(1)).over(Window.partitionBy(*keys))}).sortWithinPartitions(*keys, "_seq")
+        return _correlation(together.mapInArrow(lambda batches: _all_episodes(batches, keys), schema), keys)
     size = layout.chunk_rows
     block = lambda position: F.floor(position / F.lit(size)).cast("long")
-    rows = df.filter(low.isNotNull() & high.isNotNull() & (low <= high)).select(*keys, *cells, x, y)
     seq = F.col("_seq")
     lefts = rows.select(
         *keys, block(seq).alias("_i"), F.explode(F.sequence(F.greatest(F.lit(0), block(seq + F.col("_low"))), F.greatest(F.lit(0), block(seq + F.col("_high"))))).alias("_j"), "_seq", "_low", "_high", "_x"
