@@ -33,7 +33,6 @@ REPAIR_FAULTS = (
     ("force-spike", "FORCE_SPIKE", (42.0, 55.0, 75.0), "isolation"),
 )
 LEVELS = ("mild", "medium", "severe")
-SAMPLE_KEYS = ("base_id", "seed", "fault", "level")  # the base first: samples lie where their base lies, so windows over them move no rows
 NOISE = {"joint_1": 0.00035, "joint_2": 0.00035, "ee_x": 0.00005, "force_z": 0.08, "camera_motion": 0.0004}
 MODULUS = 2147483647
 
@@ -166,7 +165,7 @@ def add_noise(samples: DataFrame) -> DataFrame:
 
 
 def inject(samples: DataFrame, layout: Layout) -> DataFrame:
-    """Apply each sample's fault. ``layout`` is that of the samples, keyed by ``SAMPLE_KEYS`` or ``episode_id``."""
+    """Apply each sample's fault. ``layout`` is that of the samples, keyed by ``episode_id``."""
     at = lambda c, when: F.max(F.expr(f"if(seq = {when}, {c}, NULL)"))
     figures = {f"held_{c}": at(c, "place") for c in STALLED} | {f"after_{c}": at(c, "place + width") for c in STALLED}
     rows = layout.with_figures(samples, figures)
