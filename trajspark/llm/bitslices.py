@@ -30,8 +30,8 @@ from trajspark.llm.storage import query, written
 BEST = 20
 HASHES, BITS_A_TERM = 3, 12
 LEAST_SLICES, MOST_SLICES = 64, 1 << 21
-BLOCK_DOCS, BLOCK_TERMS = 512, 1 << 18  # documents, and their different terms, in a block
-HELD = 1 << 20  # terms of documents that a task deals into blocks at once
+BLOCK_DOCS, BLOCK_TERMS = 512, 1 << 17  # documents, and their different terms, in a block
+HELD = 1 << 19  # terms of documents that a task deals into blocks at once
 ITEM_BYTES, ITEMS = 1 << 18, 2048  # of the items that are broadcast at once
 FIRST = 2 * BEST  # documents of an item that are scored before the others of a block, to raise the bar
 
