@@ -30,6 +30,15 @@ def test_profile_and_columns(spark):
     assert [tuple(x) for x in rows.collect()] == [(0.5, "7")]
 
 
+def test_unknown_episode_is_an_error(spark):
+    from trajspark.operators.steps import filter_episode
+
+    rows = frame(spark, [("a", 0), ("b", 1)], "episode_id string, seq bigint")
+    assert [r["seq"] for r in filter_episode(rows, "b").collect()] == [1]
+    with pytest.raises(ValueError):
+        filter_episode(rows, "c")
+
+
 def test_offset_sign(spark):
     pulse = {19: 1.0, 20: 3.0, 21: 1.0}
     rows = [("e", i, i * 0.02, pulse.get(i, 0.0), pulse.get(i - 4, 0.0), 0.02) for i in range(60)]

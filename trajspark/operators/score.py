@@ -154,7 +154,10 @@ def issue_code_counts(episodes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("episode_count"), F.sum("count").alias("sample_count"), F.min(severity_rank(F.col("severity"))).alias("rank")
     )
     level = F.element_at(F.array(F.lit("critical"), F.lit("warning"), F.lit("info")), F.col("rank") + 1)
-    return counts.withColumn("severity", level).orderBy("rank", F.desc("episode_count"), "code").drop("rank")
+    titled = {
+        name: F.create_map(*[F.lit(x) for row in ISSUE_TYPES for x in (row[0], row[at])])[F.col("code")] for name, at in (("category", 1), ("title", 3))
+    }
+    return counts.withColumns({"severity": level, **titled}).orderBy("rank", F.desc("episode_count"), "code").drop("rank")
 
 
 def average_dimensions(episodes: DataFrame) -> DataFrame:

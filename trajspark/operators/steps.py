@@ -87,7 +87,8 @@ def renumber(df: DataFrame, layout: Layout) -> DataFrame:
 
 
 def filter_episode(df: DataFrame, episode_id: str) -> DataFrame:
-    return df.filter(F.col("episode_id") == str(episode_id))
+    """The rows of one episode; an unknown one is an error, found by a job that ends with the first row."""
+    return require_rows(df.filter(F.col("episode_id") == str(episode_id)), f"no episode {episode_id}")
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:

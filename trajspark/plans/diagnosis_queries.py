@@ -457,7 +457,13 @@ def score_histogram(spark, sf):
 
 @query(
     "issue_code_counts",
-    check("SELECT code, count(*) AS episode_count, cast(sum(count) AS BIGINT) AS sample_count, CASE WHEN bool_or(severity = 'critical') THEN 'critical' ELSE 'warning' END AS severity FROM issues GROUP BY 1"),
+    check(
+        "SELECT code, episode_count, sample_count, severity, category, title FROM (SELECT code, count(*) AS episode_count, cast(sum(count) AS BIGINT) AS sample_count, CASE WHEN bool_or(severity = 'critical') THEN 'critical' ELSE 'warning' END AS severity FROM issues GROUP BY 1) "
+        "JOIN (VALUES ('MISSING_VALUES', 'completeness', 'Missing sensor values'), ('FRAME_DROP', 'completeness', 'Dropped video frames'), ('NON_MONOTONIC_TIME', 'timing', 'Time does not increase'), "
+        "('TIMESTAMP_GAP', 'timing', 'Gaps in the sample stream'), ('JOINT_JUMP', 'motion', 'Sudden joint jump'), ('ROBOT_STUCK', 'task', 'No useful motion for a long time'), "
+        "('SENSOR_DESYNC', 'synchronisation', 'Camera and robot out of step'), ('FORCE_SPIKE', 'safety', 'Abnormal contact force'), ('GRIPPER_RESPONSE_FAILURE', 'control', 'Close command not carried out'), "
+        "('GRASP_SLIP', 'task', 'Object probably slipped'), ('WORKSPACE_OUTLIER', 'safety', 'Pose outside the workspace')) t(code, category, title) USING (code)"
+    ),
 )
 def issue_code_counts(spark, sf):
     return score.issue_code_counts(diagnosed(spark, sf))

@@ -189,6 +189,19 @@ def batch_repair_actions(spark, sf):
     return rp.batch_actions(rp.repair_actions(run(spark, sf)))
 
 
+@query(
+    "batch_repair_resolution",
+    check(
+        "SELECT outcome, code, count(*) AS episode_count FROM ("
+        f"SELECT 'resolved' AS outcome, unnest(string_split({RESOLVED}, ';')) AS code FROM eps JOIN {CODES_AFTER} USING (episode_id) UNION ALL "
+        f"SELECT 'unresolved', unnest(string_split(after_codes, ';')) FROM eps JOIN {CODES_AFTER} USING (episode_id)) WHERE code <> '' GROUP BY 1, 2"
+    ),
+)
+def batch_repair_resolution(spark, sf):
+    """In how many episodes each issue code was resolved, and in how many it stayed."""
+    return rp.batch_resolution(rp.issue_resolution(run(spark, sf)))
+
+
 # ---- sinks ----------------------------------------------------------------------------------------
 
 
