@@ -69,7 +69,6 @@ def test_local_running_anchors(steps):
         same(run(WHOLE), run(CHUNKED))
 
 
-@slow
 def test_diagnosis(steps):
     keep = ["episode_id", "quality_score", "grade", "issue_codes", "offset", "confidence", "stuck_seconds", "drop_segment_start", "jump_rows", "primary_cause"]
     same(score.diagnose(steps, P, WHOLE).select(*keep), score.diagnose(steps, P, CHUNKED).select(*keep))
@@ -82,7 +81,6 @@ def test_repair(steps):
     same(repair.repair_actions(a), repair.repair_actions(b))
 
 
-@slow
 def test_readiness_and_evidence(steps):
     rows = steps.withColumn("action_1", F.col("camera_motion"))
     keep = ["episode_id", "score", "status", "alignment", "response_lag", "phase_transitions", "contact_ratio"]
@@ -119,9 +117,8 @@ def test_dense_positions_with_hot_key(spark):
     same(a, b)
 
 
-@slow
 def test_event_rows(steps):
-    d = [detect.inspect_steps(steps, P, l, 10) for l in (WHOLE, CHUNKED)]
+    d = [detect.inspect_steps(steps, P, l) for l in (WHOLE, CHUNKED)]
     same(*[detect.event_rows(x) for x in d])
     same(*[detect.fixed_threshold_codes(x) for x in d])
 
