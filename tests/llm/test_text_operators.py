@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from trajspark.llm import mixing, quality, repetition, tiling, tokens, toxicity, urlrules
+from trajspark.llm import text as tx
 
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "a b c d e f g " * 40), (5, "one two"), (6, "é ß 漢字 x\r\ny"), (7, "x " * 5000), (7, "x " * 5000), (None, "no id")]
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -63,6 +65,8 @@ def test_elias_fano():
         ef = tokens.EliasFano.encode(values, top)
         assert (ef.values() == values).all()
         assert all(ef.select(i) == values[i] for i in range(0, n, 17))
+        some = rng.integers(0, n, 50)
+        assert (ef.select(some) == values[some]).all() and len(ef.select(np.arange(0))) == 0
         assert (len(ef.low) + len(ef.high)) * 8 <= n * (3 + max(0, np.log2(top / n))) + 16
     with pytest.raises(IndexError):
         ef.select(n)
@@ -82,6 +86,47 @@ def test_tokens(spark):
     assert tokens.token_output(frame(spark, rows).limit(0), tokens.vocabulary()).count() == 0
 
 
+def test_chosen_documents(spark, tmp_path, monkeypatch):
+    plain = Tokenizer.from_file(tokens.vocabulary())
+    rows = [(k, f"text {k} " * k if k % 7 else None) for k in range(40)] + [(3, "again")]
+    monkeypatch.setattr(tokens, "BLOCK", 50)
+    tokens.write_blocks(frame(spark, rows), tokens.vocabulary(), str(tmp_path / "t"))
+    got = sorted((r.doc_id, r.ids) for r in tokens.read_ids(spark, str(tmp_path / "t"), [0, 3, 39, 14, 99, None]).collect())
+    assert got == sorted((d, [*plain.encode(t or "", add_special_tokens=False).ids, 2]) for d, t in rows if d in (0, 3, 39, 14))
+    assert tokens.read_ids(spark, str(tmp_path / "t"), []).count() == 0
+
+
+def test_encoder_on_odd_texts(monkeypatch):
+    monkeypatch.setattr(tokens.Encoder, "IDS", 3000)  # the table is emptied many times
+    encoder, plain = tokens.Encoder(tokens.vocabulary(), 2), Tokenizer.from_file(tokens.vocabulary())
+    parts = [" ", "  ", "\n", "\t", "a", "B", "ab", "'s", "'", "é", "\u00a0", "\u3000", "\u2003", "\u2014", "漢", "カ", "<|endoftext|>", "<|", "|>", "endoftext", "1", "23",
+             ".", ",", "-", "_", "\r", "\x1c", "\x85", "\0", "🙂", "\u200b", "\u1680", " x", "x" * 80]
+    rng = random.Random(6)
+    for _ in range(10):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(1000)] + [None]
+        ids, n = encoder.encode(pa.array(texts))
+        got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == [plain.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    one, two = "a", "b"
+    for _ in range(10):
+        one, two = one + two, two + one
+    words = tx.Words(pa.array([f"{one} {two}"]))
+    assert words.hashes(words.start, words.end)[0] == words.hashes(words.start, words.end)[1]
+    assert words.word_keys()[0] != words.word_keys()[1]
+    row = repetition.repetition(frame(spark, [(1, f"{one}\n{two}")])).first()
+    assert (row.n_dup_lines, row.longest_repeat) == (0, 0)
+
+
+def test_long_repeats():
+    words = np.tile(np.random.default_rng(3).integers(0, 1000, 50_000), 2)
+    one, ends = np.zeros(len(words), int), np.full(len(words), len(words))
+    longest = repetition.common_prefixes(words, repetition.suffix_order(words, one, ends), one, ends)
+    assert longest.max() == longest[0] == longest[50_000] == 50_000 and longest[1] == 49_999
+
+
 def longest_first(a, b, least):
     free_a, free_b, total = [True] * len(a), [True] * len(b), 0
     while True:
@@ -102,9 +147,10 @@ def longest_first(a, b, least):
 
 def test_tiles():
     rng = random.Random(2)
-    for _ in range(200):
-        a = [rng.randint(1, rng.choice([2, 5, 9])) for _ in range(rng.randint(1, 20))]
-        b = [rng.randint(1, 9) for _ in range(rng.randint(1, 30))]
+    for _ in range(2000):
+        kinds = rng.choice([2, 3, 5, 9])
+        a = [rng.randint(1, kinds) for _ in range(rng.randint(1, 26))]
+        b = [rng.randint(1, kinds) for _ in range(rng.randint(1, 30))]
         cut = rng.randint(0, len(a))
         b[3:3] = a[cut:] + a[:cut]
         least = min(3, len(a))
@@ -113,6 +159,14 @@ def test_tiles():
         assert all(a[x : x + n] == b[y : y + n] for x, y, n in found)
 
 
+def test_tiles_of_repetitive_texts():
+    start = time.process_time()
+    for period in (1, 7):
+        a, b = np.arange(600, dtype=np.uint64) % period + 1, np.arange(42_000, dtype=np.uint64) % period + 1
+        assert tiling.tiles(a, b, 4) == [(0, 0, 600)]
+    assert time.process_time() - start < 20
+
+
 def test_decontamination(spark):
     item = [f"q{i}" for i in range(40)]
     noise = [f"n{i}" for i in range(60)]

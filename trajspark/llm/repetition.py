@@ -26,10 +26,11 @@ SCHEMA = (
 )
 
 
-def suffix_ranks(words: np.ndarray, owner: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
-    """Ranks of the suffixes by their first 1, 2, 4, ... words, by text first, until no two suffixes tie.
+def suffix_order(words: np.ndarray, owner: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The suffixes in order, by text first: sorted by their first 1, 2, 4, ... words until no two suffixes tie.
 
-    words: an integer per word; last: one past the last word of the word's text. Only tied suffixes are sorted again.
+    words: an integer per word; last: one past the last word of the word's text. Only tied suffixes are sorted again, and only
+    the ranks of the last round are kept.
     """
     n = len(words)
     order = np.lexsort((words, owner))
@@ -37,9 +38,8 @@ def suffix_ranks(words: np.ndarray, owner: np.ndarray, last: np.ndarray) -> list
     head[1:] = (words[order[1:]] != words[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    levels, reach = [rank], 1
-    single = head & np.append(head[1:], True)
-    tied = order[~single]
+    reach = 1
+    tied = order[~(head & np.append(head[1:], True))]
     while len(tied):
         there = tied + reach
         inside = there < last[tied]
@@ -53,33 +53,48 @@ def suffix_ranks(words: np.ndarray, owner: np.ndarray, last: np.ndarray) -> list
         head[1:] |= follow[1:] != follow[:-1]
         place = np.arange(len(tied))
         start = np.maximum.accumulate(np.where(new_group, place, 0))
-        rank = rank.copy()
         rank[tied] = group + np.maximum.accumulate(np.where(head, place, 0)) - start
-        levels.append(rank)
         reach *= 2
         tied = tied[~(head & np.append(head[1:], True))]
-    return levels
+    order[rank] = np.arange(n)
+    return order
 
 
-def common_prefixes(levels: list[np.ndarray], owner: np.ndarray) -> np.ndarray:
-    """For each word, the length of the longest run from it that the same text also has from another word."""
-    n = len(owner)
+def common_prefixes(words: np.ndarray, order: np.ndarray, owner: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each word, the length of the longest run from it that the same text also has from another word.
+
+    Where a suffix and the one before it in order are each one word on from the suffix at the word before and its predecessor,
+    their common prefix is one word shorter. All others are counted word by word; together they have at most 2 n log n words, so
+    time stays low in texts that repeat themselves, and memory is a few integers per word.
+    """
+    n = len(words)
     longest = np.zeros(n, np.int64)
     if n < 2:
         return longest
-    order = np.argsort(levels[-1], kind="stable")
-    a, b = order[:-1], order[1:]
-    same = (owner[a] == owner[b]) & (levels[0][a] == levels[0][b])
-    left, right = a[same], b[same]
-    i, j, lcp = left.copy(), right.copy(), np.zeros(len(left), np.int64)
-    for level in range(len(levels) - 1, -1, -1):
-        ok = (i < n) & (j < n)
-        eq = np.zeros(len(i), bool)
-        eq[ok] = levels[level][i[ok]] == levels[level][j[ok]]
-        step = np.where(eq, 1 << level, 0)
-        i, j, lcp = i + step, j + step, lcp + step
-    np.maximum.at(longest, left, lcp)
-    np.maximum.at(longest, right, lcp)
+    other = np.full(n, -1)
+    other[order[1:]] = order[:-1]
+    other[(owner[other] != owner) | (words[other] != words)] = -1
+    some = other >= 0
+    follows = np.zeros(n, bool)
+    follows[1:] = some[1:] & some[:-1] & (other[1:] == other[:-1] + 1)
+    first = np.flatnonzero(some & ~follows)
+    x, y = first, other[first]
+    length, most = np.ones(len(first), np.int64), last[x] - np.maximum(x, y)
+    alive = np.flatnonzero(most > 1)
+    while len(alive):
+        at = length[alive, None] + np.arange(max(1, min(4096, 65536 // len(alive))))
+        inside = at < most[alive, None]
+        differ = ~inside | (words[np.where(inside, x[alive, None] + at, 0)] != words[np.where(inside, y[alive, None] + at, 0)])
+        stop = differ.any(axis=1)
+        length[alive] += np.where(stop, differ.argmax(axis=1), at.shape[1])
+        alive = alive[~stop]
+    prefix = np.zeros(n, np.int64)
+    place = np.flatnonzero(some)
+    if len(place):
+        head = np.searchsorted(first, place, "right") - 1
+        prefix[place] = length[head] - (place - first[head])
+        np.maximum.at(longest, place, prefix[place])
+        np.maximum.at(longest, other[place], prefix[place])
     return longest
 
 
@@ -106,7 +121,7 @@ def repeated_lines(texts: tx.Texts) -> np.ndarray:
     keep = dark[end] > dark[start]
     start, end = start[keep], end[keep]
     owner = np.searchsorted(texts.offsets, start, "right") - 1
-    key = tx.mixed(texts.hashes(start, end) + owner.astype(np.uint64) * np.uint64(tx.BASE))
+    key = tx.mixed(texts.keys(start, end) + owner.astype(np.uint64) * np.uint64(tx.BASE))
     _, unique = np.unique(key, return_index=True)
     return np.bincount(owner, minlength=texts.n) - np.bincount(owner[unique], minlength=texts.n)
 
@@ -117,8 +132,9 @@ def measures(column: pa.Array, least: int) -> list[np.ndarray]:
     chars = w.per_text(dark & ((w.bytes & 0xC0) != 0x80))
     longest = np.zeros(len(w.owner), np.int64)
     if len(w.owner):
-        _, ids = np.unique(w.word_hashes(), return_inverse=True)
-        longest = common_prefixes(suffix_ranks(ids, w.owner, w.begin[1:][w.owner]), w.owner)
+        _, ids = np.unique(w.word_keys(), return_inverse=True)
+        last = w.begin[1:][w.owner]
+        longest = common_prefixes(ids, suffix_order(ids, w.owner, last), w.owner, last)
     top = np.zeros(w.n, np.int64)
     np.maximum.at(top, w.owner, longest)
     return [

@@ -33,6 +33,7 @@ EXACT = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15
 LOWER = EXACT.copy()
 LOWER[ord("A") : ord("Z") + 1] = EXACT[ord("a") : ord("z") + 1]
 BASE = 0x9E3779B97F4A7C15 | 1
+STEP = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
@@ -77,6 +78,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK) -
         release()
 
 
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indexes start, start + 1, ... of every range, end to end."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
 class Texts:
     """The bytes of a column of texts and where each begins."""
 
@@ -112,6 +119,19 @@ class Texts:
         total = self.prefix(table)
         return _mixed((total[end] - total[start]) * powers(INVERSE, len(self.bytes) + 1)[start] + (end - start).astype(np.uint64))
 
+    def keys(self, start: np.ndarray, end: np.ndarray, table: np.ndarray = EXACT) -> np.ndarray:
+        """64-bit hashes of byte ranges that follow each other without overlap and are not empty.
+
+        Every byte is mixed with its place before the sum, so no pattern of bytes cancels out as in a polynomial modulo 2**64.
+        """
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        size = end - start
+        begin = np.cumsum(size) - size
+        place = np.arange(begin[-1] + size[-1]) - np.repeat(begin, size)
+        letter = _mixed(table[self.bytes[place + np.repeat(start, size)]] ^ (place.astype(np.uint64) * STEP))
+        return _mixed(np.add.reduceat(letter, begin) + size.astype(np.uint64))
+
 
 class Words(Texts):
     """Where the words are (``start``, ``end``), whose they are (``owner``), and how many each text has (``counts``)."""
@@ -130,6 +150,9 @@ class Words(Texts):
     def word_hashes(self, table: np.ndarray = EXACT) -> np.ndarray:
         return self.hashes(self.start, self.end, table)
 
+    def word_keys(self, table: np.ndarray = EXACT) -> np.ndarray:
+        return self.keys(self.start, self.end, table)
+
     def windows(self, size: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of every run of ``size`` words that stays within one text."""
         n = len(h) - size + 1
