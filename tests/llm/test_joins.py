@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -175,3 +176,30 @@ def test_contexts_find_unseen_identifiers(spark):
     texts = [f"write to user u{k}@mail{k}.example.com today" for k in range(30)] + ["tell user QX-77120 now", "see page QX-77121 now"]
     got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got[30] == "id:10:18" and got[31] == ""
+
+
+def test_recall_on_planted_contexts(spark):
+    """Unseen identifiers after a word, after two words and before a word, among texts in which numbers have nothing around them in common."""
+    rng, texts, planted = random.Random(8), [], set()
+    shape = ("contact {} please", "the number is {} .", "see {} mailbox")
+    for k in range(300):
+        noise = " ".join(f"w{rng.randint(0, 10**6)} {''.join(rng.choice('abcdefgh') for _ in range(6))}" for _ in range(10))
+        if k % 3:
+            seen = shape[k % 5 % 3].format(rng.choice([f"u{k}@mail{k}.example.com", f"10.0.{k % 250}.{k % 99}"]))
+            texts.append(f"{noise} {seen} {noise}")
+        elif k % 2:
+            texts.append(f"{noise} {shape[k % 7 % 3].format(f'QX-{77000 + k}')} {noise}")
+            planted.add(k)
+        else:
+            texts.append(noise)
+    got = {r.doc_id: r.n_found for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    caught = {k for k, n in got.items() if n}
+    assert len(caught & planted) >= 0.9 * len(planted) and not caught - planted
+    assert max(got.values()) == 1
+
+
+def test_long_runs_cost_their_length(spark):
+    texts = ["a" * 100_000 + " x@y.z.com", "1" * 100_000 + ".2.3 " + "." * 20_000, "a@" + "b" * 50_000 + " c1 d", "+1" + " " * 50_000 + "x1" + "!" * 20_000]
+    start = time.monotonic()
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "email:100001:100010", 1: "", 2: "", 3: ""} and time.monotonic() - start < 60

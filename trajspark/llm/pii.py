@@ -1,7 +1,8 @@
 """Personal data by patterns, and by contexts that are learned from what the patterns find.
 
 The base finds e-mail addresses, IP addresses, card and phone numbers. Bootstrapping then takes these as seed entities: the word
-before an entity is a lexical pattern, and every word with a digit or ``@`` is an instance. Patterns and instances score each
+before an entity, the two words before it and the word after it are lexical patterns, and every word with a digit or ``@`` is an
+instance. Patterns and instances score each
 other in rounds over their graph: a pattern by the share of its instances that are entities, smoothed so that few instances
 prove little; an instance by noisy-or over its patterns. Instances of high score that the base did not find are added as ``id``.
 
@@ -16,11 +17,12 @@ from pyspark.sql import functions as F
 from trajspark.llm.storage import query, written
 
 KINDS = ("email", "ip", "card", "phone", "id")
-# Possessive groups match the same texts and keep long runs of digits off the stack of the matcher. A card pattern that also takes a
-# single digit finds nothing more, because a single digit touches no other match.
+# A run is tried from its start only (or from the end of the last match), and possessively: from any later character it ends at the
+# same place, so nothing more is found, and one long run costs its length. A card pattern that also takes a single digit finds nothing
+# more, because a single digit touches no other match.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
-    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -112,28 +114,38 @@ def _count(spans: Column, order: int) -> Column:
 
 
 def with_words(rows: DataFrame, text: str) -> DataFrame:
-    """Adds ``words``: array<struct<start, end, match, context, seed>> of the words that may be identifiers, without closing punctuation."""
+    """Adds ``words``: array<struct<start, end, match, contexts, seed>> of the words that may be identifiers, without closing punctuation.
+
+    contexts: the word before (``l:``), the two words before (``ll:``) and the word after (``r:``), of those that hold a letter.
+    """
     base = F.col("base")
 
     def shape(x: Column) -> Column:
-        bare = F.regexp_replace(x["match"], r"[.,;:!?\"')\]]+$", "")
+        bare = F.regexp_replace(x["match"], r"(?<![.,;:!?\"')\]])[.,;:!?\"')\]]++$", "")
         end = x["start"] + F.length(bare)
-        context = F.lower(F.regexp_extract(x["before"], r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
-        context = F.regexp_replace(context, r"^[^\p{L}]+|[^\p{L}]+$", "")
+        near = lambda c: F.regexp_replace(F.lower(c), r"^[^\p{L}]++|(?<![^\p{L}])[^\p{L}]++$", "")
+        one = near(F.regexp_extract(x["before"], r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$", 1))
+        two = near(F.regexp_extract(x["before"], r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+$", 1))
+        after = near(F.regexp_extract(x["after"], r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)", 1))
+        contexts = F.array(
+            F.when(one != "", F.concat(F.lit("l:"), one)), F.when((one != "") & (two != ""), F.concat(F.lit("ll:"), two, F.lit(" "), one)),
+            F.when(after != "", F.concat(F.lit("r:"), after)),
+        )
+        contexts = F.array_compact(contexts)
         seed = F.exists(base, lambda b: (b["start"] < end) & (x["start"] < b["end"]))
-        return F.struct(x["start"].alias("start"), end.alias("end"), bare.alias("match"), context.alias("context"), seed.alias("seed"))
+        return F.struct(x["start"].alias("start"), end.alias("end"), bare.alias("match"), contexts.alias("contexts"), seed.alias("seed"))
 
     rows = located(rows, text, {"_word": (WORD, F.col(text).rlike("[0-9@]"))})
     return rows.withColumn("words", F.transform("_word", shape)).drop("_word")
 
 
 def discover(words: DataFrame) -> DataFrame:
-    """The words (row, start, end, match, context, seed) that are no seeds and whose instance scores at least ``ACCEPT``.
+    """The words (row, start, end, match, contexts, seed) that are no seeds and whose instance scores at least ``ACCEPT``.
 
     Scores of patterns and instances settle over ``ROUNDS`` rounds. An instance that a round accepts counts as an entity in the
     next. Sums are combined before the shuffle, so a very common context is no single task's work.
     """
-    graph = words.where("context <> ''").groupBy("context", "match").agg(F.count("*").alias("n"), F.max(F.col("seed").cast("double")).alias("seed"))
+    graph = words.select("match", "seed", F.explode("contexts").alias("context")).groupBy("context", "match").agg(F.count("*").alias("n"), F.max(F.col("seed").cast("double")).alias("seed"))
     graph = written(graph, "graph")
     scores = graph.groupBy("match").agg(F.max("seed").alias("score"))
     for _ in range(ROUNDS):
