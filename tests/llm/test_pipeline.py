@@ -41,4 +41,4 @@ def test_empty_documents(spark, sf_dir, tmp_path):
 def test_registered():
     import trajspark.llm.queries  # noqa: F401
 
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
