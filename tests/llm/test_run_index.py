@@ -64,6 +64,14 @@ def test_long_text_in_stretches(spark, monkeypatch):
     assert found(spark, rows) == plain(rows)
 
 
+def test_strings_twice_in_one_piece(spark):
+    rng = random.Random(8)
+    make = lambda k: "".join(rng.choice("ABCDEFGH") for _ in range(k))
+    rows = [(1, "k" * 300), (2, "=-" * 101), (3, make(250) + "#" * 201 + make(250)), (4, "m" * 200), (5, make(400))]
+    rows += [(10 + p, make(90) + (make(p) * 99)[: 200 + p + extra] + make(30)) for p, extra in ((3, -1), (7, 0), (47, 5), (49, 0), (150, 0), (154, 1), (199, 0), (255, 40))]
+    assert found(spark, rows) == plain(rows)
+
+
 def test_empty(spark):
     assert found(spark, []) == []
 

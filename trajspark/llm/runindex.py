@@ -5,7 +5,8 @@ A byte goes if a string of ``LENGTH`` bytes around it also starts anywhere else,
 1. The anchor of such a string is the smallest hash of its ``GRAM``-byte substrings, so equal strings have equal anchors. Consecutive
    starts with one anchor form a piece: the bytes from its first start to the end of its last string. Every start is in one piece.
 2. Anchors are counted in packed form. Pieces whose anchor no other piece can have are not sent on: a bitmap of bounded size tells
-   them, and a bit shared by two anchors only sends more.
+   them, and a bit shared by two anchors only sends more. A piece may also hold a string twice by itself, as in a short run of one
+   character; its anchor then lies at two places close together, which is told beside the count.
 3. The other pieces meet by anchor. Each task takes whole groups of an anchor, keeps equal pieces once with their number, and builds a
    run-length index of about ``BATCH`` bytes: the runs of the Burrows-Wheeler transform with the suffixes at the ends of its runs and
    the common prefixes there. Within a run a common prefix loses one byte with each byte of the text, so the matching statistics
@@ -39,22 +40,45 @@ BATCH = 1 << 20  # bytes of different pieces in one index
 FLUSH = 1 << 20  # anchors that a task holds before it packs them
 MOST_BITS = 28  # log2 of the largest bitmap of anchors that more than one piece has: 32 MB
 HOT_BITS = 24
+TWICE = 1 << 15  # mark beside a count: a single piece may hold the anchor at two places
 LARGE = 4 * tx.CHUNK  # bytes of a single text from which it is gone through in stretches
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, end of the starts, anchor) of all pieces of the texts that lie in ``data`` at ``offsets``."""
-    starts = len(data) - length + 1
-    if starts <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def _grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of all substrings of ``gram`` bytes."""
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(tx.EXACT[data] * tx.powers(tx.BASE, len(data)), out=total[1:])
-    least = tx.mixed((total[gram:] - total[:-gram]) * tx.powers(tx.INVERSE, len(data) + 1)[: len(data) - gram + 1])
-    wide, want = 1, length - gram + 1
+    return tx.mixed((total[gram:] - total[:-gram]) * tx.powers(tx.INVERSE, len(data) + 1)[: len(data) - gram + 1])
+
+
+def _extreme(pick: np.ufunc, values: np.ndarray, want: int) -> np.ndarray:
+    """The least or greatest of every ``want`` values in a row."""
+    n, wide = len(values) - want + 1, 1
     while 2 * wide <= want:
-        least = np.minimum(least[:-wide], least[wide:])
+        values = pick(values[:-wide], values[wide:])
         wide *= 2
-    least = np.minimum(least[:starts], least[want - wide : want - wide + starts])
+    return pick(values[:n], values[want - wide : want - wide + n])
+
+
+def twice(grams: np.ndarray, least: np.ndarray, want: int) -> np.ndarray:
+    """Anchors that lie at two places no further apart than equal strings of one piece can be."""
+    padded = np.concatenate((np.zeros(want - 1, np.uint64), least, np.zeros(want - 1, np.uint64)))
+    at = np.flatnonzero(_extreme(np.maximum, padded, want) == grams)  # places that are the least of a string around them
+    at = at[np.argsort(grams[at], kind="stable")]
+    return grams[at[1:][(grams[at[1:]] == grams[at[:-1]]) & (np.diff(at) < LONGEST)]]
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, counting: bool = False) -> tuple[np.ndarray, ...]:
+    """(first start, end of the starts, anchor) of all pieces of the texts that lie in ``data`` at ``offsets``.
+
+    With ``counting``, the anchors that a single piece may hold at two places come fourth.
+    """
+    starts = len(data) - length + 1
+    if starts <= 0:
+        none = np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), none, *([none] if counting else [])
+    grams, want = _grams(data, gram), length - gram + 1
+    least = _extreme(np.minimum, grams, want)
     inside = np.zeros(starts + 1, np.int32)  # starts whose string ends within their text
     first, last = offsets[:-1], offsets[1:] - length + 1
     some = last > first
@@ -68,7 +92,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     cut = (b - a + LONGEST - 1) // LONGEST
     nth = np.arange(cut.sum()) - np.repeat(np.cumsum(cut) - cut, cut)
     a, b = np.repeat(a, cut) + nth * LONGEST, np.repeat(b, cut)
-    return a, np.minimum(a + LONGEST, b), least[a]
+    return a, np.minimum(a + LONGEST, b), least[a], *([twice(grams, least, want)] if counting else [])
 
 
 def stretches(column: pa.Array, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -190,23 +214,27 @@ def anchor_bitmaps(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray
     narrow = min(wide, HOT_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, doubled, n = [], [], 0
 
         def pack() -> pa.RecordBatch:
             key, times = np.unique(np.concatenate(held) >> np.uint64(32 - bits), return_counts=True)
+            times = np.minimum(times, TWICE - 1)
+            times[np.searchsorted(key, np.concatenate(doubled) >> np.uint64(32 - bits))] |= TWICE
             edge = np.searchsorted((key >> np.uint64(32)).astype(np.int64), np.arange((1 << bits) + 1))
-            low, times = (key & np.uint64(0xFFFFFFFF)).astype("<u4"), np.minimum(times, 0xFFFF).astype("<u2")
+            low, times = (key & np.uint64(0xFFFFFFFF)).astype("<u4"), times.astype("<u2")
             full = np.flatnonzero(np.diff(edge)).tolist()
             packed = [[x[edge[b] : edge[b + 1]].tobytes() for b in full] for x in (low, times)]
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *map(pa.array, packed)], ["bucket", "low", "times"])
 
         for part in tx.slices(batches, text):
             for data, offsets, _, _ in stretches(part[text]):
-                held.append(pieces(data, offsets)[2])
-                n += len(held[-1])
+                _, _, anchor, two = pieces(data, offsets, counting=True)
+                held.append(anchor)
+                doubled.append(two[np.isin(two, anchor)])
+                n += len(anchor)
             if n >= FLUSH:
                 yield pack()
-                held, n = [], 0
+                held, doubled, n = [], [], 0
         if n:
             yield pack()
 
@@ -219,11 +247,12 @@ def anchor_bitmaps(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray
             order = np.argsort(low)
             low, times = low[order], times[order]
             first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-            low, times = low[first], np.add.reduceat(times, first)
+            low, two = low[first], np.bitwise_or.reduceat(times, first) >= TWICE
+            times = np.add.reduceat(times & (TWICE - 1), first)
             out = []
-            for bound, width in ((1, wide), (HOT, narrow)):
+            for some, width in ((two | (times > 1), wide), (times > HOT, narrow)):
                 bit = np.zeros(1 << (width - bits), bool)
-                bit[(low[times > bound] >> np.uint32(32 - (width - bits))).astype(np.int64)] = True
+                bit[(low[some] >> np.uint32(32 - (width - bits))).astype(np.int64)] = True
                 out.append(pa.array([np.packbits(bit).tobytes()]))
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *out], ["bucket", "shared", "hot"])
 
