@@ -143,3 +143,17 @@ def test_state_falls_behind_the_watermark(spark, tmp_path):
     job.awaitTermination()
     runs = [p["stateOperators"][0]["numRowsTotal"] for p in job.recentProgress if p["stateOperators"]]
     assert max(runs) >= 6 and runs[-1] < max(runs) and runs[-1] <= 4
+
+
+def test_integer_commands_that_wait_for_their_turn(spark, tmp_path):
+    mo.use_rocksdb(spark)
+    rows = [("gripper-failure", 1, "failure", k, 0.0, 0.9, -1 if k >= 4 else 1, False, False, "grasp") for k in range(12)]
+    schema = "scenario string, seed bigint, variant string, seq bigint, force double, gripper double, gripper_command int, is_grasped boolean, success_now boolean, phase string"
+    source = str(tmp_path / "frames")
+    for part in (rows[1::2], rows[0::2]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = str(tmp_path / "events")
+    mo.run_to_files(mo.monitor_runs(stream), out)
+    got = spark.read.schema(mo.EVENTS).parquet(out).collect()
+    assert [(r["type"], r["step"]) for r in got] == [("predicate-violated", 7)]

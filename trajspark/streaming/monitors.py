@@ -236,7 +236,12 @@ class FrameMotion(OrderedFrames):
 
 
 def _processed(frames: DataFrame, keys: list[str], processor: StatefulProcessor, output: str, delay: str | None) -> DataFrame:
-    """``delay`` names how much later than others a frame may come, where there is an ``event_time``."""
+    """``delay`` names how much later than others a frame may come, where there is an ``event_time``.
+
+    Frames get the types of the state they may wait in: an integer that waits as a double would come back as null.
+    """
+    typed = [f"cast(`{name}` AS {kind}) AS `{name}`" for name, kind in (c.split() for c in processor.FRAME.split(", "))]
+    frames = frames.selectExpr(*[f"`{c}`" for c in frames.columns if c not in processor.columns], *typed)
     if delay is not None:
         frames = frames.withWatermark("event_time", delay)
     return frames.groupBy(*keys).transformWithStateInPandas(
