@@ -149,27 +149,27 @@ def readiness(steps: DataFrame, layout: Layout | None = None) -> DataFrame:
     ]
     blockers = [f"if({str(hit).lower()}, '{code}', NULL)" for code, hit in fixed] + ["if(monotonic, NULL, 'TIME_INVALID')"]
     hard = ", ".join(repr(c) for c in HARD_BLOCKERS)
-    out = out.selectExpr("*", *[f"bround({e}, 1) AS {n}" for n, e in dims.items()], f"array_compact(array({', '.join(blockers)})) AS blockers")
+    out = out.selectExpr("*", *[f"(rint(({e}) * 10D) / 10D + 0D) AS {n}" for n, e in dims.items()], f"array_compact(array({', '.join(blockers)})) AS blockers")
     out = out.selectExpr("*", " + ".join(f"{n} * {w}D" for n, w in WEIGHTS.items()) + " AS raw_score", f"'{source}' AS action_source")
     advice = ", ".join(f"if(array_contains(blockers, '{code}'), {text!r}, NULL)" for code, text in ADVICE.items())
     wide = "if(action_out_of_bounds > 0.01, 'Check that actions are scaled to [-1, 1].', NULL)"
     return out.selectExpr(
-        "*", "bround(raw_score, 1) AS score",
+        "*", "(rint(raw_score * 10D) / 10D + 0D) AS score",
         f"CASE WHEN arrays_overlap(blockers, array({hard})) OR raw_score < 55 THEN 'blocked' WHEN raw_score < 78 OR size(blockers) > 0 THEN 'review' ELSE 'ready' END AS status",
-        "bround(greatest(0D, last_time - first_time), 3) AS duration",
-        "bround(response_lag * median_dt * 1000, 1) AS response_lag_ms",
+        "(rint(greatest(0D, last_time - first_time) * 1000D) / 1000D + 0D) AS duration",
+        "(rint((response_lag * median_dt * 1000) * 10D) / 10D + 0D) AS response_lag_ms",
         f"array_compact(array({advice}, {wide})) AS recommendations",
     )
 
 
 def readiness_overview(episodes: DataFrame) -> DataFrame:
-    dims = [f"bround(avg({d}), 1) AS {d}" for d in WEIGHTS]
+    dims = [f"(rint(avg({d}) * 10D) / 10D + 0D) AS {d}" for d in WEIGHTS]
     out = episodes.selectExpr(
-        "count(1) AS episode_count", "sum(rows) AS row_count", "bround(avg(score), 1) AS score", "avg(score) AS _score",
+        "count(1) AS episode_count", "sum(rows) AS row_count", "(rint(avg(score) * 10D) / 10D + 0D) AS score", "avg(score) AS _score",
         *[f"count_if(status = '{s}') AS {s}" for s in ("ready", "review", "blocked")], *dims,
     )
     return out.selectExpr(
-        *[c for c in out.columns if c != "_score"], "bround(ready / episode_count * 100, 1) AS ready_rate",
+        *[c for c in out.columns if c != "_score"], "(rint((ready / episode_count * 100) * 10D) / 10D + 0D) AS ready_rate",
         "CASE WHEN blocked = 0 AND review = 0 AND _score >= 78 THEN 'ready' WHEN _score >= 55 THEN 'review' ELSE 'blocked' END AS status",
     )
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.functions.columns import count_if
+from trajspark.functions.columns import count_if, round_even
 from trajspark.functions.layout import Layout
 from trajspark.functions.lineage import materialise
 
@@ -91,7 +91,7 @@ def run_facts(r: Replays) -> DataFrame:
     marks = r.events.join(r.runs.select(*keys, "fps"), keys).groupBy(*keys).agg(
         *[F.expr(f"if(count_if(type = '{k}') > 0, {event_index(k)}, NULL) AS {n}") for k, n in
           (("predicate-violated", "violated_at"), ("predicate-restored", "restored_at"), ("recovery-start", "started_at"))],
-        F.expr(f"min_by(struct(type, bround(time, 4) AS time, label), ord) FILTER (WHERE source = 'injection' AND type = CASE scenario {fault} END) AS fault"),
+        F.expr(f"min_by(struct(type, (rint(time * 10000D) / 10000D + 0D) AS time, label), ord) FILTER (WHERE source = 'injection' AND type = CASE scenario {fault} END) AS fault"),
     )
     out = r.runs.join(marks, keys, "left")
     return out.withColumn("start_at", F.coalesce(F.col("trigger_step"), F.col("started_at")))
@@ -129,7 +129,7 @@ def signatures(r: Replays, facts: DataFrame) -> DataFrame:
     """What must be equal in both runs of a pair: controlled fields, fault and initial state."""
     keys = list(KEYS)
     first = r.frames.filter("seq = 0").selectExpr(
-        *keys, *[f"array({', '.join(f'bround({p}_{a}, 6)' for a in 'xyz')}) AS {p}_0" for p in ("tcp", "object", "goal")]
+        *keys, *[f"array({', '.join(f'(rint({p}_{a} * 1000000D) / 1000000D + 0D)' for a in 'xyz')}) AS {p}_0" for p in ("tcp", "object", "goal")]
     )
     controlled = "struct(" + ", ".join(CONTROLLED) + ")"
     return facts.join(first, keys, "left").selectExpr(*keys, f"{controlled} AS controlled", "fault", "struct(tcp_0, object_0, goal_0) AS initial")
@@ -181,7 +181,7 @@ def run_figures(r: Replays, facts: DataFrame) -> DataFrame:
     keys = list(KEYS)
     layout = r.layout
     # round() to 3 digits as in the summaries, then the interval both runs share.
-    spans = facts.selectExpr(*keys, "bround(duration, 3) AS duration_s")
+    spans = facts.selectExpr(*keys, "(rint(duration * 1000D) / 1000D + 0D) AS duration_s")
     shared = spans.groupBy(*PAIR).agg(F.min("duration_s").alias("shared_s"))
     info = facts.join(shared, PAIR).selectExpr(
         *keys, "success AS run_success", "fps", "violated_at", "restored_at", "started_at", "shared_s",
@@ -228,15 +228,15 @@ def variant_summary(figures: DataFrame, facts: DataFrame) -> DataFrame:
     """Per run: outcome, duration, force peaks, path length, grasp."""
     keys = list(KEYS)
     return facts.select(*keys, "success", "rows", "duration").join(figures, keys).selectExpr(
-        *keys, "success", "rows", "bround(duration, 3) AS duration", "bround(peak_force, 3) AS peak_force", "bround(post_peak, 3) AS post_recovery_peak_force",
-        "bround(path_length, 4) AS path_length", "grasped_frames", "final_grasped",
+        *keys, "success", "rows", "(rint(duration * 1000D) / 1000D + 0D) AS duration", "(rint(peak_force * 1000D) / 1000D + 0D) AS peak_force", "(rint(post_peak * 1000D) / 1000D + 0D) AS post_recovery_peak_force",
+        "(rint(path_length * 10000D) / 10000D + 0D) AS path_length", "grasped_frames", "final_grasped",
     )
 
 
 def force_safety(figures: DataFrame) -> DataFrame:
     """Whether every frame stays within the force limit, over the whole run and from the recovery start."""
     return figures.selectExpr(
-        *KEYS, "frames > 0 AND unsafe_frames = 0 AS episode_safety", "unsafe_frames", "bround(unsafe_time, 3) AS first_violation_time",
+        *KEYS, "frames > 0 AND unsafe_frames = 0 AS episode_safety", "unsafe_frames", "(rint(unsafe_time * 1000D) / 1000D + 0D) AS first_violation_time",
         "frames_after > 0 AND unsafe_after = 0 AS post_intervention_safety", "frames_after AS evaluated_frames", "unsafe_after AS unsafe_frames_after",
     )
 
@@ -253,7 +253,7 @@ def plan_steps(figures: DataFrame) -> DataFrame:
 
 def completion_rate(steps: DataFrame) -> DataFrame:
     return steps.groupBy(*PAIR).agg(
-        F.expr("count_if(status = 'completed') AS completed"), F.expr("count(1) AS steps"), F.expr("bround(count_if(status = 'completed') / count(1) * 100, 1) AS operator_completion_rate")
+        F.expr("count_if(status = 'completed') AS completed"), F.expr("count(1) AS steps"), F.expr("(rint((count_if(status = 'completed') / count(1) * 100) * 10D) / 10D + 0D) AS operator_completion_rate")
     )
 
 
@@ -274,13 +274,13 @@ def recovery_results(r: Replays) -> DataFrame:
     )
     return both.selectExpr(
         *PAIR, "pair_integrity", "failed_pair_checks", "fingerprint", "failure_control", "r_success AS task_success", "r_restored AS predicate_restored", "plan_complete",
-        f"coalesce(bround(r_post_peak, 3) <= {FORCE_LIMIT}, false) AS post_recovery_force",
+        f"coalesce((rint(r_post_peak * 1000D) / 1000D + 0D) <= {FORCE_LIMIT}, false) AS post_recovery_force",
         "pair_integrity AND failure_control AND r_success AND r_restored AND plan_complete AS task_recovery",
         "r_frames > 0 AND r_unsafe_frames = 0 AS episode_safety", "r_frames_after > 0 AND r_unsafe_after = 0 AS post_intervention_safety",
         "coalesce(r_trigger_source = 'online-predicate-monitor', false) AND r_trigger_step IS NOT NULL AS online_trigger", "r_trigger_type AS trigger_type",
-        "int(r_success) - int(f_success) AS success_delta", "bround(_latency, 3) AS recovery_latency", "bround(_overhead, 4) AS path_overhead",
-        "bround(_overhead / greatest(f_shared_path, 1e-9) * 100, 1) AS path_overhead_rate", "operator_completion_rate",
-        "bround(r_peak_force, 3) AS episode_peak_force_n", "bround(r_peak_after, 3) AS post_intervention_peak_force_n",
+        "int(r_success) - int(f_success) AS success_delta", "(rint(_latency * 1000D) / 1000D + 0D) AS recovery_latency", "(rint(_overhead * 10000D) / 10000D + 0D) AS path_overhead",
+        "(rint((_overhead / greatest(f_shared_path, 1e-9) * 100) * 10D) / 10D + 0D) AS path_overhead_rate", "operator_completion_rate",
+        "(rint(r_peak_force * 1000D) / 1000D + 0D) AS episode_peak_force_n", "(rint(r_peak_after * 1000D) / 1000D + 0D) AS post_intervention_peak_force_n",
     ).selectExpr("*", "pair_integrity AND failure_control AND task_success AND predicate_restored AND plan_complete AND post_recovery_force AS passed")
 
 
@@ -295,13 +295,13 @@ def wilson_interval(successes: Column, total: Column, z: float = 1.96) -> Column
     margin = z * F.sqrt(p * (1 - p) / total + z * z / (4 * total * total)) / scale
     known = total > 0
     return F.struct(
-        F.when(known, F.bround(F.greatest(F.lit(0.0), centre - margin), 4)).alias("lower"),
-        F.when(known, F.bround(F.least(F.lit(1.0), centre + margin), 4)).alias("upper"),
+        F.when(known, round_even(F.greatest(F.lit(0.0), centre - margin), 4)).alias("lower"),
+        F.when(known, round_even(F.least(F.lit(1.0), centre + margin), 4)).alias("upper"),
     )
 
 
 def rate(flag: str) -> Column:
-    return F.expr(f"coalesce(bround(count_if({flag}) / count(1), 4), 0D)")
+    return F.expr(f"coalesce((rint((count_if({flag}) / count(1)) * 10000D) / 10000D + 0D), 0D)")
 
 
 def numeric_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -309,9 +309,9 @@ def numeric_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     layout = Layout.probe(df, by) if by else Layout()
     if not by:
         df, by, layout = df.withColumn("_all", F.lit(1)), ["_all"], Layout.probe(df.withColumn("_all", F.lit(1)), ["_all"])
-    mean = df.groupBy(*by).agg(F.bround(F.avg(value), 4).alias("mean"))
+    mean = df.groupBy(*by).agg(round_even(F.avg(value), 4).alias("mean"))
     high = layout.quantiles(df, {"p95": (F.col(value), 0.95)})
-    return mean.join(high, by).withColumn("p95", F.bround("p95", 4)).drop("_all")
+    return mean.join(high, by).withColumn("p95", round_even("p95", 4)).drop("_all")
 
 
 def _aggregates() -> list[Column]:
@@ -319,8 +319,8 @@ def _aggregates() -> list[Column]:
     ci = wilson_interval(count_if(F.col("task_recovery")), F.count(F.lit(1)))
     return [
         F.count(F.lit(1)).alias("trials"), *[rate(f).alias(f) for f in flags], ci["lower"].alias("ci_lower"), ci["upper"].alias("ci_upper"),
-        F.bround(F.avg("recovery_latency"), 4).alias("latency_mean"), F.bround(F.avg("path_overhead"), 4).alias("path_mean"),
-        F.bround(F.avg("operator_completion_rate"), 2).alias("completion_mean"),
+        round_even(F.avg("recovery_latency"), 4).alias("latency_mean"), round_even(F.avg("path_overhead"), 4).alias("path_mean"),
+        round_even(F.avg("operator_completion_rate"), 2).alias("completion_mean"),
     ]
 
 
