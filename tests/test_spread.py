@@ -2,7 +2,10 @@
 
 from trajspark.functions import layout as lay
 from trajspark.functions.layout import Layout
+from trajspark.functions.lineage import materialise
+from trajspark.operators import evaluation as ev
 from trajspark.operators import perturb as pt
+from trajspark.operators import repair as rp
 from trajspark.plans import benchmark_queries as bq
 
 
@@ -21,3 +24,28 @@ def test_rows_of_a_task_are_bounded(spark, monkeypatch):
     dealt = Layout().spread(rows, "episode_id")
     assert dealt.rdd.getNumPartitions() == 20
     assert Layout().spread(rows, "episode_id", 3).rdd.getNumPartitions() == 60
+
+
+def test_repaired_samples_are_neither_stored_nor_shuffled(spark, sf_dir, monkeypatch):
+    stored = []
+
+    def recorded(df):
+        out = materialise(df)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(rp, "materialise", recorded)
+    monkeypatch.setattr(ev, "materialise", recorded)
+    records = bq._repairs(spark, sf_dir)
+    assert stored == [records.count()]  # the diagnosis before the repair, one row for each sample
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    dealt = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert {d.split("#")[0] for d in dealt} <= {"user_id", "episode_id", "base_id", "meta_base_id"}, [d[:80] for d in dealt]
+    assert len([d for d in dealt if d.startswith("meta_base_id")]) <= 1, [d[:80] for d in dealt]  # of that diagnosis, to the rows
+
+
+def test_residuals_of_samples(spark, sf_dir):
+    _, layout, clean = bq.samples(spark, sf_dir, pt.REPAIR_FAULTS[2:3], 1)
+    rows = pt.inject(ev.with_truth(clean.filter("base_no < 3"), ["joint_1", "joint_2", "camera_motion"]), layout)
+    found = {(r.fault, r.sync_residual_ms is None) for r in ev.repair_records(ev.run_repair(rows, layout, bq.P)).collect()}
+    assert found == {("nominal", True), ("sensor-delay", False)}
