@@ -7,6 +7,7 @@ from trajspark.operators import evaluation as ev
 from trajspark.operators import perturb as pt
 from trajspark.operators import repair as rp
 from trajspark.plans import benchmark_queries as bq
+from trajspark.plans import repair_queries as rq
 
 
 def test_samples_are_not_shuffled(spark, sf_dir):
@@ -49,3 +50,22 @@ def test_residuals_of_samples(spark, sf_dir):
     rows = pt.inject(ev.with_truth(clean.filter("base_no < 3"), ["joint_1", "joint_2", "camera_motion"]), layout)
     found = {(r.fault, r.sync_residual_ms is None) for r in ev.repair_records(ev.run_repair(rows, layout, bq.P)).collect()}
     assert found == {("nominal", True), ("sensor-delay", False)}
+
+
+def test_numbered_rows_of_a_task_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(lay, "ROWS_PER_TASK", 50)
+    rows = spark.range(1000).selectExpr("id div 10 AS user_id", "id AS ts")
+    numbered, layout = lay.dense_positions(rows, "user_id", ["ts"])
+    assert layout.whole and numbered.rdd.getNumPartitions() == 20
+    assert numbered.filter("seq != ts % 10").isEmpty()
+
+
+def test_repaired_rows_are_dealt_again(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lay, "ROWS_PER_TASK", 100)
+    done = rq.run(spark, sf_dir)
+    rows = done.rows.count()
+    assert done.dealt.rdd.getNumPartitions() == -(-rows // 100) > 4
+    seen = []
+    monkeypatch.setattr(rp, "materialise", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    assert done.after.count() == done.before.count()
+    assert f"{-(-rows // 100)}), REPARTITION_BY_NUM" in seen[0]
