@@ -273,3 +273,15 @@ def test_offending_sentences():
     sentence, rows = toxicity.sentences(w)
     z = model["bias"][0] + np.bincount(sentence, model["weight"][rows].sum(axis=1))
     assert z.argmax() == 1 and z[1] > 0 > z[0]
+
+
+def test_encoder_stays_with_its_worker():
+    from pyspark import cloudpickle
+
+    first = tokens._encoder(tokens.vocabulary(), 2)
+    first.encode(pa.array(["the same words in two tasks"]))
+
+    def task():
+        return tokens._encoder(tokens.vocabulary(), 2)
+
+    assert cloudpickle.loads(cloudpickle.dumps(task))() is first and first.n_ids > 0

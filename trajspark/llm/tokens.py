@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -96,7 +97,7 @@ class Encoder:
     places; a new piece takes the place of an older one. A text that holds an added token of the vocabulary is not cut.
     """
 
-    PLACES, IDS, BYTES, LONGEST = 20, 1 << 22, 1 << 23, 64  # bits of a place; what the table holds; longest piece in it
+    PLACES, IDS, BYTES, LONGEST = 21, 1 << 23, 1 << 24, 64  # bits of a place; what the table holds; longest piece in it
 
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -136,7 +137,7 @@ class Encoder:
         """Ids of pieces, end to end, and how many each has."""
         got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         n = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for ids in got for i in ids), self.kind, int(n.sum())), n
+        return np.fromiter(chain.from_iterable(got), self.kind, int(n.sum())), n
 
     def keep(self, b: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
         short = size <= self.LONGEST
@@ -207,7 +208,19 @@ class Encoder:
         return out, np.diff(total)
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+def _encoder(tokenizer: str, width: int) -> Encoder:
+    """The worker's encoder. It stays with its table for the tasks that follow, so a piece is encoded once by a worker, not by a task.
+
+    Task functions travel by value, so it is held by a module that the worker imports itself.
+    """
+    import tokenizers
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    held = vars(tokenizers).setdefault("_trajspark_encoders", {})
+    if (tokenizer, width) not in held:
+        held.clear()
+        held[tokenizer, width] = Encoder(tokenizer, width)
+    return held[tokenizer, width]
 
 
 def write_blocks(docs: DataFrame, tokenizer: str, path: str, width: int = 2, end_id: int = END_ID) -> None:
@@ -222,10 +235,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, path: str, width: int = 2, end
     names = ["shard", "block", "doc_ids", "n_ids", "ids", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if (tokenizer, width) not in _encoders:
-            _encoders[tokenizer, width] = Encoder(tokenizer, width)
-        encoder = _encoders[tokenizer, width]
+        encoder = _encoder(tokenizer, width)
         shard, block = TaskContext.get().partitionId(), 0
         doc_ids: list = []
         held: list[np.ndarray] = []  # ids of the open block, and of its documents the sizes
@@ -255,8 +265,6 @@ def write_blocks(docs: DataFrame, tokenizer: str, path: str, width: int = 2, end
                     doc_ids, held, sizes, total, block = [], [], [], 0, block + 1
         if doc_ids:
             yield close()
-        _encoders.clear()
-        del encoder
         tx.release()
 
     schema = "shard int, block int, doc_ids array<long>, n_ids long, ids binary, low binary, high binary"
