@@ -5,8 +5,11 @@ from trajspark.functions.layout import Layout
 from trajspark.functions.lineage import materialise
 from trajspark.operators import evaluation as ev
 from trajspark.operators import perturb as pt
+from trajspark.operators import reasoning as rs
 from trajspark.operators import repair as rp
+from trajspark.operators import timeseries as ts
 from trajspark.plans import benchmark_queries as bq
+from trajspark.plans import reasoning_queries as why
 from trajspark.plans import repair_queries as rq
 
 
@@ -69,3 +72,39 @@ def test_repaired_rows_are_dealt_again(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(rp, "materialise", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or df)
     assert done.after.count() == done.before.count()
     assert f"{-(-rows // 100)}), REPARTITION_BY_NUM" in seen[0]
+
+
+def test_reasoned_rows_of_a_task_are_bounded(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lay, "ROWS_PER_TASK", 100)
+    found = why.reasoned(spark, sf_dir)
+    rows = found.steps.count()
+    assert found.steps.rdd.getNumPartitions() == -(-rows // 100) > 4
+
+
+def test_rows_are_not_copied_for_their_points(spark):
+    steps = spark.createDataFrame(
+        [("a", 0, 0.0, "reach"), ("a", 1, 1.0, None), ("a", 2, 3.0, "grasp"), ("b", 0, 0.0, "place"), ("c", 0, 0.0, "place")],
+        "episode_id string, seq long, timestamp double, phase string",
+    )
+    points = spark.createDataFrame(
+        [("a", "FRAME_DROP", 2.0), ("a", "JOINT_JUMP", 2.5), ("a", "GRASP_SLIP", -9.0), ("b", "GRASP_SLIP", 7.0)], "episode_id string, code string, start_time double"
+    )
+    for layout in (Layout(), Layout(chunk_rows=2)):
+        near = rs.nearest_phase(steps, points, layout)
+        assert {tuple(r) for r in near.select("episode_id", "code", "phase").collect()} == {
+            ("a", "FRAME_DROP", "nan"), ("a", "JOINT_JUMP", "grasp"), ("a", "GRASP_SLIP", "reach"), ("b", "GRASP_SLIP", "place")
+        }
+    plan = rs.nearest_phase(steps, points, Layout())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("Aggregate")  # of the found phases, none below
+
+
+def test_the_search_fills_gaps_without_sorting_backwards(spark):
+    rows = spark.range(200).selectExpr(
+        "cast(id div 100 AS STRING) AS episode_id", "id % 100 AS seq", "(id % 100) / 10 AS timestamp", "0.1D AS median_dt",
+        "if(id % 9 = 4 OR id % 100 < 2, NULL, sin(id / 3)) AS speed", "if(id % 13 IN (5, 6) OR id % 100 > 97, NULL, sin((id - 2) / 3)) AS camera",
+    )
+    found = ts.sync_offset(rows, Layout(), "speed", "camera", 0.5)
+    assert "DESC" not in found._jdf.queryExecution().executedPlan().toString()
+    chunked = ts.sync_offset(rows, Layout(chunk_rows=30), "speed", "camera", 0.5)
+    pick = lambda df: sorted((r.episode_id, r.lag, round(r.confidence, 9)) for r in df.collect())
+    assert pick(found) == pick(chunked) and {lag for _, lag, _ in pick(found)} == {2}

@@ -197,6 +197,7 @@ def why(final: str) -> str:
 
 def reasoned(spark, sf) -> rs.Reasoning:
     rows, layout = telemetry(spark, sf)
+    rows = layout.spread(rows, "episode_id", rows=read_table(spark, sf, "events").count())
     return rs.reason(rows, P, layout)
 
 
