@@ -1,5 +1,7 @@
 """Where rows lie: samples stay with their base, repaired episodes are dealt by a bounded number of rows."""
 
+from pyspark.sql import functions as F
+
 from trajspark.functions import layout as lay
 from trajspark.functions.layout import Layout
 from trajspark.functions.lineage import materialise
@@ -74,6 +76,16 @@ def test_repaired_rows_are_dealt_again(spark, sf_dir, monkeypatch):
     assert f"{-(-rows // 100)}), REPARTITION_BY_NUM" in seen[0]
 
 
+def test_rows_are_repaired_where_they_were_dealt(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lay, "ROWS_PER_TASK", 100)
+    done = rq.run(spark, sf_dir)
+    tasks = -(-done.rows.count() // 100)
+    assert tasks > 4 and done.rows.rdd.getNumPartitions() == tasks
+    homes = done.rows.select("episode_id", F.spark_partition_id().alias("task")).distinct()
+    assert homes.count() == done.before.count()  # an episode lies in one task
+    assert homes.select("task").distinct().count() > 4
+
+
 def test_reasoned_rows_of_a_task_are_bounded(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(lay, "ROWS_PER_TASK", 100)
     found = why.reasoned(spark, sf_dir)
